@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .op1_licenses import SQL as SQL1, op1_license_scan
 from .op2_pii import SQL as SQL2, op2_pii
+from .op4_chat import SQL as SQL4, op4_chat
+from .op5_gif import op5_gif
 from .op8_lines import SQL as SQL8, op8_line_dedup
+from .op9_pieces import op9_sentencepiece
 
-QUERIES = {f.__name__: f for f in (op2_pii, op8_line_dedup)}
-ORACLES = SQL2 | SQL8
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pii, op4_chat, op5_gif, op8_line_dedup, op9_sentencepiece)}
+ORACLES = SQL1 | SQL2 | SQL4 | SQL8
