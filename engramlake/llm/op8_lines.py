@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, table, text_hash, texts
+from .common import BLANKS, ascii_lower, table, text_hash, texts, written
 
 SALTS = 64
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -49,7 +49,7 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     Documents are told apart by doc_id (null counts as one id); repeated rows count once. Null and
     empty texts are one empty line, whose key is too short to be dropped.
     """
-    seen = line_occurrences(docs, min_chars)
+    seen = written(line_occurrences(docs, min_chars))  # hashes and places alone; texts are split once
     part = seen.groupBy("h1", "h2", "salt").agg(F.sum("new_doc").alias("n_docs"))
     frequent = part.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs).select("h1", "h2")
     # a frequent key meets its salts, at most SALTS rows, and only then the lines
