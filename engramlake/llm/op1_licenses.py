@@ -145,12 +145,12 @@ def _sql() -> str:
     for p, label in PHRASES.items():
         words = p.split()
         same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
-        places.append(f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: {same})) - 1 AS at FROM w")
+        places.append(f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: {same})) - 1 AS place FROM w")
     templates = ", ".join(f"('{k}', string_split('{v}', ' '))" for k, v in TEMPLATES.items())
     return f"""
 WITH w AS (SELECT doc_id, {split("coalesce(text, '')")} AS w FROM documents),
 p AS ({' UNION ALL '.join(places)}),
-b AS (SELECT doc_id, count(*)::BIGINT AS n_base, min(at)::BIGINT AS first_word, max(at)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+b AS (SELECT doc_id, count(*)::BIGINT AS n_base, min(place)::BIGINT AS first_word, max(place)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
 t AS (SELECT label, list_distinct(tokens) AS tokens FROM (VALUES {templates}) v(label, tokens)),
 l AS (SELECT doc_id, {split('line')} AS line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
 m AS (SELECT doc_id, label, len(list_intersect(tokens, line)) / len(tokens) AS containment, len(list_intersect(tokens, line)) >= ceil({THRESHOLD}::DOUBLE * len(tokens) - 1e-9) AS hit FROM l, t),
