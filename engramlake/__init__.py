@@ -1,0 +1 @@
+"""Agent memory and tiered document retrieval as DataFrame plans."""
