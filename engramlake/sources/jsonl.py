@@ -15,9 +15,7 @@ def parse(lines: DataFrame) -> DataFrame:
     Blank lines, malformed ones, headers (objects with a key ``schema``) and values that aren't objects
     are left out; so are objects whose weight is null or no number or whose ts is no string.
     """
-    raw = lines.withColumn("raw", strip(F.col("line"))).drop("line").filter("raw <> ''")
-    v = raw.withColumn("_v", F.try_parse_json("raw")).withColumn("_keys", F.json_object_keys("raw"))
-    good = v.filter(_is_entry())
+    good = _parsed(lines).filter(_is_entry())
     get = lambda k, t: F.try_variant_get("_v", f"$.{k}", t)
     return good.withColumns(
         {
@@ -31,6 +29,12 @@ def parse(lines: DataFrame) -> DataFrame:
     ).drop("_v", "_keys")
 
 
+def _parsed(lines: DataFrame) -> DataFrame:
+    """raw, _v and _keys of non-blank lines; each is computed once, as filters aren't pushed below a generator."""
+    raw = lines.select(*(c for c in lines.columns if c != "line"), F.inline(F.array(F.struct(strip(F.col("line")).alias("raw"))))).filter("raw <> ''")
+    return raw.select("*", F.inline(F.array(F.struct(F.try_parse_json("raw").alias("_v"), F.json_object_keys("raw").alias("_keys")))))
+
+
 def _is_entry() -> Column:
     kind = lambda k: F.schema_of_variant(F.try_variant_get("_v", f"$.{k}", "variant"))
     has = lambda k: F.array_contains("_keys", k)
@@ -41,8 +45,7 @@ def _is_entry() -> Column:
 
 def malformed(lines: DataFrame) -> DataFrame:
     """Per tier and file, how many non-blank lines were left out although they are no header."""
-    raw = lines.withColumn("raw", strip(F.col("line"))).filter("raw <> ''").withColumn("_v", F.try_parse_json("raw")).withColumn("_keys", F.json_object_keys("raw"))
-    return raw.groupBy("tier", "file").agg(F.count_if(~(F.coalesce(_is_entry(), F.lit(False)) | F.coalesce(F.array_contains("_keys", "schema"), F.lit(False)))).alias("malformed"))
+    return _parsed(lines).groupBy("tier", "file").agg(F.count_if(~(F.coalesce(_is_entry(), F.lit(False)) | F.coalesce(F.array_contains("_keys", "schema"), F.lit(False)))).alias("malformed"))
 
 
 def read_files(spark: SparkSession, root: str, tiers: list[str] | None = None) -> DataFrame:
