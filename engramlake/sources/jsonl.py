@@ -53,7 +53,6 @@ def read_files(spark: SparkSession, root: str, tiers: list[str] | None = None) -
 
     Line numbers need whole files, so files are to be moderate; a log of any size is written by ``MemoryLog`` with stored order instead.
     """
-    paths = [f"{root}/{t}/*.jsonl" for t in (tiers or TIERS)]
-    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    whole = spark.read.text(f"{root}/{{{','.join(tiers or TIERS)}}}/*.jsonl", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     lines = whole.select("path", F.posexplode(F.split("value", "\n")).alias("n", "line"))
     return lines.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("tier"), F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("file"), (F.col("n") + 1).cast("long").alias("line_no"), "line")
