@@ -5,19 +5,18 @@ components of the key graph, split into blocks of at most BLOCK sets, each go to
 stores its sets in a trie and traverses it with each set in turn: overlaps of shared prefixes are
 counted once, and subtrees whose remaining length can't reach the needed overlap, or that are in
 the set's component already, are pruned. Blocks of one component meet through one set for each of
-their local components; what still lies apart is compared pair by pair where it shares a key. So no
-link is lost, and no group of any size meets in one task.
+their local components; what still lies outside the largest cluster meets all sets of the component, block
+by block. So no link is lost, and no group of any size meets in one task.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, written
@@ -45,10 +44,13 @@ class PrefixTree:
             i = up[i]
         return i
 
-    def add(self, tokens: list[int]) -> None:
-        """tokens: a set in ascending order, at least as large as those before; an empty set is linked with nothing."""
+    def add(self, tokens: list[int], known: int | None = None) -> None:
+        """tokens: a set in ascending order, at least as large as those before; an empty set is linked with nothing.
+
+        known: a set's number that this one is known to be in a component with.
+        """
         i = len(self.up)
-        self.up.append(i)
+        self.up.append(i if known is None else self.find(known))
         if tokens:
             self._link(i, tokens)
             self._store(i, tokens)
@@ -110,10 +112,13 @@ class PrefixTree:
 
 
 def _joined(placed: DataFrame, num: int, den: int) -> DataFrame:
-    """node, component, blocks and label (smallest node of its local component) of sets placed in (component, block)."""
+    """node, component, blocks and label (smallest node of its local component) of sets placed in (component, block).
+
+    Sets of equal ``known``, where it isn't null, are in one component from the start.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, nodes, tree, blocks = None, [], None, 1
+        here, nodes, groups, tree, blocks = None, [], {}, None, 1
         done: list[tuple[int, int, int, int]] = []
 
         def close() -> None:
@@ -128,35 +133,31 @@ def _joined(placed: DataFrame, num: int, den: int) -> DataFrame:
             return out
 
         for b in batches:
-            component, block, count, node = (b.column(k).to_pylist() for k in range(4))
-            lists = b.column(5)
+            component, block, count, node, known = (b.column(k).to_pylist() for k in range(5))
+            lists = b.column(6)
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             for k, at in enumerate(zip(component, block, strict=True)):
                 if at != here:
                     if nodes:
                         close()
-                    here, nodes, tree, blocks = at, [], PrefixTree(num, den), count[k]
+                    here, nodes, groups, tree, blocks = at, [], {}, PrefixTree(num, den), count[k]
+                group = None if known[k] is None else groups.setdefault(known[k], len(nodes))
+                tree.add(flat[ends[k] : ends[k + 1]].tolist(), None if group in (None, len(nodes)) else group)
                 nodes.append(node[k])
-                tree.add(flat[ends[k] : ends[k + 1]].tolist())
             if len(done) > 50_000:
                 yield batch()
         if nodes:
             close()
         yield batch()
 
-    dealt = placed.select("component", "block", "blocks", "node", F.size("tokens").alias("n"), "tokens").repartition("component", "block").sortWithinPartitions("component", "block", "n", "node")
+    dealt = placed.select("component", "block", "blocks", "node", "known", F.size("tokens").alias("n"), "tokens").repartition("component", "block").sortWithinPartitions("component", "block", "n", "node")
     return dealt.mapInArrow(run, "node long, component long, blocks long, label long")
 
 
 def _placed(sets: DataFrame, block: int, turn: int) -> DataFrame:
     """Sets with component, dealt to blocks of about block sets within it, anew at each turn."""
     blocks = sets.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    return sets.join(blocks, "component").select("component", "node", "tokens", "blocks", F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("blocks")).alias("block"))
-
-
-def similar(a: Column, b: Column, num: int, den: int) -> Column:
-    """Whether two arrays of distinct tokens are linked."""
-    return F.size(F.array_intersect(a, b)) * (num + den) >= num * (F.size(a) + F.size(b))
+    return sets.join(blocks, "component").select("component", "node", "tokens", "blocks", F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("blocks")).alias("block"), F.lit(None).cast("long").alias("known"))
 
 
 def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, block: int = BLOCK) -> DataFrame:
@@ -171,27 +172,30 @@ def cluster(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num:
     near = written(connected_components(edges))
     sets = written(sets_of(near.select("node")).join(near, "node"))
     local = written(_joined(_placed(sets, block, 0), num, den))
-    if local.filter("blocks > 1").isEmpty():
+    split = local.filter("blocks > 1").select("node", "component", "label")
+    n = split.count()
+    if not n:
         return local.select("node", "label")
-    # components of several blocks: one set for each local component, dealt anew while that merges many
-    split = local.filter("blocks > 1")
-    links, level, n = [split.select("node", "label")], split, split.count()
+    # components of several blocks: one set for each local component, dealt anew while that at least halves them
     for turn in range(1, 40):
-        heads = level.select(F.col("label").alias("node")).distinct()
-        level = written(_joined(_placed(sets.join(heads, "node", "left_semi"), block, turn), num, den))
-        links.append(level.select("node", "label"))
-        left = level.select("label").distinct().count()
-        if level.filter("blocks > 1").isEmpty() or left > n // 2:
+        heads = split.select(F.col("label").alias("node")).distinct()
+        left = heads.count()
+        if left > n // 2:
             break
-        n = left
-    link = reduce(DataFrame.union, links)
-    seen = written(connected_components(link, "node", "label").withColumnRenamed("component", "label"))
-    # where sets of one key still lie apart, those outside its largest component meet the others pair by pair
-    at = postings.join(seen, "node").select("key", "node", "label")
-    most = at.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", "count").alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("key", "most")
-    few = at.join(most, "key").filter("label <> most").select("key", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    pairs = few.join(at, "key").filter("label <> other_label").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    more = written(pairs.filter(similar(F.col("x"), F.col("y"), num, den)).select(F.col("a").alias("node"), F.col("b").alias("label")))
-    whole = connected_components(link.union(more), "node", "label").withColumnRenamed("component", "label")
-    return local.filter("blocks = 1").select("node", "label").union(whole.select("node", "label"))
+        level = _joined(_placed(sets.join(heads, "node", "left_semi"), block, turn), num, den).select(F.col("node").alias("label"), F.col("label").alias("higher"))
+        split, n = written(split.join(level, "label").select("node", "component", F.col("higher").alias("label"))), left
+    # sets outside their component's largest cluster then meet all others, a block of these with a block of all in a task
+    size = split.groupBy("component", "label").count()
+    most = size.groupBy("component").agg(F.max_by("label", "count").alias("most"), F.sum("count").alias("all"), (F.sum("count") - F.max("count")).alias("rest"))
+    most = most.filter("rest > 0").select("component", "most", F.ceil(F.col("all") / block).alias("columns"), F.ceil(F.col("rest") / block).alias("rows"))
+    part = sets.join(split.select("node", F.col("label").alias("known")), "node").join(most, "component")
+    spot = lambda count: F.pmod(F.xxhash64(F.lit(77), "node"), F.col(count))
+    across = part.select("component", "node", "tokens", "known", "columns", spot("columns").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"))
+    down = part.filter("known <> most").select("component", "node", "tokens", "known", "columns", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), spot("rows").alias("i"))
+    met = across.union(down.select("component", "node", "tokens", "known", "columns", "j", "i")).select("component", "node", "tokens", "known", F.lit(2).cast("long").alias("blocks"), (F.col("i") * F.col("columns") + F.col("j")).cast("long").alias("block"))
+    found = written(_joined(met, num, den)).select(F.col("node").alias("at"), F.col("label").alias("with"))
+    # labels that came together
+    merged = found.join(split.select(F.col("node").alias("at"), F.col("label").alias("a")), "at").join(split.select(F.col("node").alias("with"), F.col("label").alias("b")), "with").filter("a <> b").select("a", "b")
+    top = connected_components(merged).select(F.col("node").alias("label"), F.col("component").alias("top"))
+    whole = split.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return local.filter("blocks = 1").select("node", "label").union(whole)
