@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..model import BUDGET, L1_CHARGE, L1_SCORE, L1_SLOTS, L2_SCORE, TOP_K, within
-from .memory import query_blocks
+from .memory import QUERY_BLOCK, query_blocks
 
 
 
@@ -95,11 +95,14 @@ def smart_query(vectors: DataFrame, documents: DataFrame, contents: DataFrame, q
 
     queries: query_id, embedding, token_budget and, with directory, directory. contents: l2_file_path, content.
     """
-    known = contents.select("l2_file_path").distinct().withColumn("l2_exists", F.lit(True))
-    rows = retrieve_l0(nearest(vectors, queries, top_k, directory, stretch), documents)
-    rows = rows.join(known, "l2_file_path", "left").withColumn("l2_exists", F.coalesce("l2_exists", F.lit(False)))
-    rows = escalate(rows.join(F.broadcast(queries.select("query_id", F.greatest(F.lit(BUDGET[0]), F.least(F.lit(BUDGET[1]), F.col("token_budget"))).alias("token_budget"))), "query_id"), F.col("token_budget"))
-    loaded = rows.filter("tier = 'l2'").join(contents.select("l2_file_path", F.col("content").alias("l2_content")), "l2_file_path")
+    # a bounded number of queries has a bounded number of hits: then these go to the tables, not the tables to them
+    few = F.broadcast if queries.count() <= QUERY_BLOCK else (lambda df: df)
+    rows = retrieve_l0(few(nearest(vectors, queries, top_k, directory, stretch)), documents)
+    known = contents.select("l2_file_path").join(few(rows.select("l2_file_path").distinct()), "l2_file_path", "left_semi").distinct().withColumn("l2_exists", F.lit(True))
+    rows = rows.join(few(known), "l2_file_path", "left").withColumn("l2_exists", F.coalesce("l2_exists", F.lit(False)))
+    budgets = queries.select("query_id", F.greatest(F.lit(BUDGET[0]), F.least(F.lit(BUDGET[1]), F.col("token_budget"))).alias("token_budget"))
+    rows = escalate(rows.join(few(budgets), "query_id"), F.col("token_budget"))
+    loaded = contents.select("l2_file_path", F.col("content").alias("l2_content")).join(few(rows.filter("tier = 'l2'")), "l2_file_path")
     out = rows.filter("tier <> 'l2'").withColumn("l2_content", F.lit(None).cast("string")).unionByName(loaded.select(*rows.columns, "l2_content"))
     return out.select("query_id", "rank", "doc_id", "title", "hierarchy_path", E.half_up(F.col("score")).alias("score"), "tier", "tokens_used", "l0_abstract", F.when(F.col("l1_loaded"), F.col("l1_overview")).alias("l1_overview"), "l2_content")
 

@@ -82,6 +82,12 @@ def corpus_totals(documents: DataFrame) -> DataFrame:
     return s.select("*", *(E.half_up(100.0 * F.col(f"l{i}_total") / F.col("l2_total")).alias(f"l{i}_percent") for i in range(2)), E.half_up(100.0 * (1 - F.col("l0_total") / F.col("l2_total"))).alias("reduction_percent"))
 
 
+def directories(documents: DataFrame) -> DataFrame:
+    """path, parent_path, name and doc_count of every directory that holds documents."""
+    rows = documents.groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("doc_count"))
+    return rows.select("path", E.parent_path(F.col("path")).alias("parent_path"), F.element_at(F.split("path", "/"), -1).alias("name"), "doc_count")
+
+
 class DocumentStore:
     """Documents below a folder: ``documents`` (rows by seq; the last of an id counts), ``l2`` (full texts by path) and ``query_log``."""
 

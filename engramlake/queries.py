@@ -264,6 +264,29 @@ def k2_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.stale(rows, A.document_texts(spark, sf_dir)).select("doc_id", "is_stale", "stale_reason")
 
 
+@query(f"WITH {_DOCS} SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY rank))::INTEGER AS rank, title, l0_tokens::INTEGER AS l0_tokens, sum(l0_tokens) OVER (PARTITION BY query_id)::BIGINT AS total_tokens FROM {_hits_sql(10, 1.0)} JOIN lv USING (doc_id) WHERE score >= 0.1")
+def k2_retrieve_l0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a least score that have a document, with the response's tokens."""
+    rows = disclosure.retrieve_l0(disclosure.nearest(A.vectors(spark, sf_dir), A.vector_queries(spark, sf_dir), 10), A.document_levels(spark, sf_dir), 0.1)
+    totals = rows.groupBy("query_id").agg(F.sum("l0_tokens").cast("long").alias("total_tokens"))
+    return rows.select("query_id", "doc_id", "score", "rank", "title", "l0_tokens").join(totals, "query_id")
+
+
+@query(f"""WITH {_DOCS}, r AS (SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank)) AS rank, lv.* EXCLUDE (doc_id) FROM {_hits_sql(5, 1.0)} JOIN lv USING (doc_id))
+SELECT query_id, doc_id, rank::INTEGER AS rank, CASE WHEN rank IN (1, 3) AND l2_exists THEN 'l2' ELSE 'l0' END AS tier, (CASE WHEN rank IN (1, 3) AND l2_exists THEN l2_tokens ELSE l0_tokens END)::INTEGER AS tokens_used, CASE WHEN rank IN (1, 3) AND l2_exists THEN text END AS l2_content FROM r""")
+def k2_load_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full texts of the first and third result; the index out of range does nothing."""
+    hits = disclosure.nearest(A.vectors(spark, sf_dir), A.vector_queries(spark, sf_dir), 5)
+    rows = disclosure.expand_l1(disclosure.retrieve_l0(hits, A.document_levels(spark, sf_dir)), indices=[])
+    return disclosure.load_l2(rows, A.document_texts(spark, sf_dir), [0, 2, 99]).select("query_id", "doc_id", "rank", "tier", "tokens_used", "l2_content")
+
+
+@query("SELECT '/' || lang AS path, '/' AS parent_path, lang AS name, count(*)::BIGINT AS doc_count FROM documents GROUP BY lang")
+def k2_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.document_levels(spark, sf_dir).select(E.parent_path(F.col("hierarchy_path")).alias("parent_path"))
+    return ingest.directories(rows)
+
+
 # --- loading
 
 
@@ -312,6 +335,14 @@ def k3_markdown_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.profile(c.select("c_custkey", text.alias("content")), F.col("c_custkey").alias("id"), note.alias("note"))
 
 
+@query("""SELECT '' AS ts, p_name AS skill_name, p_type AS description, 'daemon' AS category, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS when_to_use, '' AS procedure, (p_size / 100.0)::DOUBLE AS success_rate, 'part-' || p_partkey AS daemon_id, [p_brand] AS tags FROM part""")
+def k3_export_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills from an export of parts; odd ones have no trigger."""
+    p = A.table(spark, sf_dir, "part")
+    fields = [F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("trigger"), (F.col("p_size") / F.lit(100.0)).alias("success_rate"), F.array("p_brand").alias("tags")]
+    return etl.skill_payloads(p.select(F.to_json(F.struct(*fields)).alias("raw")))
+
+
 # --- extensions, which the reference describes but does not have
 
 
