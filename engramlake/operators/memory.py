@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import expr as E
 from ..model import LIMIT, TIERS, check_tiers, within
+from ..session import ship
 from ..sources import jsonl
 
 #: Query batches of at most so many rows are broadcast; larger ones go through in blocks of that size.
@@ -114,6 +115,8 @@ def reinforced(entries: DataFrame, events: DataFrame, exact: bool = False) -> Da
     hit = entries.join(by_id, (F.col("tier") == F.col("e_t")) & (F.col("id") == F.col("e_id")), "left").drop("e_t", "e_id")
     first = F.when(F.col("scores").isNotNull(), F.min(E.file_order(F.col("file"))).over(w))
     hit = hit.withColumn("_first", first)
+    if exact:
+        ship(entries.sparkSession)
     change = F.col("scores").isNotNull() & (E.file_order(F.col("file")) == F.col("_first"))
     fold = exact_fold(F.col("weight"), F.col("scores")) if exact else E.reinforce_all(F.col("weight"), F.col("scores"))
     return hit.withColumn("weight", F.when(change, fold).otherwise(F.col("weight"))).drop("scores", "_first")
@@ -152,6 +155,7 @@ def new_entries(payloads: DataFrame, now: Column) -> DataFrame:
     A payload's id and ts hold; its weight, tags (if tags are given and not empty) and marks don't. Unknown
     tiers are an error. Without an id, one is made from the content and its place, so that a retried task writes the same.
     """
+    ship(payloads.sparkSession)
     v = F.try_parse_json("payload")
     get = lambda k, t: F.try_variant_get(v, f"$.{k}", t)
     stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +27,17 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file:///tmp/checkpoints"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once in a session, so that functions defined in it can run there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_engramlake_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp()).resolve() / f"{root.name}.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(out))
+    sc._engramlake_sent = True
