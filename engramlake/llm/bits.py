@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
 from .textnum import U, mix
 
 #: 2^25 bits are 4 MB.
@@ -32,7 +33,7 @@ def filter_of(ids: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_places(x))) + 1)], ["bit"])
 
     bit: Column = F.col("bit")
-    rows = ids.mapInArrow(run, "bit long").groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    rows = arrow(ids, run, "bit long").groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     out = bytearray(BITS // 8)
     for r in rows:
         out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["bits"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch, ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space of the contracts, ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,6 +23,12 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """mapInArrow, with this package sent to the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; ``lower`` would also change other letters."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -31,19 +39,9 @@ def text_hash(c: Column) -> Column:
     return F.xxhash64(c)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only a local session without that setting gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends here and lost executors lose nothing."""
-    path = shared_dir(df.sparkSession)
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

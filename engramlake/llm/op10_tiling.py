@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bits import filter_of, passes
-from .common import table, written
+from .common import arrow, table, written
 from .op7_ngrams import long_lists
 from .textnum import ALNUM, Words, chunks, sequence_hash
 
@@ -81,7 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
                 seeds = [np.unique(grams[0][grams[1][i] : grams[1][i + 1]]).view(np.int64) if len(h) >= seed else sequence_gram(h) for i, h in enumerate(hashes)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(encoded)), long_lists([h.view(np.int64) for h in hashes]), long_lists(seeds)], ["item_id", "words", "seeds"])
 
-    items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(item_seeds, "item_id long, words array<long>, seeds array<long>").filter("size(words) > 0")
+    items = arrow(benchmark.select(F.col("item_id").cast("long"), "text"), item_seeds, "item_id long, words array<long>, seeds array<long>").filter("size(words) > 0")
     items = written(items.groupBy("words").agg(F.min("item_id").alias("item_id"), F.first("seeds").alias("seeds")))
     seeds = items.select("item_id", F.explode("seeds").alias("seed"))
     sizes = [r[0] for r in items.select(F.least(F.size("words"), F.lit(seed)).alias("n")).distinct().collect()]  # at most seed numbers
@@ -105,7 +105,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), long_lists(words), long_lists(found)], ["doc_id", "words", "seeds"])
 
     # the few documents that hold a seed go on, as word hashes
-    near = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(probe, "doc_id long, words array<long>, seeds array<long>").select(F.expr("uuid()").alias("row"), "doc_id", "words", "seeds"))
+    near = written(arrow(docs.select(F.col("doc_id").cast("long"), "text"), probe, "doc_id long, words array<long>, seeds array<long>").select(F.expr("uuid()").alias("row"), "doc_id", "words", "seeds"))
     pairs = near.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").select("row", "item_id").distinct().join(items.select("item_id", "words"), "item_id")
     # a document and then its items, one by one: no task holds more than one document and one item
     stream = near.select("row", "doc_id", F.lit(None).cast("long").alias("item_id"), "words").union(pairs.select("row", F.lit(None).cast("long"), "item_id", "words"))
@@ -128,7 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
             kinds = (pa.int64(),) * 5 + (pa.float64(),)
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], ["doc_id", "item_id", "n_item_words", "n_covered", "n_tiles", "coverage"])
 
-    return stream.repartition("row").sortWithinPartitions("row", F.asc_nulls_first("item_id")).mapInArrow(tile, "doc_id long, item_id long, n_item_words long, n_covered long, n_tiles long, coverage double")
+    return arrow(stream.repartition("row").sortWithinPartitions("row", F.asc_nulls_first("item_id")), tile, "doc_id long, item_id long, n_item_words long, n_covered long, n_tiles long, coverage double")
 
 
 def sequence_gram(words: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow, table
 from .textnum import ALNUM, U, Words, chunks, mix
 
 #: Bounds of the fitted sample (rows with the lowest hash of doc_id), and of windows of one text in it.
@@ -278,7 +278,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     kind = docs.schema.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, score double")
+    return arrow(rows, run, f"row {kind}, score double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow, table
 
 WIDTH, HEIGHT, UNIT, DELAY_CS = 64, 1024, 64, 10
 BINS = 16
@@ -245,7 +245,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 both = [padded(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in both], pa.int64()), pa.array([encode_gif(p) for _, p in both], pa.binary())], ["doc_id", "n_bytes", "content"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, content binary")
+    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, content binary")
 
 
 FRAME = "frame_no int, delay_ms int, disposal int, width int, height int, pixels binary, red array<long>, green array<long>, blue array<long>"
@@ -272,7 +272,7 @@ def gif_frames(media: DataFrame, key: str = "media_id", content: str = "content"
                 except (ValueError, IndexError):
                     continue
 
-    return media.select(key, content).mapInArrow(run, f"`{key}` {kind}, {FRAME}")
+    return arrow(media.select(key, content), run, f"`{key}` {kind}, {FRAME}")
 
 
 def stored_payload(content: bytes) -> tuple[bytes, np.ndarray, int]:
@@ -300,7 +300,7 @@ def media_digests(media: DataFrame) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long")
+    return arrow(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long")
 
 
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bits import filter_of, passes
-from .common import table, written
+from .common import arrow, table, written
 from .op7_ngrams import long_lists
 from .simjoin import BLOCK, cluster
 from .textnum import U, Words, chunks, mix
@@ -115,7 +115,7 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
                     ["doc_id", "row_hash", "ordinal", "place", "end", "n_words", "node", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, ordinal int, place int, end int, n_words int, node long, keys array<long>")
+    return arrow(docs, run, "doc_id long, row_hash long, ordinal int, place int, end int, n_words int, node long, keys array<long>")
 
 
 def repeated_paragraphs(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
@@ -145,7 +145,7 @@ def repeated_paragraphs(docs: DataFrame, num: int = NUM, den: int = DEN, block:
                     sent.update(p.digest[which].tolist())
                     yield pa.RecordBatch.from_arrays([pa.array(p.digest[which]), long_lists(p.sets(which))], ["node", "tokens"])
 
-        once = docs.select("text").mapInArrow(run, "node long, tokens array<long>")
+        once = arrow(docs.select("text"), run, "node long, tokens array<long>")
         return once.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
     labels = cluster(postings, sets_of, num, den, block)

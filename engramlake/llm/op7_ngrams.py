@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bits import filter_of, passes
-from .common import table, written
+from .common import arrow, table, written
 from .simjoin import BLOCK, cluster
 from .textnum import U, Words, chunks, mix, sequence_hash
 
@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int =
                     keys.append(part_keys(s, classes, num, den))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), long_lists(keys)], ["doc_id", "n_shingles", "node", "keys"])
 
-    sketches = written(docs.mapInArrow(sketch, "doc_id long, n_shingles long, node long, keys array<long>"))
+    sketches = written(arrow(docs, sketch, "doc_id long, n_shingles long, node long, keys array<long>"))
     equal = written(sketches.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     postings = written(sketches.join(equal, ["node", "doc_id"], "left_semi").select(F.explode("keys").alias("key"), "node"))
 
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, num: int = NUM, den: int =
                     sets = list(shingle_sets(b.slice(at, 500).column(1).to_pylist(), n))
                     yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), long_lists(sets)], ["node", "tokens"])
 
-        return docs.mapInArrow(run, "node long, tokens array<long>")
+        return arrow(docs, run, "node long, tokens array<long>")
 
     found = cluster(postings, sets_of, num, den, block)
     sets = equal.join(found, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -187,7 +187,7 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
         if keys:
             yield batch()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_ids long, n_bytes long, round_trip boolean")
+    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>, n_ids long, n_bytes long, round_trip boolean")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import arrow, connected_components, written
 
 BLOCK = 2048
 
@@ -151,7 +151,7 @@ def _joined(placed: DataFrame, num: int, den: int) -> DataFrame:
         yield batch()
 
     dealt = placed.select("component", "block", "blocks", "node", "known", F.size("tokens").alias("n"), "tokens").repartition("component", "block").sortWithinPartitions("component", "block", "n", "node")
-    return dealt.mapInArrow(run, "node long, component long, blocks long, label long")
+    return arrow(dealt, run, "node long, component long, blocks long, label long")
 
 
 def _placed(sets: DataFrame, block: int, turn: int) -> DataFrame:
