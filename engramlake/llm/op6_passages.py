@@ -1,8 +1,8 @@
 """Substring dedup: repeated passages, found as runs of repeated paragraphs.
 
 Paragraphs here are the smallest pieces that a passage keeps wherever it is pasted: sentences, cut
-at line feeds and at words that end with one of ``. ! ?``, and cut again by content where they are
-long. Each distinct paragraph has MinHash bands; paragraphs that collide in a band are verified by
+at line feeds and at words that end with one of ``. ! ?``, joined where neighbours are short, and cut
+again by content where they are long. Each distinct paragraph has MinHash bands; paragraphs that collide in a band are verified by
 the exact Jaccard similarity of their word 5-grams in a prefix-tree join, and components of these
 links are clusters. Of each cluster the first paragraph stays. Neighbouring repeated paragraphs of
 a document make a passage, reported from MIN_WORDS words.
@@ -48,6 +48,11 @@ class Paragraphs:
             ends = _STOPS[w.data[w.end - 1]] & (w.end - w.start > 1) & _PLAIN[w.data[np.maximum(w.end - 2, 0)]]
             last[:-1] = ends[:-1] | (lines[w.start[1:]] > lines[w.end[:-1]]) | (doc[1:] != doc[:-1])
         self.first, self.last = self._bounds(last)
+        # neighbouring short sentences are one
+        short = self.last - self.first < SHORT
+        joint = np.flatnonzero(short[:-1] & short[1:] & (doc[self.last[:-1] - 1] == doc[self.first[1:]]))
+        last[self.last[joint] - 1] = False
+        self.first, self.last = self._bounds(last)
         # long ones part at words of a certain hash, so that equal stretches part alike
         long = np.flatnonzero(self.last - self.first >= LONG)
         if len(long):
@@ -98,7 +103,7 @@ class Paragraphs:
 
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row_hash, ordinal, place, end, n_words, node (digest) and keys of every paragraph."""
+    """doc_id, row_hash, ordinal, place, end, word (the first one's index), n_words, node (digest) and keys of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,15 +116,15 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
                 keys = p.band_keys()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(which), rows.take(which), *(pa.array(x.astype(np.int32) if hasattr(x, "astype") else x, pa.int32()) for x in (ordinal, start, end, p.last - p.first)), pa.array(p.digest), lists],
-                    ["doc_id", "row_hash", "ordinal", "place", "end", "n_words", "node", "keys"],
+                    [ids.take(which), rows.take(which), *(pa.array(x.astype(np.int32)) for x in (ordinal, start, end, p.first - p.words.bounds[p.doc], p.last - p.first)), pa.array(p.digest), lists],
+                    ["doc_id", "row_hash", "ordinal", "place", "end", "word", "n_words", "node", "keys"],
                 )
 
-    return arrow(docs, run, "doc_id long, row_hash long, ordinal int, place int, end int, n_words int, node long, keys array<long>")
+    return arrow(docs, run, "doc_id long, row_hash long, ordinal int, place int, end int, word int, n_words int, node long, keys array<long>")
 
 
 def repeated_paragraphs(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
-    """doc_id, row_hash, ordinal, place, end, n_words, component and keep of every paragraph whose cluster more than one document has.
+    """doc_id, row_hash, ordinal, place, end, word, n_words, component and keep of every paragraph whose cluster more than one document has.
 
     keep is true for the cluster's first paragraph, by document, text and position. A null text has no
     paragraphs; null doc_ids are one document that comes last; repeated rows are the same paragraphs.
@@ -149,20 +154,21 @@ def repeated_paragraphs(docs: DataFrame, num: int = NUM, den: int = DEN, block:
         return once.groupBy("node").agg(F.first("tokens").alias("tokens"))
 
     labels = cluster(postings, sets_of, num, den, block)
-    part = found.select("doc_id", "row_hash", "ordinal", "place", "end", "n_words", "node")
+    part = found.select("doc_id", "row_hash", "ordinal", "place", "end", "word", "n_words", "node")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash", "ordinal")
     # per distinct paragraph first, so that a hot one is a partial aggregate
     each = part.groupBy("node").agg(F.min(order).alias("low"), F.max(order).alias("high")).join(labels, "node", "left").select("node", "low", "high", F.coalesce("label", "node").alias("component"))
     each = written(each.filter("component <> node OR low.doc_id <> high.doc_id OR low.last <> high.last").union(each.join(labels.select("label").distinct(), each.node == F.col("label"), "left_semi")).distinct())
     both = each.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low.doc_id <> high.doc_id OR low.last <> high.last").select("component", F.col("low").alias("first"))
     repeated = each.join(both, "component").select("node", "component", "first")
-    return part.join(repeated, "node").select("doc_id", "row_hash", "ordinal", "place", "end", "n_words", "component", (order == F.col("first")).alias("keep"))
+    return part.join(repeated, "node").select("doc_id", "row_hash", "ordinal", "place", "end", "word", "n_words", "component", (order == F.col("first")).alias("keep"))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
     """A row for each passage: doc_id, start and end (code points), n_words, n_paragraphs, n_removed (those that aren't the first of their cluster) and components (sorted, distinct).
 
-    A passage is a run of repeated paragraphs without another one in between, of min_words words at least.
+    A passage is a run of repeated paragraphs without another one in between, of min_words words at least
+    from the first to the last; a few words too short to be a paragraph may lie in between.
     """
     p = repeated_paragraphs(docs, num, den, block).distinct()
     row = Window.partitionBy("doc_id", "row_hash").orderBy("ordinal")
@@ -170,7 +176,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NU
     out = runs.groupBy("doc_id", "row_hash", "run").agg(
         F.min("place").cast("long").alias("start"),
         F.max("end").cast("long").alias("end"),
-        F.sum("n_words").cast("long").alias("n_words"),
+        (F.max(F.col("word") + F.col("n_words")) - F.min("word")).cast("long").alias("n_words"),
         F.count("*").alias("n_paragraphs"),
         F.sum(F.when(F.col("keep"), 0).otherwise(1)).cast("long").alias("n_removed"),
         F.sort_array(F.collect_set("component")).alias("components"),
