@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as E
-from ..model import LIMIT, TIERS, check_tiers, within
+from ..model import BAD, BOOST, DECAY, GOOD, LIMIT, PENALTY, TIERS, WEIGHT_HIGH, WEIGHT_LOW, check_tiers, within
 from ..session import ship
 from ..sources import jsonl
 
@@ -124,8 +124,6 @@ def reinforced(entries: DataFrame, events: DataFrame, exact: bool = False) -> Da
 
 def exact_fold(weight: Column, scores: Column) -> Column:
     """``reinforce_all`` with Python's rounding, in Arrow batches."""
-    from ..model import BAD, BOOST, DECAY, GOOD, PENALTY, WEIGHT_HIGH, WEIGHT_LOW
-
     @F.pandas_udf(T.DoubleType())
     def fold(w: pd.Series, s: pd.Series) -> pd.Series:
         def one(x: float, steps: object) -> float:
