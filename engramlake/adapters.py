@@ -34,7 +34,9 @@ def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"id": "evt-'), F.col("event_id").cast("string"), F.lit('", '), F.when(ts.isNotNull(), F.concat(F.lit('"ts": "'), ts, F.lit('", '))).otherwise(""), F.lit('"title": "'), F.col("event_type"), F.lit(" by user "), F.col("user_id").cast("string"),
         F.lit('", "props": '), F.col("props"), F.lit(', "tags": [], "weight": '), F.col("weight").cast("string"), F.lit(', "_tier": "'), F.col("e_tier"), F.lit('", "_type": "'), F.col("e_type"), F.lit('"}'),
     )
-    return rows.select(F.col("e_tier").alias("tier"), "file", F.col("event_id").alias("line_no"), raw.alias("raw"), F.lower(raw).alias("raw_lc"), F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("id"), ts.alias("ts"), "weight", "e_tier", "e_type", "user_id", "event_id")
+    # built once: filters on the line aren't pushed below a generator
+    lines = rows.withColumn("ts_text", ts).select("*", F.inline(F.array(F.struct(raw.alias("raw")))))
+    return lines.select(F.col("e_tier").alias("tier"), "file", F.col("event_id").alias("line_no"), "raw", F.lower("raw").alias("raw_lc"), F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("id"), F.col("ts_text").alias("ts"), "weight", "e_tier", "e_type", "user_id", "event_id")
 
 
 def document_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
