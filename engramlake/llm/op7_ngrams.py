@@ -46,12 +46,13 @@ def part_keys(tokens: np.ndarray, classes: np.ndarray, num: int, den: int) -> np
     """The keys of a set: two linked sets that differ have one in common.
 
     Of one class, linked sets differ in at most parts - 1 - 2 * spare n-grams, so 1 + 2 * spare parts
-    agree; each set leaves out at most spare of them.
+    agree; each set leaves out at most spare of them. A set below the first class has no keys of its
+    own size, as no two such sets are linked, but those of the first class if it can lie in a set there.
     """
     n = len(tokens)
     c = int(np.searchsorted(classes, n, "right")) - 1
     out = []
-    for k in ([] if c < 0 else [c, c + 1] if n * den >= classes[c + 1] * num else [c]):
+    for k in range(max(c, 0), c + 1 + (n * den >= int(classes[c + 1]) * num)):
         parts, spare = parts_of(int(classes[k + 1]) - 1, num, den)
         part = (tokens.view(U) >> U(20)) % U(parts)
         part = part.astype(np.int64)

@@ -76,6 +76,22 @@ def test_linked_sets_share_a_key(n, change, seed, ratio):
         assert set(N.part_keys(a, classes, num, den)) & set(N.part_keys(b, classes, num, den))
 
 
+def test_sets_below_the_first_class_share_a_key():
+    tokens = np.unique(np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 10))
+    for num, n in ((90, 10), (80, 5), (50, 2)):
+        classes = N.size_classes(num, 100)
+        for at in range(n):
+            assert set(N.part_keys(tokens[:n], classes, num, 100)) & set(N.part_keys(np.delete(tokens[:n], at), classes, num, 100))
+        assert not len(N.part_keys(tokens[: n - 2], classes, num, 100))
+
+
+def test_a_word_before_or_after_a_short_text_is_no_barrier(spark):
+    w = [f"t{i}" for i in range(12)]
+    docs = [(1, " ".join(w[:11])), (2, " ".join(w)), (3, " ".join(w[1:])), (4, " ".join(w[:10]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {1: (9, 1), 2: (10, 1), 3: (9, 1), 4: (8, 4)}
+
+
 def corpus(seed, groups=12, copies=6):
     r = random.Random(seed)
     docs = []
