@@ -32,11 +32,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest doc_id; documents without words stay.
+    """Of each component of near duplicates (word 5-grams, Jaccard 0.8), the document with the smallest doc_id; documents without words stay.
 
     Rows that share that doc_id all stay, and so do rows without doc_id.
     """
-    gone = near_duplicates(docs).filter("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct()
+    gone = near_duplicates(docs, n=5, num=80, den=100).filter("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     return _rows(rows.join(gone, "doc_id", "left_anti"), docs)
 

@@ -298,3 +298,9 @@ def test_near_stage_keeps_one_of_each_component(spark):
     t = " ".join(f"k{i}" for i in range(100))
     docs = spark.createDataFrame([(5, t, 1), (2, t, 1), (9, t + " more", 1), (7, "other words entirely here", 1), (8, None, 1), (1, "", 1)], "doc_id long, text string, node int")
     assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == [1, 2, 7, 8]
+
+
+def test_near_stage_takes_copies_with_words_added(spark):
+    w = [f"k{i}" for i in range(120)]
+    docs = spark.createDataFrame([(1, " ".join(w[:100])), (2, " ".join(w[:115])), (3, " ".join([f"x{i}" for i in range(15)] + w[:100])), (4, " ".join(w[50:] + ["z"] * 30))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == [1, 4]
