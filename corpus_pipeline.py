@@ -17,6 +17,12 @@ def _rows(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("row.*").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Every row as struct ``row``, with doc_id and ``key``, a hash of doc_id and text that is never null."""
+    i = F.col("doc_id").cast("long")
+    return docs.select(F.struct("*").alias("row"), i.alias("doc_id"), F.xxhash64(i.isNull(), i, F.col("text").isNull(), "text").alias("key"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below PREDICT."""
     return _rows(score_toxicity(docs, table(spark, sf_dir, "labels")).filter(F.col("score") < PREDICT), docs)
@@ -32,20 +38,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (word 5-grams, Jaccard 0.8), the document with the smallest doc_id; documents without words stay.
+    """Of each component of near duplicates (word 5-grams, Jaccard 0.8), the row with the smallest doc_id; documents without words stay.
 
-    Rows that share that doc_id all stay, and so do rows without doc_id.
+    Rows are told apart by doc_id and text: rows without doc_id come last, and of equal rows one stays.
     """
-    gone = near_duplicates(docs, n=5, num=80, den=100).filter("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    return _rows(rows.join(gone, "doc_id", "left_anti"), docs)
+    rows = _keyed(docs)
+    near = near_duplicates(rows.select(F.col("key").alias("doc_id"), "row.text"), n=5, num=80, den=100).filter("n_shingles > 0")
+    near = near.groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("component"), F.count("*").alias("n"))
+    near = written(near.join(rows.select("key", "doc_id").distinct(), "key"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = near.groupBy("component").agg(F.min(order).alias("first")).select("first.key")
+    repeated = near.filter("n > 1").join(first, "key", "left_semi").select("key")
+    gone = near.join(first, "key", "left_anti").select("key").union(repeated)
+    once = rows.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    return _rows(rows.join(gone, "key", "left_anti").select("row").union(once.select("row")), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    return _rows(rows.join(hits, "doc_id", "left_anti"), docs)
+    """Documents that hold no benchmark item, by row: a doc_id may be null or have other texts."""
+    rows = _keyed(docs)
+    hits = contaminated(rows.select(F.col("key").alias("doc_id"), "row.text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
+    return _rows(rows.join(hits, "key", "left_anti"), docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

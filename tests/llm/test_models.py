@@ -304,3 +304,16 @@ def test_near_stage_takes_copies_with_words_added(spark):
     w = [f"k{i}" for i in range(120)]
     docs = spark.createDataFrame([(1, " ".join(w[:100])), (2, " ".join(w[:115])), (3, " ".join([f"x{i}" for i in range(15)] + w[:100])), (4, " ".join(w[50:] + ["z"] * 30))], "doc_id long, text string")
     assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == [1, 4]
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    t, item = (" ".join(f"{c}{i}" for i in range(60)) for c in "ti")
+    rows = [(None, t), (None, t), (None, t + " more"), (3, t), (3, t), (3, "other words of the same id"), (4, item), (4, "clean words of the same id"), (None, item), (None, "alone"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(3, t), rows[5], rows[6], rows[7], rows[9], (None, None), (None, None)], key=str)
+    only = pipeline.near_dedup(spark, docs.filter("doc_id IS NULL AND text LIKE 't%'"), "").collect()
+    assert len(only) == 1
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.text) for r in pipeline.decontamination(spark, docs, f"file://{tmp_path}").collect()]
+    assert sorted(got, key=str) == sorted([r for r in rows if r[1] != item], key=str)
