@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from .bits import filter_of, passes
 from .common import arrow, table, written
-from .op7_ngrams import long_lists
-from .textnum import ALNUM, Words, chunks, sequence_hash
+from .textnum import ALNUM, Words, chunks, lists_of, sequence_hash
 
 SEED, COVERAGE = 5, 0.5
 
@@ -79,7 +78,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
                 grams = w.grams(seed)
                 hashes = [w.hash[w.bounds[i] : w.bounds[i + 1]] for i in range(len(encoded))]
                 seeds = [np.unique(grams[0][grams[1][i] : grams[1][i + 1]]).view(np.int64) if len(h) >= seed else sequence_gram(h) for i, h in enumerate(hashes)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(encoded)), long_lists([h.view(np.int64) for h in hashes]), long_lists(seeds)], ["item_id", "words", "seeds"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(encoded)), lists_of([h.view(np.int64) for h in hashes]), lists_of(seeds)], ["item_id", "words", "seeds"])
 
     items = arrow(benchmark.select(F.col("item_id").cast("long"), "text"), item_seeds, "item_id long, words array<long>, seeds array<long>").filter("size(words) > 0")
     items = written(items.groupBy("words").agg(F.min("item_id").alias("item_id"), F.first("seeds").alias("seeds")))
@@ -102,7 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
                     rows.append(at + i)
                     found.append(np.unique(seen[doc == i]))
                     words.append(w.hash[w.bounds[i] : w.bounds[i + 1]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), long_lists(words), long_lists(found)], ["doc_id", "words", "seeds"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), lists_of(words), lists_of(found)], ["doc_id", "words", "seeds"])
 
     # the few documents that hold a seed go on, as word hashes
     near = written(arrow(docs.select(F.col("doc_id").cast("long"), "text"), probe, "doc_id long, words array<long>, seeds array<long>").select(F.expr("uuid()").alias("row"), "doc_id", "words", "seeds"))

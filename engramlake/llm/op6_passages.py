@@ -1,11 +1,16 @@
-"""Substring dedup: repeated passages, found as runs of repeated paragraphs.
+"""Substring dedup: repeated passages, found as runs of repeated paragraphs and of repeated stretches of words.
 
 Paragraphs here are the smallest pieces that a passage keeps wherever it is pasted: sentences, cut
 at line feeds and at words that end with one of ``. ! ?``, joined where neighbours are short, and cut
-again by content where they are long. Each distinct paragraph has MinHash bands; paragraphs that collide in a band are verified by
-the exact Jaccard similarity of their word 5-grams in a prefix-tree join, and components of these
-links are clusters. Of each cluster the first paragraph stays. Neighbouring repeated paragraphs of
-a document make a passage, reported from MIN_WORDS words.
+again by content where they are long. Each has MinHash bands; paragraphs that collide in a band are
+verified by the exact Jaccard similarity of their word 5-grams in a prefix-tree join, and components
+of these links are clusters. Of each cluster the first paragraph stays.
+
+A passage needn't begin or end where a paragraph does, so stretches of STRETCH words are picked by
+content as well, one at least in any STRETCH places in a row: every repeat of 2 * STRETCH - 1 words
+holds one. One that several documents have grows word by word to both sides as far as it is the same
+in another document. Repeated paragraphs and stretches that touch make a passage, reported from
+MIN_WORDS words.
 """
 
 from __future__ import annotations
@@ -14,20 +19,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bits import filter_of, passes
 from .common import arrow, table, written
-from .op7_ngrams import long_lists
-from .simjoin import BLOCK, cluster
-from .textnum import U, Words, chunks, mix
+from .simjoin import BLOCK, PACKED, bucket_bits, cluster, pack, shared_keys
+from .textnum import U, Words, chunks, lists_of, mix, running
 
 SHINGLE, NUM, DEN = 5, 80, 100
-#: Bands of ROWS hashes: a pair at 0.8 collides with probability 1 - (1 - 0.8 ** 2) ** 5 = 0.994, at 0.9 with 0.9998.
-BANDS, ROWS = 5, 2
-#: A paragraph has at least SHORT words and is cut at words of a certain hash from LONG words on; a passage has MIN_WORDS.
-SHORT, LONG, CUT, MIN_WORDS = 8, 64, 16, 25
+#: Bands of ROWS hashes: a pair at 0.8 collides with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997, at 0.9 with 0.99999, at 0.2 with 0.06.
+BANDS, ROWS = 8, 3
+#: Neighbours under SHORT words are joined; paragraphs are cut at words of a certain hash from LONG words on.
+SHORT, LONG, CUT = 8, 64, 16
+#: Words of a stretch and of a reported passage: a few under 51, so that one counts whose first or last words were changed.
+STRETCH, MIN_WORDS = 26, 48
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U))
 _STOPS = np.zeros(256, bool)
 _STOPS[[33, 46, 63]] = True  # ! . ?
@@ -36,7 +43,7 @@ _PLAIN[48:58] = _PLAIN[97:123] = _PLAIN[128:] = True
 
 
 class Paragraphs:
-    """The paragraphs of encoded texts: word ranges ``first:last``, ``doc``, digests, and shingles with their bounds."""
+    """The paragraphs of encoded texts: word ranges ``first:last``, ``doc``, 128-bit digests, and shingles with their bounds."""
 
     def __init__(self, encoded: list[bytes]) -> None:
         w = self.words = Words(encoded)
@@ -61,127 +68,227 @@ class Paragraphs:
             np.add.at(inside, self.last[long], -1)
             last |= (np.cumsum(inside)[:n] > 0) & (w.hash % U(CUT) == 0)
             self.first, self.last = self._bounds(last)
-        keep = self.last - self.first >= SHORT
-        self.first, self.last = self.first[keep], self.last[keep]
         self.doc = doc[self.first] if len(self.first) else np.zeros(0, np.int64)
-        size = self.last - self.first
+        self.size = size = self.last - self.first
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        within = np.repeat(self.first, size) + place
         seats = np.cumsum(size) - size
-        self.digest = mix(np.add.reduceat(mix(w.hash[within] + place.astype(U) * U(0x9E3779B97F4A7C15)), seats)).view(np.int64) if len(size) else np.zeros(0, np.int64)
-        # the grams of a paragraph are those of its document that lie inside
-        grams = np.zeros(max(n - SHINGLE + 1, 0), U)
-        for k in range(SHINGLE):
-            grams += mix(w.hash[k : k + len(grams)] + U(k))
-        self.grams = mix(grams)
-        count = size - SHINGLE + 1
+        self.digest = [np.add.reduceat(mix(w.hash ^ mix(place.astype(U) + U(s))), seats).view(np.int64) if len(size) else np.zeros(0, np.int64) for s in (1, 1 << 40)]
+        # the grams of a paragraph are those of its document that lie inside; all its words if they are fewer
+        grams = running(w.hash, SHINGLE)
+        count = np.maximum(size - SHINGLE + 1, 1)
         self.gram_bounds = np.concatenate([[0], np.cumsum(count)])
-        self.gram_at = np.repeat(self.first - self.gram_bounds[:-1], count) + np.arange(count.sum())
+        at = np.repeat(self.first - self.gram_bounds[:-1], count) + np.arange(count.sum())
+        small = np.repeat(size < SHINGLE, count)
+        self.grams = np.where(small, np.repeat(self.digest[0].view(U), count), grams[np.minimum(at, max(len(grams) - 1, 0))] if len(grams) else U(0))
 
     @staticmethod
     def _bounds(last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.flatnonzero(last) + 1
         return np.concatenate([[0], ends[:-1]]) if len(ends) else ends, ends
 
-    def band_keys(self) -> np.ndarray:
-        """A row of BANDS keys for each paragraph."""
-        if not len(self.first):
-            return np.zeros((0, BANDS), np.int64)
-        g = self.grams[self.gram_at]
-        least = [np.minimum.reduceat(mix(g ^ s), self.gram_bounds[:-1]) for s in _SEEDS]
-        return np.stack([mix(sum((least[b * ROWS + r] * U(2 * r + 3) for r in range(1, ROWS)), least[b * ROWS]) + U(b)) for b in range(BANDS)], axis=1).view(np.int64)
+    def band_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the bands and the paragraph of each; below SHORT words sets are linked only if equal and have none."""
+        which = np.flatnonzero(self.size >= SHORT)
+        if not len(which):
+            return np.zeros(0, np.int64), which
+        least = [np.minimum.reduceat(mix(self.grams ^ s), self.gram_bounds[:-1])[which] for s in _SEEDS]
+        keys = [mix(sum((least[b * ROWS + r] * U(2 * r + 3) for r in range(1, ROWS)), least[b * ROWS]) + U(b)) for b in range(BANDS)]
+        return np.concatenate(keys).view(np.int64), np.tile(which, BANDS)
 
     def sets(self, which: np.ndarray) -> list[np.ndarray]:
-        g = self.grams[self.gram_at].view(np.int64)
+        g = self.grams.view(np.int64)
         return [np.unique(g[self.gram_bounds[i] : self.gram_bounds[i + 1]]) for i in which]
 
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each paragraph in code points of its text."""
-        points = np.concatenate([[0], np.cumsum((self.words.data & 0xC0) != 0x80)])
-        base = points[self.words.offset[:-1]][self.doc] if len(self.doc) else 0
-        return points[self.words.start[self.first]] - base, points[self.words.end[self.last - 1]] - base
 
+def stretches(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the picked stretches: those of the least hash among any STRETCH places in a row within a text."""
+    k, grams = STRETCH, running(w.hash, STRETCH)
+    if len(grams) < k:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.arange(len(grams) - k + 1)
+    start = start[start + 2 * k - 1 <= w.bounds[np.searchsorted(w.bounds, start, "right")]]
+    at = np.unique(start + np.lib.stride_tricks.sliding_window_view(grams, k)[start].argmin(axis=1))
+    return at, grams[at].view(np.int64)
+
+
+def code_points(w: Words) -> np.ndarray:
+    """Code points before each byte."""
+    return np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, row_hash and doc, a hash of doc_id that is never null."""
+    i = F.col("doc_id").cast("long")
+    return docs.select(i.alias("doc_id"), "text", F.xxhash64("text").alias("row_hash"), F.xxhash64(i.isNull(), i).alias("doc"))
+
+
+def _postings(docs: DataFrame) -> DataFrame:
+    """Packed postings: of bands by paragraph, and of whole paragraphs and stretches by document, of which only the repeated keys are wanted."""
+    bits = bucket_bits(int((docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 8))  # about so many
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
+        for b in batches:
+            ids = b.column(1).to_numpy(zero_copy_only=False)
+            for at, encoded in chunks(b.column(0).to_pylist()):
+                p, place = Paragraphs(encoded), place + 1
+                keys, which = p.band_keys()
+                yield pack(keys, p.digest[0][which], bits, place)
+                start, hashes = stretches(p.words)
+                doc = np.searchsorted(p.words.bounds, start, "right") - 1
+                yield pack(np.concatenate([p.digest[0], hashes]), ids[np.concatenate([p.doc, doc]) + at], bits, place, alone=True)
+
+    return arrow(docs.select("text", "doc"), run, PACKED)
 
-def _paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, row_hash, ordinal, place, end, word (the first one's index), n_words, node (digest) and keys of every paragraph."""
+
+def _hits(docs: DataFrame, pairs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The paragraphs and stretches of docs that may be in pairs or repeated: doc_id, row_hash, word (the first one's index), n_words, place, end, d1, d2 (digest; of stretches d1 alone) and tokens of those in pairs, once a task."""
+    sc = docs.sparkSession.sparkContext
+    near = pairs.select("node").union(pairs.select("hub")).distinct()
+    joined, again = (sc.broadcast(filter_of(x)) for x in (near, repeated))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # paragraphs whose tokens this task has returned, anew when they are many
         for b in batches:
-            ids, rows = b.column(0), b.column(2)
             for at, encoded in chunks(b.column(1).to_pylist()):
                 p = Paragraphs(encoded)
-                which = pa.array(p.doc + at)
-                ordinal = np.arange(len(p.doc)) - np.searchsorted(p.doc, p.doc) if len(p.doc) else np.zeros(0, np.int64)
-                start, end = p.places()
-                keys = p.band_keys()
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
+                w, points = p.words, code_points(p.words)
+                linked = passes(joined.value, p.digest[0])
+                some = np.flatnonzero(linked | passes(again.value, p.digest[0]))
+                start, hashes = stretches(w)
+                which = np.flatnonzero(passes(again.value, hashes))
+                start, hashes = start[which], hashes[which]
+                doc = np.concatenate([p.doc[some], np.searchsorted(w.bounds, start, "right") - 1])
+                first, last = np.concatenate([p.first[some], start]), np.concatenate([p.last[some], start + STRETCH])
+                tokens: list = [None] * len(doc)
+                for j, i in enumerate(some.tolist()):
+                    if linked[i] and (name := int(p.digest[0][i])) not in sent:
+                        sent.add(name)
+                        tokens[j] = p.sets([i])[0].tolist()
+                if len(sent) > 200_000:
+                    sent.clear()
+                base = points[w.offset[:-1]][doc]
+                numbers = (first - w.bounds[doc], last - first, points[w.start[first]] - base, points[w.end[last - 1]] - base, np.concatenate([p.digest[0][some], hashes]))
+                rows = pa.array(doc + at)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(which), rows.take(which), *(pa.array(x.astype(np.int32)) for x in (ordinal, start, end, p.first - p.words.bounds[p.doc], p.last - p.first)), pa.array(p.digest), lists],
-                    ["doc_id", "row_hash", "ordinal", "place", "end", "word", "n_words", "node", "keys"],
+                    [b.column(0).take(rows), b.column(2).take(rows), *(pa.array(x.astype(np.int64)) for x in numbers), pa.array([*p.digest[1][some].tolist(), *[None] * len(start)], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
+                    ["doc_id", "row_hash", "word", "n_words", "place", "end", "d1", "d2", "tokens"],
                 )
 
-    return arrow(docs, run, "doc_id long, row_hash long, ordinal int, place int, end int, word int, n_words int, node long, keys array<long>")
+    return arrow(docs.select("doc_id", "text", "row_hash"), run, "doc_id long, row_hash long, word long, n_words long, place long, end long, d1 long, d2 long, tokens array<long>")
+
+
+def _sides(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """All occurrences of the stretches of ``ends`` (one column of hashes): doc_id, row_hash, word, d1, and for each side the hashes of up to STRETCH words, nearest first, with the code points where they start or end."""
+    held = docs.sparkSession.sparkContext.broadcast(filter_of(ends))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, encoded in chunks(b.column(1).to_pylist()):
+                w, points = Words(encoded), None
+                start, hashes = stretches(w)
+                which = np.flatnonzero(passes(held.value, hashes))
+                if not len(which):
+                    continue
+                start, hashes = start[which], hashes[which]
+                points = code_points(w)
+                doc = np.searchsorted(w.bounds, start, "right") - 1
+                base = points[w.offset[:-1]]
+                short = (w.hash >> U(33)).astype(np.int64)
+                before, after = [], []
+                for s, d in zip(start.tolist(), doc.tolist(), strict=True):
+                    left, right = slice(max(s - STRETCH, w.bounds[d]), s), slice(s + STRETCH, min(s + 2 * STRETCH, w.bounds[d + 1]))
+                    before.append((short[left][::-1], points[w.start[left]][::-1] - base[d]))
+                    after.append((short[right], points[w.end[right]] - base[d]))
+                rows = pa.array(doc + at)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(rows), b.column(2).take(rows), pa.array(start - w.bounds[doc]), pa.array(hashes), *(lists_of([x[k] for x in side]).cast(pa.list_(pa.int32())) for side in (before, after) for k in (0, 1))],
+                    ["doc_id", "row_hash", "word", "d1", "before", "before_at", "after", "after_at"],
+                )
+
+    found = arrow(docs.select("doc_id", "text", "row_hash"), run, "doc_id long, row_hash long, word long, d1 long, before array<int>, before_at array<int>, after array<int>, after_at array<int>")
+    return found.join(ends.toDF("k"), F.col("d1") == F.col("k"), "left_semi").distinct()
+
+
+def _same(a: Column, b: Column) -> Column:
+    """How many first elements two arrays share."""
+    n = F.least(F.size(a), F.size(b))
+    apart = F.array_position(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x != y), True)
+    return F.when(apart > 0, apart - 1).otherwise(n.cast("long"))
+
+
+def _shared_side(sides: DataFrame, side: str) -> DataFrame:
+    """d1, side and ``more``: how many words of what stands there another document has there too.
+
+    What stands on a side is grouped first, so that a stretch of any number of documents has a row for
+    each different side. In the order of sides the longest common part is a neighbour's; two to either
+    direction are seen, so that a document's own other occurrences don't hide it.
+    """
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))
+    each = sides.filter(F.size(side) > 0).groupBy("d1", side).agg(F.min(who).alias("low"), F.max(who).alias("high"))
+    w = Window.partitionBy("d1", F.get(side, F.lit(0))).orderBy(side)
+    near = [tuple(f(c, k).over(w) for c in (side, "low", "high")) for f in (F.lag, F.lead) for k in (1, 2)]
+    other = [F.when((low != F.col("low")) | (high != F.col("low")), _same(F.col(side), words)).otherwise(0) for words, low, high in near]
+    more = F.when(F.col("low") != F.col("high"), F.size(side)).otherwise(F.greatest(F.lit(0), *other))
+    return each.select("d1", side, more.cast("int").alias("more"))
 
 
-def repeated_paragraphs(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
-    """doc_id, row_hash, ordinal, place, end, word, n_words, component and keep of every paragraph whose cluster more than one document has.
+def repeated_pieces(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
+    """doc_id, row_hash, word (the first one's index), n_words, place and end (code points), component, keep and whole of every repeated paragraph and stretch.
 
-    keep is true for the cluster's first paragraph, by document, text and position. A null text has no
-    paragraphs; null doc_ids are one document that comes last; repeated rows are the same paragraphs.
+    A paragraph is repeated if more than one document has its cluster, a stretch if more than one has it.
+    keep is true for the cluster's first piece, by document, text and position; whole is false for words
+    next to a stretch that another document shares there, which have no cluster of their own. A null text
+    has no words; null doc_ids are one document that comes last; repeated rows are the same pieces.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text").select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
-    found = written(_paragraphs(docs))
-    postings = found.select(F.explode("keys").alias("key"), "node")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(filter_of(nodes))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sent: set[int] = set()  # paragraphs that this task has returned, anew when they are many
-            for b in batches:
-                for _, encoded in chunks(b.column(0).to_pylist()):
-                    p = Paragraphs(encoded)
-                    which = np.flatnonzero(passes(held.value, p.digest))
-                    which = which[[v not in sent for v in p.digest[which].tolist()]] if len(which) else which
-                    if len(which):
-                        which = which[np.sort(np.unique(p.digest[which], return_index=True)[1])]
-                    if len(sent) > 200_000:
-                        sent.clear()
-                    sent.update(p.digest[which].tolist())
-                    yield pa.RecordBatch.from_arrays([pa.array(p.digest[which]), long_lists(p.sets(which))], ["node", "tokens"])
-
-        once = arrow(docs.select("text"), run, "node long, tokens array<long>")
-        return once.groupBy("node").agg(F.first("tokens").alias("tokens"))
-
-    labels = cluster(postings, sets_of, num, den, block)
-    part = found.select("doc_id", "row_hash", "ordinal", "place", "end", "word", "n_words", "node")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash", "ordinal")
-    # per distinct paragraph first, so that a hot one is a partial aggregate
-    each = part.groupBy("node").agg(F.min(order).alias("low"), F.max(order).alias("high")).join(labels, "node", "left").select("node", "low", "high", F.coalesce("label", "node").alias("component"))
-    each = written(each.filter("component <> node OR low.doc_id <> high.doc_id OR low.last <> high.last").union(each.join(labels.select("label").distinct(), each.node == F.col("label"), "left_semi")).distinct())
-    both = each.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low.doc_id <> high.doc_id OR low.last <> high.last").select("component", F.col("low").alias("first"))
-    repeated = each.join(both, "component").select("node", "component", "first")
-    return part.join(repeated, "node").select("doc_id", "row_hash", "ordinal", "place", "end", "word", "n_words", "component", (order == F.col("first")).alias("keep"))
+    docs = _rows(docs)
+    shared = written(shared_keys(_postings(docs)))
+    pairs, repeated = shared.filter("node IS NOT NULL"), shared.filter("node IS NULL").select(F.col("hub").alias("key"))
+    hits = written(_hits(docs, pairs, repeated))
+    named = written(hits.filter("tokens IS NOT NULL").groupBy("d1", "d2").agg(F.first("tokens").alias("tokens")).withColumn("name", F.monotonically_increasing_id()))
+    found = cluster(pairs, lambda nodes: named.select("name", F.col("d1").alias("node"), "tokens").join(nodes, "node", "left_semi"), num, den, block)
+    top = named.select(F.col("name").alias("label"), F.col("d1").alias("c1"), F.col("d2").alias("c2"))
+    cluster_of = found.join(named.select(F.col("name").alias("node"), "d1", "d2"), "node").join(top, "label").select("d1", "d2", "c1", "c2")
+    own = ["doc_id", "row_hash", "word", "n_words", "place", "end"]
+    paragraphs = hits.filter("d2 IS NOT NULL").select(*own, "d1", "d2").join(cluster_of, ["d1", "d2"], "left").select(*own, F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
+    stretch = written(hits.filter("d2 IS NULL").select(*own, "d1").join(repeated.withColumnRenamed("key", "d1"), "d1", "left_semi").distinct())
+    pieces = paragraphs.distinct().union(stretch.select(*own, F.col("d1").alias("c1"), F.lit(0).cast("long").alias("c2")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash", "word")
+    both = pieces.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.max(order).alias("high")).filter("first.doc_id <> high.doc_id OR first.last <> high.last").select("c1", "c2", "first")
+    whole = pieces.join(both, ["c1", "c2"]).select(*own, F.col("c1").alias("component"), (order == F.col("first")).alias("keep"), F.lit(True).alias("whole"))
+    # stretches that begin or end a row of them in some document grow there
+    w = Window.partitionBy("doc_id", "row_hash").orderBy("word")
+    reach = F.col("word") + F.col("n_words")
+    edge = F.coalesce(F.lag(reach).over(w) < F.col("word"), F.lit(True)) | F.coalesce(F.lead("word").over(w) > reach, F.lit(True))
+    sides = written(_sides(docs, stretch.withColumn("edge", edge).filter("edge").select("d1").distinct()))
+    grown = []
+    for side, at in (("before", "before_at"), ("after", "after_at")):
+        more = sides.join(_shared_side(sides, side).filter("more > 0"), ["d1", side]).join(stretch.select("doc_id", "row_hash", "word", F.col("place").alias("p"), F.col("end").alias("e")).withColumnRenamed("doc_id", "i"), ["row_hash", "word"]).filter(F.col("doc_id").eqNullSafe(F.col("i")))
+        outer = F.get(at, F.col("more") - 1).cast("long")
+        word, place, end = (F.col("word") - F.col("more"), outer, F.col("p")) if side == "before" else (F.col("word") + STRETCH, F.col("e"), outer)
+        grown.append(more.select("doc_id", "row_hash", word.alias("word"), F.col("more").cast("long").alias("n_words"), place.alias("place"), end.alias("end"), F.lit(None).cast("long").alias("component"), F.lit(None).cast("boolean").alias("keep"), F.lit(False).alias("whole")))
+    return whole.union(grown[0]).union(grown[1])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
-    """A row for each passage: doc_id, start and end (code points), n_words, n_paragraphs, n_removed (those that aren't the first of their cluster) and components (sorted, distinct).
+    """A row for each passage: doc_id, start and end (code points), n_words, n_pieces, n_removed (those that aren't the first of their cluster) and components (sorted, distinct).
 
-    A passage is a run of repeated paragraphs without another one in between, of min_words words at least
-    from the first to the last; a few words too short to be a paragraph may lie in between.
+    A passage is a row of repeated pieces that touch or overlap, of min_words words at least from the first to the last.
     """
-    p = repeated_paragraphs(docs, num, den, block).distinct()
-    row = Window.partitionBy("doc_id", "row_hash").orderBy("ordinal")
-    runs = p.select("*", (F.col("ordinal") - F.row_number().over(row)).alias("run"))
+    p = repeated_pieces(docs, num, den, block)
+    before = Window.partitionBy("doc_id", "row_hash").orderBy("word", "end", "component").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.col("word") + F.col("n_words")
+    new = p.select("*", F.coalesce((F.col("word") > F.max(reach).over(before)).cast("int"), F.lit(1)).alias("new"))
+    runs = new.select("*", F.sum("new").over(Window.partitionBy("doc_id", "row_hash").orderBy("word", "end", "component").rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     out = runs.groupBy("doc_id", "row_hash", "run").agg(
-        F.min("place").cast("long").alias("start"),
-        F.max("end").cast("long").alias("end"),
-        (F.max(F.col("word") + F.col("n_words")) - F.min("word")).cast("long").alias("n_words"),
-        F.count("*").alias("n_paragraphs"),
-        F.sum(F.when(F.col("keep"), 0).otherwise(1)).cast("long").alias("n_removed"),
+        F.min("place").alias("start"),
+        F.max("end").alias("end"),
+        (F.max(reach) - F.min("word")).alias("n_words"),
+        F.count_if("whole").alias("n_pieces"),
+        F.count_if(~F.col("keep")).alias("n_removed"),
         F.sort_array(F.collect_set("component")).alias("components"),
     )
-    return out.filter(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "n_paragraphs", "n_removed", "components")
+    return out.filter(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "n_pieces", "n_removed", "components")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 #: About so many bytes of text are held as arrays at a time.
@@ -35,7 +36,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=U))
 _STEP = U(0x9E3779B97F4A7C15)
-_SEATS = mix(np.arange(1000, 1064, dtype=U)) | U(1)
+#: The base of running hashes, and its inverse modulo 2^64.
+_BASE = U(0xD1342543DE82EF95)
+_BACK = U(pow(int(_BASE), -1, 1 << 64))
 
 
 def chunks(texts: list[str | None], size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
@@ -67,13 +70,18 @@ class Words:
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n consecutive words and the bounds of each text's; shorter texts have none."""
         count = np.maximum(np.diff(self.bounds) - n + 1, 0)
-        total = max(len(self.hash) - n + 1, 0)
-        out = np.zeros(total, U)
-        for k in range(n):
-            out += self.hash[k : k + total] * _SEATS[k]
-        out = mix(out + U(n))
-        at = np.repeat(self.bounds[:-1] - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
-        return out[at], np.concatenate([[0], np.cumsum(count)])
+        ends = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat(self.bounds[:-1] - ends[:-1], count) + np.arange(ends[-1])
+        return running(self.hash, n)[at], ends
+
+
+def running(words: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin hashes of any n consecutive word hashes: differences of one running sum of a polynomial, scaled back, so that n costs nothing."""
+    if len(words) < n:
+        return np.zeros(0, U)
+    power, back = (np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(words) - 1, x)])) for x in (_BASE, _BACK))
+    total = np.concatenate([[U(0)], np.cumsum(words * power, dtype=U)])
+    return mix((total[n:] - total[:-n]) * back[: len(words) - n + 1] + U(n))
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -92,5 +100,15 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def sequence_hash(words: np.ndarray) -> np.ndarray:
-    """One hash, in an array, for a whole sequence of under 64 word hashes."""
-    return mix((words * _SEATS[: len(words)]).sum(keepdims=True, dtype=U) + U(len(words)))
+    """One hash, in an array, for a whole sequence of word hashes."""
+    return running(words, len(words))
+
+
+def long_lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """``values[bounds[i]:bounds[i + 1]]`` as a list column."""
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, pa.int64()))
+
+
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays as a list column."""
+    return long_lists(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(a) for a in arrays])]))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from engramlake.llm import op6_passages as S
 from engramlake.llm import op7_ngrams as N
 from engramlake.llm import op10_tiling as T
+from engramlake.llm import simjoin as J
 from engramlake.llm.bits import filter_of, passes
 from engramlake.llm.common import connected_components
 from engramlake.llm.simjoin import PrefixTree
@@ -62,27 +63,58 @@ def test_prefix_tree_finds_all_links(sets, ratio):
     assert [tree.label(i) for i in range(len(sets))] == roots(len(sets), links)
 
 
+def linked(a, b, num, den):
+    return den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b))
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.integers(10, 400), st.integers(0, 40), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100)]))
-def test_linked_sets_share_a_key(n, change, seed, ratio):
+@given(st.integers(1, 400), st.integers(0, 40), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100)]))
+def test_linked_sets_share_a_key_and_pass_the_signature(n, change, seed, ratio):
     num, den = ratio
     r = np.random.default_rng(seed)
     a = np.unique(r.integers(-(2**63), 2**63 - 1, n))
     gone = r.random(len(a)) < change / (2 * n)
     b = np.unique(np.concatenate([a[~gone], r.integers(-(2**63), 2**63 - 1, int(gone.sum()) + r.integers(0, change // 4 + 1))]))
-    both, every = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-    if den * both >= num * every and both < every:
-        classes = N.size_classes(num, den)
-        assert set(N.part_keys(a, classes, num, den)) & set(N.part_keys(b, classes, num, den))
-
-
-def test_sets_below_the_first_class_share_a_key():
-    tokens = np.unique(np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 10))
-    for num, n in ((90, 10), (80, 5), (50, 2)):
-        classes = N.size_classes(num, 100)
-        for at in range(n):
-            assert set(N.part_keys(tokens[:n], classes, num, 100)) & set(N.part_keys(np.delete(tokens[:n], at), classes, num, 100))
-        assert not len(N.part_keys(tokens[: n - 2], classes, num, 100))
+    if len(b) and linked(a, b, num, den):
+        size = N.prefix(np.array([len(a), len(b)]), num, den)
+        assert set(a[: size[0]]) & set(b[: size[1]])
+        two = sorted((a, b), key=len)
+        sigs = J.signatures(np.concatenate(two), np.cumsum([0, len(two[0]), len(two[1])]))
+        assert J.may_link(np.array([len(x) for x in two]), sigs, num, den).all()
+
+
+def test_signatures_reject_what_differs():
+    r = np.random.default_rng(2)
+    sets = sorted((np.unique(r.integers(-(2**63), 2**63 - 1, int(n))) for n in r.integers(20, 900, 60)), key=len)
+    sigs = J.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    assert not J.may_link(np.array([len(s) for s in sets]), sigs, 80, 100).any()
+
+
+def test_shared_keys_name_every_node_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(J, "PACK", 50)  # several rows and meetings a bucket
+    r = random.Random(4)
+    nodes = [(i, sorted(r.sample(range(120), r.randrange(0, 6)))) for i in range(200)] + [(999, [7] * 1), (1000, [])]
+    postings = J.packed(spark.createDataFrame(nodes, "node long, keys array<long>").repartition(3))
+    got = {(x.hub, x.node) for x in J.shared_keys(postings).collect()}
+    by = {}
+    for i, keys in nodes:
+        for k in keys:
+            by.setdefault(k, set()).add(i)
+    assert {x.hub for x in J.shared_keys(postings.withColumn("alone", F.lit(True))).collect()} == {k for k, v in by.items() if len(v) > 1}
+    groups = {}
+    for hub, node in got:
+        groups.setdefault(hub, {hub}).add(node)
+    # the nodes of a key are one group's, and no group has a node without a key of its hub
+    assert all(any(v <= g for g in groups.values()) for v in by.values() if len(v) > 1)
+    assert all(set(dict(nodes)[h]) & set(dict(nodes)[n]) for h, n in got)
+
+
+def test_frequent_grams_come_last(spark):
+    docs = [(f"common words that all of them share {i} own{i} text{i} here{i} too{i}",) for i in range(40)]
+    classes = N.frequency_classes(spark.createDataFrame(docs, "text string"), 3)
+    tokens, bounds = N.Grams([docs[0][0].encode()], 3).sets(classes, 1)
+    shared = {x for d in docs[1:2] for x in N.Grams([d[0].encode()], 3).sets(classes, 1)[0].tolist()}
+    assert [t in shared for t in tokens.tolist()] == [False] * 5 + [True] * 5 and bounds.tolist() == [0, 10]
 
 
 def test_a_word_before_or_after_a_short_text_is_no_barrier(spark):
@@ -130,6 +162,10 @@ def test_near_duplicates_are_exact(spark):
     rows = [(None, texts[0]), (3, texts[0]), (3, texts[0]), (3, "quite another text here"), (4, None), (None, None)]
     got = sorted(((r.doc_id, r.n_shingles > 0, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()), key=str)
     assert got == sorted([(None, True, 3), (3, True, 3), (3, True, 3), (3, True, 3), (4, False, 4), (None, False, None)], key=str)
+    w = [f"n{i}" for i in range(60)]
+    rows = [(5, " ".join(w)), (None, " ".join([*w, "a", "b"])), (6, " ".join([*w, "a", "b", "c", "d", "e"])), (None, "alone of its kind"), (None, "alone of its kind")]
+    got = sorted(((r.doc_id, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert got == sorted([(5, 5), (None, 5), (6, 5), (None, None), (None, None)], key=str)  # 5 and 6 are linked by the row without an id alone
     assert N.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
