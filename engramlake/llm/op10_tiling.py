@@ -2,13 +2,13 @@
 
 Benchmark items and documents are joined on shared seeds, the hashes of SEED consecutive words that a
 running Karp-Rabin hash gives. For each joined pair the longest match of unmarked words is marked
-again and again, down to SEED words; tiles may come in any order, so reordered passages count. An
-item is in a document when its tiles cover COVERAGE of its words.
+again and again, down to SEED words; running hashes of any length find it in time and memory that
+grow with the words, not with their pairs. Tiles may come in any order, so reordered passages count.
+An item is in a document when its tiles cover COVERAGE of its words.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bits import filter_of, passes
 from .common import arrow, table, written
-from .textnum import ALNUM, Words, chunks, lists_of, sequence_hash
+from .textnum import ALNUM, Running, Words, chunks, lists_of, sequence_hash
 
 SEED, COVERAGE = 5, 0.5
 
@@ -26,41 +26,48 @@ SEED, COVERAGE = 5, 0.5
 def tiles(doc: np.ndarray, item: np.ndarray, seed: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of word hashes: (start in doc, start in item, length), longest first.
 
-    Matches are maximal runs of equal words on a diagonal; ties go to the earlier place in the item,
-    then in the document. An item shorter than seed is matched whole.
+    If some length has a match, so has any shorter one, so the longest is found by halving. Ties go to
+    the earlier place in the item, then in the document. An item shorter than seed is matched whole.
     """
     seed = min(seed, len(item))
     if not seed or len(doc) < seed:
         return []
-    # places of equal seeds: words of the item by hash, in order
-    order = np.argsort(item, kind="stable")
-    low, high = np.searchsorted(item[order], doc, "left"), np.searchsorted(item[order], doc, "right")
-    count = high - low
-    at = np.repeat(np.arange(len(doc)), count)
-    to = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-    if not len(at):
-        return []
-    by = np.lexsort((at, at - to))
-    at, to = at[by], to[by]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(to) != 1)]))
-    size = np.diff(np.concatenate([new, [len(at)]]))
-    long = size >= seed
-    heap = [(-n, j, i) for n, j, i in zip(size[long].tolist(), to[new][long].tolist(), at[new][long].tolist(), strict=True)]
-    heapq.heapify(heap)
-    in_doc, in_item, out = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
-    while heap:
-        n, j, i = heapq.heappop(heap)
-        n = -n
-        free = ~(in_doc[i : i + n] | in_item[j : j + n])
-        if free.all():
-            in_doc[i : i + n] = in_item[j : j + n] = True
-            out.append((i, j, n))
-            continue
-        edge = np.diff(free.view(np.int8), prepend=0, append=0)
-        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-            if b - a >= seed:
-                heapq.heappush(heap, (a - b, j + a, i + a))
-    return out
+    a, b = Running(doc), Running(item)
+    hits = np.arange(len(doc) - seed + 1)
+    hits = hits[np.isin(a.at(hits, seed), b.at(np.arange(len(item) - seed + 1), seed))]  # a match begins with a seed
+    in_doc, in_item = np.zeros(len(doc) + 1, np.int64), np.zeros(len(item) + 1, np.int64)  # marked words before each place
+
+    def match(n: int) -> tuple[int, int] | None:
+        """Places in document and item of the first match of n unmarked words."""
+        to = np.flatnonzero(in_item[n:] == in_item[: len(item) - n + 1])
+        at = hits[hits <= len(doc) - n]
+        at = at[in_doc[at + n] == in_doc[at]]
+        if not len(to) or not len(at):
+            return None
+        there, here = b.at(to, n), a.at(at, n)
+        for j in np.flatnonzero(np.isin(there, here)).tolist():
+            for i in at[here == there[j]].tolist():
+                if np.array_equal(doc[i : i + n], item[to[j] : to[j] + n]):
+                    return i, int(to[j])
+        return None
+
+    out, high = [], min(len(doc), len(item))
+    while True:
+        low, best = seed - 1, None  # low has a match, high may
+        while low < high:
+            n = (low + high + 1) // 2
+            if (found := match(n)) is None:
+                high = n - 1
+            else:
+                low, best = n, found
+        if best is None:
+            return out
+        i, j = best
+        out.append((i, j, low))
+        for marks, at in ((in_doc, i), (in_item, j)):
+            marks[at + 1 : at + low + 1] += np.arange(1, low + 1)
+            marks[at + low + 1 :] += low
+        high = low
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
@@ -77,12 +84,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
                 w = Words(encoded, ALNUM)
                 grams = w.grams(seed)
                 hashes = [w.hash[w.bounds[i] : w.bounds[i + 1]] for i in range(len(encoded))]
-                seeds = [np.unique(grams[0][grams[1][i] : grams[1][i + 1]]).view(np.int64) if len(h) >= seed else sequence_gram(h) for i, h in enumerate(hashes)]
+                seeds = [grams[0][grams[1][i] : grams[1][i + 1]].view(np.int64) if len(h) >= seed else sequence_gram(h) for i, h in enumerate(hashes)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(encoded)), lists_of([h.view(np.int64) for h in hashes]), lists_of(seeds)], ["item_id", "words", "seeds"])
 
     items = arrow(benchmark.select(F.col("item_id").cast("long"), "text"), item_seeds, "item_id long, words array<long>, seeds array<long>").filter("size(words) > 0")
     items = written(items.groupBy("words").agg(F.min("item_id").alias("item_id"), F.first("seeds").alias("seeds")))
-    seeds = items.select("item_id", F.explode("seeds").alias("seed"))
+    size = F.size("words")
+    # tiles are of seed words at least, so that many of the item's places have a shared seed
+    least = F.greatest(F.lit(1), F.ceil(size * coverage / seed - 1e-9))
+    seeds = items.select("item_id", least.alias("least"), F.explode("seeds").alias("seed")).groupBy("item_id", "least", "seed").agg(F.count("*").alias("places"))
     sizes = [r[0] for r in items.select(F.least(F.size("words"), F.lit(seed)).alias("n")).distinct().collect()]  # at most seed numbers
     held = spark.sparkContext.broadcast(filter_of(seeds.select("seed")))
 
@@ -105,7 +115,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
 
     # the few documents that hold a seed go on, as word hashes
     near = written(arrow(docs.select(F.col("doc_id").cast("long"), "text"), probe, "doc_id long, words array<long>, seeds array<long>").select(F.expr("uuid()").alias("row"), "doc_id", "words", "seeds"))
-    pairs = near.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").select("row", "item_id").distinct().join(items.select("item_id", "words"), "item_id")
+    pairs = near.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row", "item_id", "least").agg(F.sum("places").alias("places")).filter("places >= least")
+    pairs = pairs.select("row", "item_id").join(items.select("item_id", "words"), "item_id")
     # a document and then its items, one by one: no task holds more than one document and one item
     stream = near.select("row", "doc_id", F.lit(None).cast("long").alias("item_id"), "words").union(pairs.select("row", F.lit(None).cast("long"), "item_id", "words"))
 

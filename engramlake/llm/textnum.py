@@ -75,13 +75,21 @@ class Words:
         return running(self.hash, n)[at], ends
 
 
+class Running:
+    """Karp-Rabin hashes of consecutive word hashes: differences of one running sum of a polynomial, scaled back, so that their length costs nothing."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        power, self.back = (np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(words), x)])) for x in (_BASE, _BACK))
+        self.total = np.concatenate([[U(0)], np.cumsum(words.view(U) * power[:-1], dtype=U)])
+
+    def at(self, starts: np.ndarray, n: int) -> np.ndarray:
+        """Of the n words from each of these places."""
+        return mix((self.total[starts + n] - self.total[starts]) * self.back[starts] + U(n))
+
+
 def running(words: np.ndarray, n: int) -> np.ndarray:
-    """Karp-Rabin hashes of any n consecutive word hashes: differences of one running sum of a polynomial, scaled back, so that n costs nothing."""
-    if len(words) < n:
-        return np.zeros(0, U)
-    power, back = (np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(words) - 1, x)])) for x in (_BASE, _BACK))
-    total = np.concatenate([[U(0)], np.cumsum(words * power, dtype=U)])
-    return mix((total[n:] - total[:-n]) * back[: len(words) - n + 1] + U(n))
+    """The hashes of any n consecutive words."""
+    return Running(words).at(np.arange(max(len(words) - n + 1, 0)), n)
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

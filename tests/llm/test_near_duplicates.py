@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -220,6 +221,15 @@ def test_tiles_are_greedy(doc, item, least):
     assert all(doc[i : i + n] == item[j : j + n] for i, j, n in got)
 
 
+def test_tiles_of_repetitive_texts_take_little():
+    same = np.full(200_000, 7, np.int64)
+    tracemalloc.start()
+    assert T.tiles(same, same[:200]) == [(0, 0, 200)]
+    assert T.tiles(np.tile(np.arange(3), 60_000), np.tile(np.arange(3), 70)[1:]) == [(1, 0, 209)]
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_decontamination(spark):
     r = random.Random(7)
     item = [f"q{r.randrange(900)}" for _ in range(40)]
