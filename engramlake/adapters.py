@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr as E
+from .operators import ingest
 
 NOW = "2024-02-15 00:00:00+00:00"
 #: Tier and entry type of each event type.
@@ -44,7 +45,7 @@ def document_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     title = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
     path = F.concat(F.lit("/"), "lang", F.lit("/"), "source")
-    l0, l1 = E.fallback_abstract(title, F.col("text")), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.substring("text", 1, 2000))
+    l0, l1 = E.fallback_abstract(title, F.col("text")), F.when(F.col("doc_id") % 5 == 0, "").otherwise(ingest.extractive(title, path, F.lit("reference"), F.col("text"))[1])
     rows = d.select("doc_id", title.alias("title"), path.alias("hierarchy_path"), l0.alias("l0_abstract"), l1.alias("l1_overview"), E.tokens(F.col("text")).alias("l2_tokens"))
     return rows.select("*", E.tokens(F.col("l0_abstract")).alias("l0_tokens"), E.tokens(F.col("l1_overview")).alias("l1_tokens"), E.l2_path(F.col("hierarchy_path"), F.col("title")).alias("l2_file_path"))
 
@@ -61,8 +62,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twenty vectors as a batch of queries, with budgets, agents and, for every third, a directory."""
-    q = table(spark, sf_dir, "embeddings").filter("vec_id < 20")
+    """Every vector whose id is divisible by 100 as a query against all, with budgets, agents and, for every third, a directory."""
+    q = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0")
     budget = F.element_at(F.array(F.lit(1000), F.lit(4000), F.lit(20000)), (F.col("vec_id") % 3 + 1).cast("int"))
     return q.select(F.col("vec_id").alias("query_id"), "embedding", budget.alias("token_budget"), F.concat(F.lit("query "), F.col("vec_id").cast("string")).alias("query_text"), F.lit("agent").alias("agent_id"), F.when(F.col("vec_id") % 3 == 0, "/en").alias("directory"))
 
@@ -93,7 +94,23 @@ def conversation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes from labels for the events of that id; each id has five in order."""
+    """Outcomes from labels for the events of their ids, three in order."""
     lab = table(spark, sf_dir, "labels")
-    score = F.when(F.col("toxic") == 1, 0.1).when(F.col("quality") == 1, 0.9).otherwise(0.5)
-    return lab.select(F.concat(F.lit("evt-"), (F.col("doc_id") % 400).cast("string")).alias("id"), F.col("doc_id").alias("seq"), score.alias("task_score"))
+    steps = F.array(F.when(F.col("toxic") == 1, 0.1).otherwise(0.5), F.when(F.col("quality") == 1, 0.9).otherwise(0.5), F.col("doc_id") % 11 / F.lit(10.0))
+    return lab.select(F.concat(F.lit("evt-"), F.col("doc_id").cast("string")).alias("id"), F.posexplode(steps).alias("seq", "task_score"))
+
+
+def memory_files(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """The entries as JSON-lines files of a folder, one for each tier and file, after a header."""
+    e = event_entries(spark, sf_dir)
+    head = e.select("tier", "file").distinct().select("tier", "file", F.lit(-1).cast("long").alias("line_no"), F.lit('{"schema": "header"}').alias("value"))
+    rows = e.select("tier", "file", "line_no", F.col("raw").alias("value")).union(head)
+    rows.repartition("tier", "file").sortWithinPartitions("tier", "file", "line_no").select("tier", "file", "value").write.partitionBy("tier", "file").text(f"{root}/parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(root)
+    fs = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for part in fs.globStatus(hadoop.Path(f"{root}/parts/tier=*/file=*/part-*")):  # a file of each tier and type
+        of = part.getPath().getParent()
+        folder = hadoop.Path(base, "files/" + of.getParent().getName().removeprefix("tier="))
+        fs.mkdirs(folder)
+        fs.rename(part.getPath(), hadoop.Path(folder, of.getName().removeprefix("file=") + ".jsonl"))

@@ -157,6 +157,16 @@ def fallback_abstract(title: Column, text: Column) -> Column:
     return F.concat(title, F.lit(": "), F.substring(strip(F.translate(F.substring(text, 1, 2000), "\n", " ")), 1, 300))
 
 
+def extract(title: Column, text: Column, sentences: int = 3) -> Column:
+    """An overview without a model: the title, then each Markdown heading of the text with the first sentences below it; without headings the text's first sentences."""
+    first = lambda part: F.array_join(F.slice(F.regexp_extract_all(strip(part), F.lit(r"(?s)[^.!?]+(?:[.!?]+|$)"), F.lit(0)), 1, sentences), "")
+    head = lambda part: strip(F.substring_index(part, "\n", 1))
+    body = lambda part: F.substr(part, F.length(F.substring_index(part, "\n", 1)) + 2)
+    parts = F.split(F.concat(F.lit("\n"), text), r"\n#{1,6} ", -1)
+    below = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: strip(F.concat(F.lit("## "), head(p), F.lit("\n"), first(body(p)))))
+    return strip(F.array_join(F.concat(F.array(F.concat(F.lit("# "), title)), F.filter(F.array(first(F.get(parts, F.lit(0)))), lambda x: x != ""), below), "\n\n"))
+
+
 def word_count(text: Column) -> Column:
     return F.size(terms_column(text))
 
@@ -164,7 +174,7 @@ def word_count(text: Column) -> Column:
 def title_case(stem: Column) -> Column:
     """A file stem as a title: ``_`` and ``-`` become spaces and each run of letters is capitalised."""
     words = F.regexp_extract_all(F.translate(stem, "_-", "  "), F.lit(r"(?U)\p{L}+|\P{L}+"), F.lit(0))
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))), "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")
 
 
 def clip(text: Column, n: int, mark: str = "...") -> Column:

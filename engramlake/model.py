@@ -1,4 +1,4 @@
-"""The data model: tiers, entry types and their files, weights, thresholds, schemas."""
+"""The data model: tiers, entry types and their files, weights, thresholds, the document table."""
 
 from __future__ import annotations
 
@@ -29,40 +29,14 @@ DECAY, BOOST, PENALTY = 0.995, 1.1, 0.9
 GOOD, BAD = 0.7, 0.3
 #: Scores from which an overview or a full text is loaded, the flat charge and number of overviews.
 L1_SCORE, L2_SCORE, L1_CHARGE, L1_SLOTS = 0.4, 0.7, 2000, 3
-#: Characters given to a summariser, by level, and the fewest words of an abstract.
-L0_INPUT, L1_INPUT, L0_WORDS = 12000, 16000, 10
+#: Characters given to a summariser, by level, the tokens that an overview may have, and the fewest words of an abstract.
+L0_INPUT, L1_INPUT, L1_OUTPUT, L0_WORDS = 12000, 16000, 3000, 10
 #: Fixed values.
 DOC_TYPES = ("strategy", "backtest", "research", "episode", "skill", "pattern", "session_learning", "reference")
 #: Bounds and defaults of requests.
 LIMIT, BUDGET, TOP_K = (1, 100, 10), (100, 50000, 4000), (1, 50, 10)
 
-_S, _D, _L = T.StringType(), T.DoubleType(), T.ArrayType(T.StringType())
-
-
-def _record(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(k, t) for k, t in ({"ts": _S} | fields | {"weight": _D}).items()])
-
-
-#: Typed projections of the entry types, for those who want columns; nothing enforces them.
-SCHEMAS = {
-    "experience": _record(type=_S, title=_S, outcome=_S, tags=_L),
-    "decision": _record(decision=_S, rationale=_S, alternatives=_L, outcome=_S),
-    "failure": _record(title=_S, error=_S, root_cause=_S, learning=_S, tags=_L),
-    "fact": _record(subject=_S, predicate=_S, object=_S, confidence=_D, source=_S),
-    "relation": _record(entity_a=_S, relation=_S, entity_b=_S, confidence=_D),
-    "skill": _record(skill_name=_S, category=_S, success_rate=_D, avg_duration=_S, when_to_use=_S, steps=_L),
-    "pattern": _record(pattern_name=_S, trigger=_S, response=_S, frequency=T.LongType()),
-}
-#: What each declared entry type has to hold.
-REQUIRED = {
-    "experience": ("ts", "type", "title", "outcome"),
-    "decision": ("ts", "decision", "rationale"),
-    "failure": ("ts", "title", "error", "learning"),
-    "fact": ("ts", "subject", "predicate", "object"),
-    "relation": ("ts", "entity_a", "relation", "entity_b"),
-    "skill": ("ts", "skill_name", "category", "when_to_use"),
-    "pattern": ("ts", "pattern_name", "trigger", "response"),
-}
+_S, _L = T.StringType(), T.ArrayType(T.StringType())
 DOCUMENT = T.StructType(
     [
         T.StructField(n, t)
@@ -75,10 +49,6 @@ DOCUMENT = T.StructType(
 )
 
 
-def tier_order(tier: str) -> int:
-    return list(TIERS).index(tier)
-
-
 def check_tiers(tiers: list[str] | None) -> list[str]:
     """The tiers asked for, each once in the order given; none or an empty list: all. Unknown ones are an error."""
     chosen = list(dict.fromkeys(tiers or TIERS))

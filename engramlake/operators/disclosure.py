@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..model import BUDGET, L1_CHARGE, L1_SCORE, L1_SLOTS, L2_SCORE, TOP_K, within
+from ..session import written
 from .memory import QUERY_BLOCK, query_blocks
 
 
-
 def _windows() -> tuple[WindowSpec, WindowSpec]:
     """A query's results, and those in rank order."""
     q = Window.partitionBy("query_id")
@@ -97,7 +97,8 @@ def smart_query(vectors: DataFrame, documents: DataFrame, contents: DataFrame, q
     """
     # a bounded number of queries has a bounded number of hits: then these go to the tables, not the tables to them
     few = F.broadcast if queries.count() <= QUERY_BLOCK else (lambda df: df)
-    rows = retrieve_l0(few(nearest(vectors, queries, top_k, directory, stretch)), documents)
+    hits = written(nearest(vectors, queries, top_k, directory, stretch))  # the search is done once
+    rows = written(retrieve_l0(few(hits), documents))
     known = contents.select("l2_file_path").join(few(rows.select("l2_file_path").distinct()), "l2_file_path", "left_semi").distinct().withColumn("l2_exists", F.lit(True))
     rows = rows.join(few(known), "l2_file_path", "left").withColumn("l2_exists", F.coalesce("l2_exists", F.lit(False)))
     budgets = queries.select("query_id", F.greatest(F.lit(BUDGET[0]), F.least(F.lit(BUDGET[1]), F.col("token_budget"))).alias("token_budget"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..model import DOC_TYPES, L0_INPUT, L0_WORDS, L1_INPUT
+from ..model import DOC_TYPES, DOCUMENT, L0_INPUT, L0_WORDS, L1_INPUT, L1_OUTPUT
 from . import disclosure
 from .memory import MemoryLog
 
@@ -23,8 +23,17 @@ def render_prompt(level: str, title: Column, path: Column, doc_type: Column, con
 
 
 def extractive(title: Column, path: Column, doc_type: Column, content: Column) -> tuple[Column, Column]:
-    """The default summariser, without a model: no abstract of its own (the fallback stands in), and as overview the text's beginning."""
-    return F.lit(""), F.substring(content, 1, 2000)
+    """The default summariser, without a model: no abstract of its own (the fallback stands in), and as overview headings and first sentences."""
+    return F.lit(""), F.substring(E.extract(title, content), 1, 4 * L1_OUTPUT)
+
+
+def prompted(model: Callable[[Column], Column]) -> Summariser:
+    """A summariser that asks a model: a function of a column of prompts, such as a pandas UDF."""
+    return lambda *parts: (model(render_prompt("l0", *parts)), model(render_prompt("l1", *parts)))
+
+
+def _key(docs: DataFrame) -> Column:
+    return F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.sha2(F.concat_ws("|", "hierarchy_path", "title", "content"), 256)
 
 
 def document_columns(docs: DataFrame, summariser: Summariser = extractive, now: Column | None = None) -> DataFrame:
@@ -36,10 +45,9 @@ def document_columns(docs: DataFrame, summariser: Summariser = extractive, now:
     l0, l1 = (E.unthink(c) for c in summariser(title, path, kind, content))
     l0 = F.when(E.word_count(l0) < L0_WORDS, E.fallback_abstract(title, content)).otherwise(l0)
     stamp = F.lit(None).cast("string") if now is None else F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    key = F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.sha2(F.concat_ws("|", path, title, content), 256)
     rows = docs.withColumns({"_l0": l0, "_l1": l1})
     return rows.select(
-        key.alias("doc_id"),
+        _key(docs).alias("doc_id"),
         path.alias("hierarchy_path"),
         title.alias("title"),
         F.when(kind.isin(*DOC_TYPES), kind).otherwise(F.raise_error(F.concat(F.lit("unknown doc_type: "), kind))).alias("doc_type"),
@@ -89,61 +97,86 @@ def directories(documents: DataFrame) -> DataFrame:
 
 
 class DocumentStore:
-    """Documents below a folder: ``documents`` (rows by seq; the last of an id counts), ``l2`` (full texts by path) and ``query_log``."""
+    """Documents below a folder: ``documents`` (rows by seq; the last of an id counts), ``l2`` (full texts by path), ``vectors`` (by id) and ``query_log``."""
 
     def __init__(self, spark: SparkSession, root: str, summariser: Summariser = extractive) -> None:
         self.spark, self.root, self.summariser = spark, root.rstrip("/"), summariser
         self._log = MemoryLog(spark, root)
 
     def _schema(self) -> str:
-        from ..model import DOCUMENT
-
         return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in DOCUMENT)
 
     def documents(self) -> DataFrame:
         return latest(self._log._read("documents", self._schema()))
 
     def contents(self) -> DataFrame:
-        return latest(self._log._read("l2", "l2_file_path string, content string, seq long"), "l2_file_path").drop("seq")
+        """l2_file_path and content of the last text of each path: the last is found by number, before any text is read."""
+        rows = self._log._read("l2", "l2_file_path string, content string, seq long")
+        last = rows.groupBy("l2_file_path").agg(F.max("seq").alias("_last"))
+        again = rows.groupBy("l2_file_path").agg(F.count("*").alias("n")).filter("n > 1")
+        if again.isEmpty():
+            return rows.drop("seq")
+        # only paths with several texts are looked up
+        old = rows.select("l2_file_path", "seq").join(again, "l2_file_path", "left_semi").join(last, "l2_file_path").filter("seq < _last").select("seq")
+        return rows.join(old, "seq", "left_anti").drop("seq")
+
+    def vectors(self) -> DataFrame:
+        """doc_id, embedding and norm of each document that was ingested with an embedding."""
+        return latest(self._log._read("vectors", "doc_id string, embedding array<double>, norm double, seq long")).drop("seq")
+
+    def _next(self, number: int | None = None) -> Column:
+        """Numbers for the rows of a write, larger than those of writes that began before."""
+        place, n = F.monotonically_increasing_id(), self._log._number() if number is None else number
+        return F.shiftleft(F.lit(n).cast("long"), 42) + F.shiftleft(F.shiftright(place, 33), 30) + place.bitwiseAND(F.lit((1 << 33) - 1))
 
     def _append(self, docs: DataFrame, rows: DataFrame) -> None:
-        start = self._log._read("documents", self._schema()).agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
-        rows.withColumn("seq", F.col("seq") + start).write.mode("append").parquet(f"{self.root}/documents")
-        texts = docs.select(E.l2_path(F.col("hierarchy_path"), F.col("title")).alias("l2_file_path"), "content", (F.monotonically_increasing_id() + start).alias("seq"))
-        texts.write.mode("append").parquet(f"{self.root}/l2")
+        n = self._log._number()
+        seq = self._next(n)
+        self._log._put(rows.withColumn("seq", seq), "documents", number=n)
+        texts = docs.select(E.l2_path(F.col("hierarchy_path"), F.col("title")).alias("l2_file_path"), "content", seq.alias("seq"))
+        self._log._put(texts, "l2", number=n)
+        if "embedding" in docs.columns:
+            vectors = disclosure.with_norms(docs.select(_key(docs).alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"), seq.alias("seq")).filter("embedding IS NOT NULL"))
+            self._log._put(vectors, "vectors", number=n)
 
     def ingest(self, docs: DataFrame, now: Column | None = None) -> DataFrame:
-        """Adds documents and returns doc_id, token counts and the reduction in percent. Equal path and title share a full text."""
+        """Adds documents, with their vectors if there is a column ``embedding``, and returns doc_id, token counts and the reduction in percent. Equal path and title share a full text."""
         rows = document_columns(docs, self.summariser, now)
         self._append(docs, rows)
         return rows.select("doc_id", F.col("l0_token_count").alias("l0_tokens"), F.col("l1_token_count").alias("l1_tokens"), F.col("l2_token_count").alias("l2_tokens"), E.half_up(E.reduction_percent(F.col("l0_token_count"), F.col("l1_token_count"), F.col("l2_token_count")), 1).alias("reduction_percent"))
 
-    def regenerate(self, doc_ids: list[str]) -> int:
-        """Makes abstract, overview, counts and checksum anew from the full text and clears staleness; updated_at stays. The number of documents done."""
-        old = self.documents().filter(F.col("doc_id").isin(doc_ids)).join(self.contents(), "l2_file_path")
+    def regenerate(self, doc_ids: list[str] | DataFrame) -> int:
+        """Makes abstract, overview, counts and checksum anew from the full text and clears staleness; updated_at stays. The number of documents done.
+
+        doc_ids: a list, or a frame with doc_id.
+        """
+        rows = self.documents()
+        asked = rows.filter(F.col("doc_id").isin(doc_ids)) if isinstance(doc_ids, list) else rows.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        old = asked.join(self.contents(), "l2_file_path")
         new = document_columns(old, self.summariser).drop("created_at", "updated_at", "seq").join(old.select("doc_id", "created_at", "updated_at", "seq"), "doc_id")
         rows = new.select(*[c.split()[0] for c in self._schema().split(", ")])
         n = rows.count()
-        kept = self._log._read("documents", self._schema()).agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
-        rows.withColumn("seq", F.monotonically_increasing_id() + kept).write.mode("append").parquet(f"{self.root}/documents")
+        self._log._put(rows.withColumn("seq", self._next()), "documents")
         return n
 
     def mark_stale(self) -> int:
         """Writes what ``stale`` finds; the number of documents."""
         rows = stale(self.documents(), self.contents()).select(*[c.split()[0] for c in self._schema().split(", ")])
         n = rows.count()
-        top = self._log._read("documents", self._schema()).agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
-        rows.withColumn("seq", F.monotonically_increasing_id() + top).write.mode("append").parquet(f"{self.root}/documents")
+        self._log._put(rows.withColumn("seq", self._next()), "documents")
         return n
 
     def _levels(self) -> DataFrame:
         return self.documents().select("doc_id", "title", "hierarchy_path", "l0_abstract", F.col("l0_token_count").alias("l0_tokens"), "l1_overview", F.col("l1_token_count").alias("l1_tokens"), "l2_file_path", F.col("l2_token_count").alias("l2_tokens"))
 
-    def smart_query(self, vectors: DataFrame, queries: DataFrame, **options: object) -> DataFrame:
-        """See ``disclosure.smart_query``; queries also hold query_text and agent_id, and each run is logged."""
-        out = disclosure.smart_query(disclosure.with_norms(vectors), self._levels(), self.contents(), queries, **options)
+    def smart_query(self, vectors: DataFrame | None, queries: DataFrame, **options: object) -> DataFrame:
+        """See ``disclosure.smart_query``, by these vectors or (None) by the stored ones; queries also hold query_text and agent_id, and each run is logged."""
+        known = self.vectors() if vectors is None else disclosure.with_norms(vectors)
+        if options.get("directory"):
+            known = known.join(self.documents().select("doc_id", "hierarchy_path"), "doc_id")
+        out = disclosure.smart_query(known, self._levels(), self.contents(), queries, **options)
         if {"query_text", "agent_id"} <= set(queries.columns):
-            disclosure.query_log(out, queries).write.mode("append").parquet(f"{self.root}/query_log")
+            self._log._put(disclosure.query_log(out, queries), "query_log")
         return out
 
     def document_tier(self, doc_id: str, tier: str) -> DataFrame:
@@ -156,4 +189,4 @@ class DocumentStore:
         return disclosure.list_documents(self.documents())
 
     def query_log(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/query_log")
+        return self.spark.read.parquet(f"{self.root}/query_log").drop("append")

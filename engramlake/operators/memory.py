@@ -2,23 +2,27 @@
 
 Functions take a frame of entries (``sources.jsonl.parse``): tier, file, line_no, raw, raw_lc, id, ts,
 weight, e_tier, e_type. ``MemoryLog`` keeps them as Parquet, partitioned by tier and file; weights
-change by events that are folded in when read, and ``compact`` folds them in for good.
+change by events that are folded into the entries they touch when read, and ``compact`` folds them in
+for good.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as E
 from ..model import BAD, BOOST, DECAY, GOOD, LIMIT, PENALTY, TIERS, WEIGHT_HIGH, WEIGHT_LOW, check_tiers, within
-from ..session import ship
+from ..session import ship, written
 from ..sources import jsonl
 
 #: Query batches of at most so many rows are broadcast; larger ones go through in blocks of that size.
 QUERY_BLOCK = 1000
+#: Times as they are stored, in UTC.
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
 
 
 def filtered(entries: DataFrame, tiers: list[str] | None = None, date_from: str | None = None, date_to: str | None = None, min_weight: float | None = None) -> DataFrame:
@@ -104,22 +108,37 @@ def counts(entries: DataFrame) -> DataFrame:
     return every.join(entries.groupBy("tier").agg(F.count("*").alias("n")), "tier", "left").select("tier", F.coalesce("n", F.lit(0)).cast("long").alias("entries"))
 
 
-def reinforced(entries: DataFrame, events: DataFrame, exact: bool = False) -> DataFrame:
-    """Entries with weights after events (tier, id, task_score, seq), folded in order of seq.
+def changes(entries: DataFrame, events: DataFrame, exact: bool = False) -> DataFrame:
+    """The entries that events (tier, id, task_score, seq and, if there, ``at``) change, with ``weight`` after them in order of seq and ``_at``, the last one's time.
 
     An event is for the entries of that id in the first file of the tier that has it; all rows there
-    with the id change. Events of one id go to one array; beyond what a task holds, compact more often.
+    with the id change. Only ids and files of entries meet the events; events of one id go to one array,
+    which ``compact`` empties.
     """
-    w = Window.partitionBy("tier", "id")
-    by_id = events.groupBy(F.col("tier").alias("e_t"), F.col("id").alias("e_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "task_score"))), lambda x: x["task_score"].cast("double")).alias("scores"))
-    hit = entries.join(by_id, (F.col("tier") == F.col("e_t")) & (F.col("id") == F.col("e_id")), "left").drop("e_t", "e_id")
-    first = F.when(F.col("scores").isNotNull(), F.min(E.file_order(F.col("file"))).over(w))
-    hit = hit.withColumn("_first", first)
+    step = F.struct("seq", F.col("task_score").cast("double").alias("task_score"), (F.col("at") if "at" in events.columns else F.lit(None).cast("string")).alias("at"))
+    by_id = events.groupBy("tier", "id").agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+    first = entries.select("tier", "id", "file").join(by_id.select("tier", "id"), ["tier", "id"], "left_semi").groupBy("tier", "id").agg(F.min(E.file_order(F.col("file"))).alias("_first"))
     if exact:
         ship(entries.sparkSession)
-    change = F.col("scores").isNotNull() & (E.file_order(F.col("file")) == F.col("_first"))
-    fold = exact_fold(F.col("weight"), F.col("scores")) if exact else E.reinforce_all(F.col("weight"), F.col("scores"))
-    return hit.withColumn("weight", F.when(change, fold).otherwise(F.col("weight"))).drop("scores", "_first")
+    hit = entries.join(by_id.join(first, ["tier", "id"]), ["tier", "id"]).filter(E.file_order(F.col("file")) == F.col("_first"))
+    scores = F.transform("_steps", lambda x: x["task_score"])
+    fold = exact_fold(F.col("weight"), scores) if exact else E.reinforce_all(F.col("weight"), scores)
+    return hit.select(*(fold.alias("weight") if c == "weight" else F.col(c) for c in entries.columns), F.element_at("_steps", -1)["at"].alias("_at"))
+
+
+def reinforced(entries: DataFrame, events: DataFrame, exact: bool = False) -> DataFrame:
+    """Entries with weights after events; see ``changes``. line_no tells the entries of a tier and file apart."""
+    key = ["tier", "file", "line_no"]
+    changed = changes(entries, events, exact).select(*key, F.col("weight").alias("_new"))
+    return entries.join(changed, key, "left").withColumn("weight", F.coalesce("_new", "weight")).select(*entries.columns)
+
+
+@F.pandas_udf(T.StringType())
+def reweighted(raw: pd.Series, weight: pd.Series, at: pd.Series) -> pd.Series:
+    """Stored lines with a new weight and when it came. Only lines that events touch come here; no built-in keeps an object's keys in order."""
+    import json
+
+    return pd.Series([json.dumps(json.loads(r) | {"weight": w} | ({} if t is None else {"_weight_updated_at": t}), ensure_ascii=False) for r, w, t in zip(raw, weight, at, strict=True)], dtype=object)
 
 
 def exact_fold(weight: Column, scores: Column) -> Column:
@@ -156,7 +175,7 @@ def new_entries(payloads: DataFrame, now: Column) -> DataFrame:
     ship(payloads.sparkSession)
     v = F.try_parse_json("payload")
     get = lambda k, t: F.try_variant_get(v, f"$.{k}", t)
-    stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    stamp = F.date_format(now, STAMP)
     made = F.sha2(F.concat_ws("|", "tier", "type", "payload", F.monotonically_increasing_id().cast("string"), stamp), 256)
     tags = F.when(F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0, F.col("tags")).otherwise(F.coalesce(get("tags", "array<string>"), F.array().cast("array<string>")))
     rows = payloads.select(
@@ -174,41 +193,86 @@ def new_entries(payloads: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("raw", raw).select("tier", "file", "raw", F.lower("raw").alias("raw_lc"), "id", "ts", "weight", F.col("tier").alias("e_tier"), "e_type", F.array_contains(F.json_object_keys("payload"), "schema").alias("hidden"))
 
 
+#: Entries that a log's searches broadcast to take out those that events changed.
+CHANGED = 1_000_000
+#: A line number of a log: the append, the partition and the row in it.
+_PARTS, _ROWS = 12, 30
+
+
 class MemoryLog:
-    """A log below a folder: ``entries`` (Parquet by tier and file) and ``events`` of weights."""
+    """A log below a folder: ``entries`` (Parquet by tier and file), ``appends`` (a file for each number taken) and ``events`` of weights."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _files(self, name: str) -> tuple:
+        """The file system and path of a table."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def _number(self) -> int:
+        """A number for an append that no other has, larger than those taken before: its file is made or exists."""
+        fs, folder = self._files("appends")
+        fs.mkdirs(folder)
+        n = max((int(x.getPath().getName()) for x in fs.listStatus(folder)), default=0) + 1
+        while not self._taken(fs, self.spark._jvm.org.apache.hadoop.fs.Path(folder, str(n))):
+            n += 1
+        return n
+
+    def _taken(self, fs: JavaObject, path: JavaObject) -> bool:
+        """Whether this call made the file; of several at once one does. Hadoop's local file system looks first and makes it then."""
+        if fs.getScheme() == "file":
+            return self.spark._jvm.java.io.File(path.toUri().getPath()).createNewFile()
+        return fs.createNewFile(path)
+
     def _read(self, name: str, schema: str) -> DataFrame:
         # an empty frame stands for a table that isn't written yet
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if fs.exists(path) else self.spark.createDataFrame([], schema)
+        fs, path = self._files(name)
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, append int").parquet(f"{self.root}/{name}").drop("append")
+
+    def _put(self, rows: DataFrame, name: str, *by: str, number: int | None = None) -> None:
+        """Adds rows to a table in a folder of their own, so that writers at once don't meet."""
+        n = self._number() if number is None else number
+        rows.write.partitionBy(*by).parquet(f"{self.root}/{name}/append={n}")
 
     ENTRIES = "raw string, raw_lc string, id string, ts string, weight double, e_tier string, e_type string, hidden boolean, line_no long, tier string, file string"
     EVENTS = "tier string, id string, task_score double, seq long, at string"
 
     def append(self, payloads: DataFrame, now: Column) -> DataFrame:
-        """Appends and returns id, tier and file of what was written; see ``new_entries``. Lines of one batch are numbered after those before."""
+        """Appends and returns id, tier and file of what was written; see ``new_entries``."""
         return self.write(new_entries(payloads, now))
 
     def write(self, entries: DataFrame) -> DataFrame:
-        start = self._read("entries", self.ENTRIES).agg(F.coalesce(F.max("line_no"), F.lit(0))).first()[0]
+        """Appends entries, numbered after those of appends that began before, by any number of writers at once; nothing that is there is read."""
+        n = self._number()
         rows = entries if "hidden" in entries.columns else entries.withColumn("hidden", F.lit(False))
-        rows = rows.withColumn("line_no", F.monotonically_increasing_id() + start + 1)
-        rows.select(*[c.split()[0] for c in self.ENTRIES.split(", ")]).write.mode("append").partitionBy("tier", "file").parquet(f"{self.root}/entries")
-        return self._read("entries", self.ENTRIES).filter(F.col("line_no") > start).select("id", "tier", "file")
+        place = F.monotonically_increasing_id()
+        line = F.shiftleft(F.lit(n).cast("long"), _PARTS + _ROWS) + F.shiftleft(F.shiftright(place, 33), _ROWS) + place.bitwiseAND(F.lit((1 << 33) - 1))
+        rows = rows.coalesce(1 << _PARTS).withColumn("line_no", line)
+        self._put(rows.select(*[c.split()[0] for c in self.ENTRIES.split(", ")]), "entries", "tier", "file", number=n)
+        return self.spark.read.schema(self.ENTRIES).parquet(f"{self.root}/entries/append={n}").select("id", "tier", "file")
 
     def import_files(self, folder: str) -> DataFrame:
         """Appends the entries of a folder of JSON-lines files, with their line numbers as order."""
         return self.write(jsonl.parse(jsonl.read_files(self.spark, folder)).orderBy("tier", "file", "line_no"))
 
     def entries(self, exact: bool = False) -> DataFrame:
-        """All visible entries with their present weights."""
+        """All visible entries with their present weights, in the stored line too.
+
+        What events change is worked out once and takes the place of what it was; the other entries are
+        scanned as they are, unless more than CHANGED have changed.
+        """
         rows = self._read("entries", self.ENTRIES).filter("NOT hidden")
         events = self._read("events", self.EVENTS)
-        return rows if events.isEmpty() else reinforced(rows, events, exact)
+        if events.isEmpty():
+            return rows
+        ship(self.spark)
+        changed = written(changes(rows, events, exact).withColumn("raw", reweighted("raw", "weight", "_at")).withColumn("raw_lc", F.lower("raw")).drop("_at"))
+        keys = changed.select("tier", "file", "line_no")
+        keys = F.broadcast(keys) if changed.count() <= CHANGED else keys
+        return rows.join(keys, ["tier", "file", "line_no"], "left_anti").unionByName(changed)
 
     def search(self, query: str, now: Column, **options: object) -> DataFrame:
         return search(self.entries(), query, now, **options)
@@ -222,19 +286,23 @@ class MemoryLog:
     def total(self) -> int:
         return self.counts().agg(F.sum("entries")).first()[0]
 
-    def adjust(self, events: DataFrame) -> DataFrame:
+    def adjust(self, events: DataFrame, now: Column | None = None) -> DataFrame:
         """Records outcomes (tier, id, task_score in [0, 1], seq) and returns the entries they change, with their new weights; of no row: no such id."""
         bad = events.filter(~F.col("task_score").between(0, 1) | ~F.col("tier").isin(*TIERS))
         if not bad.isEmpty():
             raise ValueError("task_score must lie between 0 and 1 and tiers must exist")
         known = self._read("entries", self.ENTRIES).select("tier", "id").distinct()
-        events.join(known, ["tier", "id"], "left_semi").withColumn("at", F.lit(None).cast("string")).select("tier", "id", F.col("task_score").cast("double"), F.col("seq").cast("long"), "at").write.mode("append").parquet(f"{self.root}/events")
-        return self.entries().join(events.select("tier", "id").distinct(), ["tier", "id"], "left_semi").select("tier", "id", "file", "weight")
+        found = events.join(known, ["tier", "id"], "left_semi").withColumn("at", F.date_format(F.current_timestamp() if now is None else now, STAMP))
+        self._put(found.select("tier", "id", F.col("task_score").cast("double"), F.col("seq").cast("long"), "at"), "events")
+        return self.entries().join(events.select("tier", "id").distinct(), ["tier", "id"], "left_semi").select("tier", "id", "file", "weight", F.col("raw").alias("entry"))
 
     def compact(self, to: str) -> MemoryLog:
         """A new log elsewhere with the events folded into the weights."""
         done = MemoryLog(self.spark, to)
-        self.entries().write.partitionBy("tier", "file").parquet(f"{done.root}/entries")
+        n = self._number()
+        done._put(self.entries(), "entries", "tier", "file", number=n)
+        fs, folder = done._files("appends")  # numbers go on after those of the entries that were kept
+        fs.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(folder, str(n)))
         return done
 
     def health(self) -> DataFrame:

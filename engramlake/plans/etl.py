@@ -124,21 +124,25 @@ def research_documents(files: DataFrame) -> DataFrame:
 # --- records that agents write
 
 
-def episode(kind: Column, title: Column, outcome: Column, tags: Column, ts: Column) -> Column:
-    return F.struct(ts.alias("ts"), kind.alias("type"), title.alias("title"), outcome.alias("outcome"), tags.alias("tags"))
+def episode(kind: Column, title: Column, outcome: Column, tags: Column, ts: Column, **metadata: Column) -> Column:
+    """The payload of an experience; metadata keys follow the others."""
+    return F.struct(ts.alias("ts"), kind.alias("type"), title.alias("title"), outcome.alias("outcome"), tags.alias("tags"), *(v.alias(k) for k, v in metadata.items()))
 
 
-def goal_episode(goal: Column, outcome: Column, success: Column, ts: Column) -> Column:
-    return episode(F.when(success, "achievement").otherwise("failure"), F.concat(F.lit("Goal: "), goal), outcome, F.array(F.lit("goal"), F.lit("execution"), F.when(success, "success").otherwise("failure")), ts)
+def goal_episode(goal: Column, outcome: Column, success: Column, ts: Column, duration_ms: Column | None = None) -> Column:
+    more = {} if duration_ms is None else {"duration_ms": duration_ms}
+    return episode(F.when(success, "achievement").otherwise("failure"), F.concat(F.lit("Goal: "), goal), outcome, F.array(F.lit("goal"), F.lit("execution"), F.when(success, "success").otherwise("failure")), ts, **more)
 
 
-def cycle_episode(phase: Column, outcome: Column, model: Column, ts: Column) -> Column:
-    return episode(F.lit("consciousness_cycle"), F.concat(F.lit("Consciousness: "), phase), outcome, F.array(F.lit("consciousness"), F.lower(phase), model), ts)
+def cycle_episode(phase: Column, outcome: Column, model: Column, ts: Column, duration_ms: Column | None = None) -> Column:
+    more = {} if duration_ms is None else {"duration_ms": duration_ms}
+    return episode(F.lit("consciousness_cycle"), F.concat(F.lit("Consciousness: "), phase), outcome, F.array(F.lit("consciousness"), F.lower(phase), model), ts, model=model, **more)
 
 
 def fact(subject: Column, predicate: Column, obj: Column, ts: Column, confidence: float = 1.0, source: str = "daemon") -> Column:
     return F.struct(ts.alias("ts"), subject.alias("subject"), predicate.alias("predicate"), obj.alias("object"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), F.array().cast("array<string>").alias("tags"))
 
 
-def skill(name: Column, category: Column, success_rate: Column, when_to_use: Column, ts: Column) -> Column:
-    return F.struct(ts.alias("ts"), name.alias("skill_name"), category.alias("category"), success_rate.alias("success_rate"), when_to_use.alias("when_to_use"), F.array().cast("array<string>").alias("tags"))
+def skill(name: Column, category: Column, success_rate: Column, when_to_use: Column, ts: Column, avg_duration: Column | None = None) -> Column:
+    more = [] if avg_duration is None else [avg_duration.alias("avg_duration")]
+    return F.struct(ts.alias("ts"), name.alias("skill_name"), category.alias("category"), success_rate.alias("success_rate"), when_to_use.alias("when_to_use"), F.array().cast("array<string>").alias("tags"), *more)

@@ -64,7 +64,7 @@ def query(sql: str | None = None):  # noqa: ANN201
 def k1_scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries scanned from lines, counted by tier; here the procedural lines are headers, which don't count."""
     e = A.event_entries(spark, sf_dir)
-    line = F.when(F.col("tier") == "procedural", F.concat(F.lit('{"schema": null, '), F.substring("raw", 2, 1_000_000))).otherwise(F.col("raw"))
+    line = F.when(F.col("tier") == "procedural", F.concat(F.lit('{"schema": null, '), F.substr("raw", F.lit(2)))).otherwise(F.col("raw"))
     return memory.counts(jsonl.parse(e.select("tier", "file", "line_no", line.alias("line"))))
 
 
@@ -85,15 +85,16 @@ def k1_search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.search(A.event_entries(spark, sf_dir), "user click", A.now(), ["procedural", "episodic"], 100, "2024-01-05", "2024-01-20", 1.1)
 
 
-@query(f"""WITH {_ENTRIES}, q AS (SELECT vec_id AS query_id, CASE vec_id % 4 WHEN 0 THEN 'click by user ' || vec_id WHEN 1 THEN 'signup fact' WHEN 2 THEN 'error error failure' ELSE '"k": ' || vec_id END AS query FROM embeddings WHERE vec_id < 12),
+@query(f"""WITH {_ENTRIES}, q AS (SELECT vec_id AS query_id, CASE vec_id // 100 % 4 WHEN 0 THEN 'click by user ' || vec_id // 100 WHEN 1 THEN 'signup fact' WHEN 2 THEN 'error error failure' ELSE '"k": ' || vec_id // 100 END AS query FROM embeddings WHERE vec_id % 100 = 0),
 t AS (SELECT query_id, list_filter(string_split(lower(query), ' '), lambda x: x <> '') AS terms FROM q),
 s AS (SELECT query_id, aged.*, len(list_filter(terms, lambda x: contains(lower(raw), x))) / len(terms)::DOUBLE * weight * recency AS u FROM aged, t WHERE len(list_filter(terms, lambda x: contains(lower(raw), x))) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY u DESC, {_ORD}) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, tier, e_type AS type, raw AS entry, {_round('u')} AS score, line_no FROM r WHERE rank <= 10""")
 def k1_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("vec_id")
+    """Every vector whose id is divisible by 100 stands for a query."""
+    i = F.expr("vec_id div 100")
     text = F.when(i % 4 == 0, F.concat(F.lit("click by user "), i.cast("string"))).when(i % 4 == 1, "signup fact").when(i % 4 == 2, "error error failure").otherwise(F.concat(F.lit('"k": '), i.cast("string")))
-    q = A.table(spark, sf_dir, "embeddings").filter("vec_id < 12").select(i.alias("query_id"), text.alias("query"))
+    q = A.table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), text.alias("query"))
     return memory.search_batch(A.event_entries(spark, sf_dir), q, A.now(), 10)
 
 
@@ -126,7 +127,7 @@ def k1_reinforce_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.event_entries(spark, sf_dir).select("id", E.reinforce(F.col("weight"), F.col("event_id") % 11 / F.lit(10.0)).alias("weight"))
 
 
-@query(f"""WITH {_ENTRIES}, f AS (SELECT 'evt-' || (doc_id % 400) AS id, list(CASE WHEN toxic = 1 THEN 0.1::DOUBLE WHEN quality = 1 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END ORDER BY doc_id) AS scores FROM labels GROUP BY ALL)
+@query(f"""WITH {_ENTRIES}, f AS (SELECT 'evt-' || doc_id AS id, [CASE WHEN toxic = 1 THEN 0.1::DOUBLE ELSE 0.5::DOUBLE END, CASE WHEN quality = 1 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END, (doc_id % 11) / 10.0::DOUBLE] AS scores FROM labels)
 SELECT id, tier, list_reduce(list_prepend(weight, scores), lambda w, s: {_NEW}) AS weight FROM entries JOIN f USING (id)""")
 def k1_reinforce_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.event_entries(spark, sf_dir)
@@ -148,15 +149,67 @@ def k1_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.browse(A.table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")))
 
 
+_LOG = """c AS (SELECT 'c-' || c_custkey AS id, c_custkey AS k, '{"id": "c-' || c_custkey || '", "ts": "2024-01-01T00:00:00Z", "subject": "' || c_name || '", "predicate": "in", "object": "' || c_mktsegment || '", "tags": ["nation ' || c_nationkey || '"], "weight": ' AS head,
+  ', "_tier": "semantic", "_type": "fact", "_written_at": "2024-02-15T00:00:00.000000+00:00"' AS tail FROM customer)"""
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> memory.MemoryLog:
+    """A new log with a fact for each customer."""
+    s = lambda c: F.col(c).cast("string")
+    facts = A.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c-"), s("c_custkey")).alias("id"), F.lit("2024-01-01T00:00:00Z").alias("ts"), F.col("c_name").alias("subject"), F.lit("in").alias("predicate"), F.col("c_mktsegment").alias("object"), F.array(F.concat(F.lit("nation "), s("c_nationkey"))).alias("tags")
+    )
+    log = memory.MemoryLog(spark, scratch(spark))
+    log.append(etl.as_entries(facts, "semantic", "fact"), A.now())
+    return log
+
+
+@query(f"WITH {_LOG} SELECT 'semantic' AS tier, 'facts' AS file, id, '2024-01-01T00:00:00Z' AS ts, 1.0::DOUBLE AS weight, head || '1.0' || tail || '}}' AS raw FROM c")
+def k1_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts as they are stored after an append."""
+    return _appended(spark, sf_dir).entries().select("tier", "file", "id", "ts", "weight", "raw")
+
+
+@query(f"""WITH {_LOG} SELECT id, CASE k % 3 WHEN 0 THEN 0.99::DOUBLE WHEN 1 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+head || CASE k % 3 WHEN 0 THEN '0.99' WHEN 1 THEN '1.1' ELSE '1.0' END || tail || CASE k % 3 WHEN 2 THEN '}}' ELSE ', "_weight_updated_at": "2024-02-15T00:00:00.000000+00:00"}}' END AS raw FROM c""")
+def k1_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after outcomes for two of three: weights and lines have changed."""
+    log = _appended(spark, sf_dir)
+    c = A.table(spark, sf_dir, "customer").filter("c_custkey % 3 < 2")
+    scores = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit(0.9), F.lit(0.1))).otherwise(F.array(F.lit(0.9)))
+    events = c.select(F.lit("semantic").alias("tier"), F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("id"), F.posexplode(scores).alias("seq", "task_score"))
+    log.adjust(events, A.now())
+    return log.entries().select("id", "weight", "raw")
+
+
+@query(f"WITH {_ENTRIES} SELECT tier, file, id, (1 + row_number() OVER (PARTITION BY tier, file ORDER BY line_no))::BIGINT AS line_no FROM entries")
+def k1_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Physical line numbers of files, each of which begins with a header."""
+    root = scratch(spark)
+    A.memory_files(spark, sf_dir, root)
+    return jsonl.parse(jsonl.read_files(spark, f"{root}/files")).select("tier", "file", "id", "line_no")
+
+
+@query(f"WITH {_ENTRIES} SELECT tier, raw AS entry FROM entries WHERE false")
+def k1_search_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query without words finds nothing."""
+    return memory.search(A.event_entries(spark, sf_dir), "  ", A.now()).select("tier", "entry")
+
+
 # --- documents at three levels
 
 _L2P = "ltrim('/' || lang || '/' || source, '/') || '/' || regexp_replace('Doc ' || doc_id, '[^A-Za-z0-9_.-]', '_', 'g') || '.md'"
 _L0 = "'Doc ' || doc_id || ': ' || substr(trim(replace(substr(text, 1, 2000), chr(10), ' '), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1, 300)"
-_L1 = "CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, 1, 2000) END"
+_STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))".format
+_FIRST = lambda part: f"array_to_string(regexp_extract_all({_STRIP(part)}, '[^.!?]+(?:[.!?]+|$)')[1:3], '')"
+_PARTS = r"string_split_regex(chr(10) || text, '\n#{1,6} ')"
+_EXTRACT = f"""substr({_STRIP(f"""array_to_string(list_concat(['# Doc ' || doc_id], list_filter([{_FIRST(_PARTS + '[1]')}], lambda x: x <> ''),
+  list_transform({_PARTS}[2:], lambda p: {_STRIP(f"'## ' || {_STRIP('string_split(p, chr(10))[1]')} || chr(10) || {_FIRST('substr(p, length(string_split(p, chr(10))[1]) + 2)')}")})), chr(10) || chr(10))""")}, 1, 12000)"""
+_L1 = f"CASE WHEN doc_id % 5 = 0 THEN '' ELSE {_EXTRACT} END"
 _DOCS = f"""
 docs AS (SELECT doc_id, 'Doc ' || doc_id AS title, '/' || lang || '/' || source AS hierarchy_path, {_L0} AS l0_abstract, {_L1} AS l1_overview, length(text) // 4 AS l2_tokens, {_L2P} AS l2_file_path, text FROM documents),
 lv AS (SELECT *, length(l0_abstract) // 4 AS l0_tokens, length(l1_overview) // 4 AS l1_tokens, doc_id % 7 <> 0 AS l2_exists FROM docs),
-q AS (SELECT vec_id AS query_id, embedding, [1000, 4000, 20000][vec_id % 3 + 1] AS token_budget, CASE WHEN vec_id % 3 = 0 THEN '/en' END AS directory FROM embeddings WHERE vec_id < 20),
+q AS (SELECT vec_id AS query_id, embedding, [1000, 4000, 20000][vec_id % 3 + 1] AS token_budget, CASE WHEN vec_id % 3 = 0 THEN '/en' END AS directory FROM embeddings WHERE vec_id % 100 = 0),
 cos AS (SELECT query_id, vec_id AS doc_id, greatest(0.0::DOUBLE, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS c FROM embeddings e, q)"""
 
 
@@ -174,7 +227,7 @@ _DROP = ("created_at", "updated_at", "stale_reason", "cortex_tier", "seq", "tags
 
 
 @query(f"""SELECT doc_id::VARCHAR AS doc_id, '/' || lang || '/' || source || '/' AS hierarchy_path, 'Doc ' || doc_id AS title, 'reference' AS doc_type, {_L0} AS l0_abstract, (length({_L0}) // 4)::INTEGER AS l0_token_count,
-trim(substr(text, 1, 2000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS l1_overview, (length(trim(substr(text, 1, 2000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) // 4)::INTEGER AS l1_token_count,
+{_EXTRACT} AS l1_overview, (length({_EXTRACT}) // 4)::INTEGER AS l1_token_count,
 {_L2P} AS l2_file_path, (length(text) // 4)::INTEGER AS l2_token_count, sha256(text) AS l2_checksum, '/' || lang AS parent_path, 1::INTEGER AS depth, false AS is_stale FROM documents""")
 def k2_ingest_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.table(spark, sf_dir, "documents")
@@ -287,6 +340,47 @@ def k2_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.directories(rows)
 
 
+def _doc_rows(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataFrame:
+    """Documents to ingest; changed: those divisible by 13 with a line more, under another id."""
+    d = A.table(spark, sf_dir, "documents")
+    d = d.filter("doc_id % 13 = 0") if changed else d
+    i = F.col("doc_id").cast("string")
+    return d.select((F.concat(F.lit("new-"), i) if changed else i).alias("doc_id"), F.concat(F.lit("Doc "), i).alias("title"), F.concat(F.lit("/"), "lang", F.lit("/"), "source").alias("hierarchy_path"), F.lit("reference").alias("doc_type"), F.array().cast("array<string>").alias("tags"), (F.concat("text", F.lit("\nmore")) if changed else F.col("text")).alias("content"))
+
+
+@query(f"""WITH d AS (SELECT doc_id AS i, CASE WHEN doc_id % 13 = 0 THEN text || chr(10) || 'more' ELSE text END AS text, doc_id FROM documents), e AS (SELECT i, {_L0} AS l0_abstract, length(text) // 4 AS n, sha256(text) AS l2_checksum FROM d)
+SELECT i::VARCHAR AS doc_id, l0_abstract, n::INTEGER AS l2_token_count, l2_checksum, false AS is_stale FROM e UNION ALL SELECT 'new-' || i, l0_abstract, n::INTEGER, l2_checksum, false FROM e WHERE i % 13 = 0""")
+def k2_regenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose full text another one replaced are found stale and made anew."""
+    store = ingest.DocumentStore(spark, scratch(spark))
+    store.ingest(_doc_rows(spark, sf_dir))
+    store.ingest(_doc_rows(spark, sf_dir, changed=True))
+    store.mark_stale()
+    store.regenerate(store.documents().filter("is_stale"))
+    return store.documents().select("doc_id", "l0_abstract", "l2_token_count", "l2_checksum", "is_stale")
+
+
+@query(f"WITH {_DOCS}, h AS (SELECT * FROM {_hits_sql(10, 1.0)}) SELECT query_id, rank::INTEGER AS rank, doc_id::VARCHAR AS doc_id, score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM (SELECT query_id, doc_id, {_round('least(1.0::DOUBLE, c)', 6)} AS score FROM cos)) WHERE rank <= 10")
+def k2_stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over vectors that were ingested with their documents."""
+    store = ingest.DocumentStore(spark, scratch(spark))
+    e = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding")
+    store.ingest(e.select("doc_id", F.lit("t").alias("title"), F.concat(F.lit("/v/"), "doc_id").alias("hierarchy_path"), F.lit("reference").alias("doc_type"), F.array().cast("array<string>").alias("tags"), F.lit("text").alias("content"), "embedding"))
+    return disclosure.nearest(store.vectors(), A.vector_queries(spark, sf_dir), 10).select("query_id", "rank", "doc_id", "score")
+
+
+_ASKED = {"l0": ("State in one sentence what this document is about, what it concludes and what sets it apart.", 12000), "l1": ("Write a dense overview in Markdown: purpose, key points, metrics, relations, use.", 16000)}
+
+
+@query("SELECT doc_id, " + ", ".join(f"'{t}' || chr(10) || 'Type: reference' || chr(10) || 'Path: /' || lang || chr(10) || 'Title: Doc ' || doc_id || chr(10) || chr(10) || substr(text, 1, {n}) AS {k}" for k, (t, n) in _ASKED.items()) + " FROM documents")
+def k2_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a summariser model is asked about each document, cut to its input."""
+    d = A.table(spark, sf_dir, "documents")
+    parts = (F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), F.concat(F.lit("/"), "lang"), F.lit("reference"), F.col("text"))
+    l0, l1 = ingest.prompted(lambda prompt: prompt)(*parts)
+    return d.select("doc_id", l0.alias("l0"), l1.alias("l1"))
+
+
 # --- loading
 
 
@@ -343,6 +437,32 @@ def k3_export_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.skill_payloads(p.select(F.to_json(F.struct(*fields)).alias("raw")))
 
 
+@query("SELECT 'labels' AS source, doc_id::VARCHAR AS id FROM labels UNION SELECT 'documents', 'ep-' || doc_id FROM documents WHERE doc_id % 11 <> 0 AND text <> ''")
+def k3_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids migrated so far and those of an export's episodes."""
+    done = A.table(spark, sf_dir, "labels").select(F.lit("labels").alias("source"), F.col("doc_id").cast("string").alias("id"))
+    return etl.record_ids(done, etl.episodes(A.episode_export(spark, sf_dir)), "documents")
+
+
+@query("SELECT 'Doc ' || doc_id AS title, text AS content, '/research/doc-' || doc_id AS hierarchy_path, 'research' AS doc_type, ['research', 'migrated'] AS tags FROM documents")
+def k3_research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a Markdown corpus to ingest; titles come from the stems."""
+    stem = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    return etl.research_documents(A.table(spark, sf_dir, "documents").select(stem.alias("stem"), E.title_case(stem).alias("title"), F.col("text").alias("content")))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'achievement' ELSE 'failure' END AS type, 'Goal: ' || role AS title, text AS outcome, ['goal', 'execution', CASE WHEN role = 'user' THEN 'success' ELSE 'failure' END] AS tags, 1.5::DOUBLE AS duration_ms,
+['consciousness', lower(role), 'm-' || turn] AS cycle_tags, 'm-' || turn AS model, coalesce(role, 'untitled') AS label, [role] AS decoded FROM conversations""")
+def k3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that agents write, from turns: goals, cycles, labels and decoded tags."""
+    c = A.table(spark, sf_dir, "conversations")
+    ts, model = F.lit("2024-01-01T00:00:00Z"), F.concat(F.lit("m-"), F.col("turn").cast("string"))
+    g = etl.goal_episode(F.col("role"), F.col("text"), F.col("role") == "user", ts, F.lit(1.5))
+    y = etl.cycle_episode(F.col("role"), F.col("text"), model, ts)
+    rows = c.select("conv_id", "turn", g.alias("g"), y.alias("y"), E.label(F.lit(""), F.lit(None).cast("string"), F.col("role")).alias("label"), E.tags_list(F.concat(F.lit('["'), "role", F.lit('"]'))).alias("decoded"))
+    return rows.select("conv_id", "turn", "g.type", "g.title", "g.outcome", "g.tags", "g.duration_ms", F.col("y.tags").alias("cycle_tags"), "y.model", "label", "decoded")
+
+
 # --- extensions, which the reference describes but does not have
 
 

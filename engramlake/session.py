@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_SHIPPING = threading.Lock()
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, name: str = "engramlake") -> SparkSession:
@@ -29,15 +32,23 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage ends here and lost executors lose nothing."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python, once in a session, so that functions defined in it can run there."""
     sc = spark.sparkContext
-    if getattr(sc, "_engramlake_sent", False):
-        return
-    root = Path(__file__).resolve().parent
-    out = Path(tempfile.mkdtemp()).resolve() / f"{root.name}.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(out))
-    sc._engramlake_sent = True
+    with _SHIPPING:
+        if getattr(sc, "_engramlake_sent", False):
+            return
+        root = Path(__file__).resolve().parent
+        out = Path(tempfile.mkdtemp()).resolve() / f"{root.name}.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(out))
+        sc._engramlake_sent = True

@@ -42,7 +42,7 @@ def browse(paths: DataFrame, path: str = "") -> DataFrame:
     base = path.strip("/")
     inside = paths.select(F.btrim("path", F.lit("/")).alias("p"))
     if base:
-        inside = inside.filter(F.startswith("p", F.lit(base + "/"))).select(F.substring("p", len(base) + 2, 1_000_000).alias("p"))
+        inside = inside.filter(F.startswith("p", F.lit(base + "/"))).select(F.substr("p", F.lit(len(base) + 2)).alias("p"))
     names = inside.select(F.substring_index("p", "/", 1).alias("name"), F.contains("p", F.lit("/")).alias("is_dir")).distinct()
     got = names.groupBy().agg(F.array_sort(F.collect_set(F.when(F.col("is_dir"), F.col("name")))).alias("directories"), F.array_sort(F.collect_set(F.when(~F.col("is_dir"), F.col("name")))).alias("files"))
     return got.select(F.lit(base).alias("path"), ((F.size("directories") > 0) | (F.size("files") > 0)).alias("exists"), "directories", "files")

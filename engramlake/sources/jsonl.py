@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import strip
@@ -51,8 +51,12 @@ def malformed(lines: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, root: str, tiers: list[str] | None = None) -> DataFrame:
     """``line`` with tier, file and physical line_no of ``<root>/<tier>/<file>.jsonl``; only the tiers asked for are listed and read.
 
-    Line numbers need whole files, so files are to be moderate; a log of any size is written by ``MemoryLog`` with stored order instead.
+    Files are split as any text files are. Lines are numbered by their place in a split and the lines of
+    the splits before, which are counted first: a row for each split.
     """
-    whole = spark.read.text(f"{root}/{{{','.join(tiers or TIERS)}}}/*.jsonl", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    lines = whole.select("path", F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    return lines.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("tier"), F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("file"), (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    lines = spark.read.option("lineSep", "\n").text(f"{root}/{{{','.join(tiers or TIERS)}}}/*.jsonl")
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"))
+    splits = lines.groupBy("path", "at").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(splits.select("path", "at", (before - F.col("first") + 1).alias("shift")), ["path", "at"])
+    return numbered.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("tier"), F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("file"), (F.col("row") + F.col("shift")).alias("line_no"), F.col("value").alias("line"))

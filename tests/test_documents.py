@@ -109,7 +109,7 @@ def test_nearest_is_exact_and_filters_first(spark):
 def test_store(spark, tmp_path):
     store = DocumentStore(spark, f"file://{tmp_path}")
     docs = spark.createDataFrame([("a", "First paper: α/β", "/research/x/", "reference", ["t"], "text " * 400), ("b", "Second", "/", "research", [], "short")], "doc_id string, title string, hierarchy_path string, doc_type string, tags array<string>, content string")
-    assert {r.doc_id: (r.l1_tokens, r.l2_tokens) for r in store.ingest(docs).collect()} == {"a": (499, 500), "b": (1, 1)}
+    assert {r.doc_id: (r.l1_tokens, r.l2_tokens) for r in store.ingest(docs).collect()} == {"a": (504, 500), "b": (3, 1)}
     d = store.document("a").first()
     assert (d.parent_path, d.depth, d.l2_file_path) == ("/research", 1, "research/x/First_paper__α_β.md")
     assert d.l0_abstract == "First paper: α/β: " + ("text " * 400).strip()[:300]
