@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..session import scratch, ship
+from ..session import ship, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space of the contracts, ``[\x20\x09-\x0D]``.
@@ -23,7 +24,7 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow, with this package sent to the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
@@ -39,13 +40,6 @@ def text_hash(c: Column) -> Column:
     return F.xxhash64(c)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends here and lost executors lose nothing."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (smallest reachable id) for every id in the edges.
 

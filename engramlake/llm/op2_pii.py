@@ -15,13 +15,27 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern(lengths: dict[int, str]) -> str:
+    """As many characters as a country's IBANs have, whole or in groups of four; what follows is no part of it."""
+    groups = lambda n: f"(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    each = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}{groups(n)}" for n, c in lengths.items())
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{each})(?![A-Za-z0-9])"
+
+
 #: kind: (pattern, what a text must contain for the pattern to be worth running, context words)
 KINDS = {
     "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "mail|contact|write|reply|from"),
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", "ip|host|server|address|login"),
     "card": (r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,}+", None, "card|visa|master|credit|payment"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "+", "tel|phone|call|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", None, "iban|bank|account|konto|transfer"),
+    "iban": (iban_pattern(IBAN_LENGTHS), None, "iban|bank|account|konto|transfer"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: The score of a confirmed span, without and with a context word in the CONTEXT characters before it.
@@ -52,7 +66,7 @@ def _confirmed(kind: str, m: Column) -> Column:
         "ip": m.rlike(r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"),
         "card": F.when(n.between(16, 19), luhn(digits)).otherwise(F.lit(False)),
         "phone": n.between(8, 15),
-        "iban": F.when(F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34), mod97(F.replace(m, F.lit(" "), F.lit("")))).otherwise(F.lit(False)),
+        "iban": mod97(F.replace(m, F.lit(" "), F.lit(""))),
     }[kind]
 
 
@@ -108,12 +122,11 @@ _PLAIN = {
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(^|[^A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
 }
 
 
 def _sql() -> str:
-    """The base kinds by their plain patterns; IBANs by their proposals that stand alone and pass mod-97."""
+    """The base kinds by their plain patterns; IBANs from runs of letters and digits that add up to a country's length and pass mod-97."""
     digits, bare = "regexp_replace(m, '[^0-9]', '', 'g')", "replace(m, ' ', '')"
     value = "(CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END)"
     ok = {
@@ -121,16 +134,25 @@ def _sql() -> str:
         "ip": "len(list_filter(string_split(m, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0",
         "card": f"length({digits}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 1 THEN (CASE WHEN substr({digits}, i, 1)::INT > 4 THEN 2 * substr({digits}, i, 1)::INT - 9 ELSE 2 * substr({digits}, i, 1)::INT END) ELSE substr({digits}, i, 1)::INT END)) % 10 = 0",
         "phone": f"length({digits}) BETWEEN 8 AND 15",
-        "iban": f"length({bare}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr({bare}, 5) || substr({bare}, 1, 4), ''), lambda c: {value}::BIGINT)), lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1",
+        "iban": f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr({bare}, 5) || substr({bare}, 1, 4), ''), lambda c: {value}::BIGINT)), lambda a, v: CASE WHEN v > 9 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1",
     }
-    near = {k: f"regexp_matches(lower(right(gap, {CONTEXT})), '\\b(?:{KINDS[k][2]})')" for k in KINDS}
+    score = lambda k: f"{PLAIN[k]}::DOUBLE + CASE WHEN regexp_matches(lower(right(gap, {CONTEXT})), '\\b(?:{KINDS[k][2]})') THEN {NEAR}::DOUBLE ELSE 0::DOUBLE END"
     parts = []
     for n, (k, p) in enumerate(_PLAIN.items()):
         parts.append(f"""
-SELECT doc_id, {n} AS ord, '{k}' AS kind, start, start + length(m) AS stop, {PLAIN[k]}::DOUBLE + CASE WHEN {near[k]} THEN {NEAR}::DOUBLE ELSE 0::DOUBLE END AS score FROM (
+SELECT doc_id, {n} AS ord, '{k}' AS kind, start, start + length(m) AS stop, {score(k)} AS score FROM (
   SELECT doc_id, matches[i] AS m, gaps[i] AS gap, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(matches[1:i-1], lambda g: length(g))), 0))::BIGINT AS start
   FROM (SELECT *, unnest(range(1, len(matches) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS matches, string_split_regex(t, '{p}') AS gaps FROM t))
 ) WHERE {ok[k]}""")
+    sizes = ", ".join(f"('{c}', {n})" for n, cs in IBAN_LENGTHS.items() for c in cs.split())
+    parts.append(f"""
+SELECT doc_id, {len(_PLAIN)} AS ord, 'iban' AS kind, start, start + length(m) AS stop, {score('iban')} AS score FROM (
+  SELECT doc_id, m, start, substr(t, coalesce(lag(start + length(m)) OVER (PARTITION BY doc_id ORDER BY start), 0) + 1, start - coalesce(lag(start + length(m)) OVER (PARTITION BY doc_id ORDER BY start), 0)) AS gap FROM (
+    SELECT doc_id, t, array_to_string(runs[k:k + 2 * more], '') AS m, length(array_to_string(runs[1:k - 1], '')) AS start, size
+    FROM (SELECT doc_id, t, runs, k, unnest(range(0, 10)) AS more FROM (SELECT doc_id, t, runs, unnest(range(1, len(runs) + 1)) AS k FROM (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS runs FROM t WHERE regexp_matches(t, '[A-Z]{{2}}[0-9]{{2}}'))) WHERE regexp_matches(runs[k], '^[A-Z]{{2}}[0-9]{{2}}'))
+    JOIN (VALUES {sizes}) z(country, size) ON runs[k][1:2] = country WHERE k + 2 * more <= len(runs)
+  ) WHERE regexp_full_match(m, '[A-Z]{{2}}[0-9]{{2}}( ?[A-Z0-9]{{4}})*( ?[A-Z0-9]{{1,3}})?') AND length({bare}) = size
+) WHERE {ok['iban']}""")
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(parts)})
 , g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k}')::BIGINT AS n_{k}" for k in BASE)},

@@ -3,9 +3,9 @@
 Each word is given by a hashed word vector and the mean of hashed vectors of its character n-grams.
 A window of words runs through a GRU in both directions; attention over its states gives the
 window's logit, and the highest of all overlapping windows of a text is the text's. Labels belong
-to whole texts, so training pools window logits by a smooth maximum. Fitting takes place on the
-driver, on at most POSITIVES and NEGATIVES labelled texts and WINDOWS windows of each; scoring
-covers every word of every text.
+to whole texts, so training pools the logits of all of a text's windows by a smooth maximum. Fitting
+takes place on the driver, on at most POSITIVES and NEGATIVES labelled texts of CHARS characters in
+all; scoring covers every word of every text, in windows that start at every STRIDE-th word.
 """
 
 from __future__ import annotations
@@ -17,29 +17,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow, table
 from .textnum import ALNUM, U, Words, chunks, mix
 
-#: Bounds of the fitted sample (rows with the lowest hash of doc_id), and of windows of one text in it.
-POSITIVES, NEGATIVES, WINDOWS = 1200, 2800, 24
+#: Bounds of the fitted sample (rows with the lowest hash of doc_id): texts of each label, and characters of each label's.
+POSITIVES, NEGATIVES, CHARS = 1200, 2800, 16_000_000
+#: Windows that are held with their gradients at a time.
+HELD = 4096
 #: Window length and step in words, sizes of a state and of the two vectors, rows of their tables.
 LENGTH, STRIDE, STATE, WORD, CHAR, WORD_ROWS, CHAR_ROWS = 24, 12, 8, 8, 8, 1 << 15, 1 << 15
 EPOCHS, BATCH, RATE, SHARP, SEED = 6, 48, 0.01, 4.0, 3
-#: Lengths of word starts and of inner character n-grams, in bytes; inner ones up to REACH.
-STARTS, INNER, REACH = (3, 4, 5, 6, 7, 8), 4, 20
+#: Lengths of word starts and of inner character n-grams, in bytes.
+STARTS, INNER = (3, 4, 5, 6, 7, 8), 4
 PREDICT = 0.3
 f32 = np.float32
 
 
 @dataclass
 class Vocabulary:
-    """The distinct words of some texts: rows of the word table, of the character table (-1: none), and which word each place has."""
+    """The distinct words of some texts: rows of the word table; rows of the character table, word by word, with their bounds; and which word each place has."""
 
     word: np.ndarray
     chars: np.ndarray
+    bounds: np.ndarray
     place: np.ndarray
 
 
@@ -47,18 +51,26 @@ def vocabulary(words: Words) -> Vocabulary:
     keys, first, place = np.unique(words.hash, return_index=True, return_inverse=True)
     start, size = words.start[first], words.end[first] - words.start[first]
     data = words.data.astype(U)
-    columns = []
+    rows, of = [], []
     for n in STARTS:
-        h = np.full(len(keys), n, U)
-        for k in range(n):
-            h = h * U(257) + data[np.minimum(start + k, len(data) - 1)]
-        columns.append(np.where(size >= n, (mix(h) & U(CHAR_ROWS - 1)).astype(np.int32), -1))
-    for o in range(0, min(REACH, max(int(size.max(initial=0)) - INNER + 1, 0))):
-        h = np.full(len(keys), 99, U)
-        for k in range(INNER):
-            h = h * U(257) + data[np.minimum(start + o + k, len(data) - 1)]
-        columns.append(np.where(size >= o + INNER, (mix(h) & U(CHAR_ROWS - 1)).astype(np.int32), -1))
-    return Vocabulary((keys & U(WORD_ROWS - 1)).astype(np.int32), np.stack(columns, axis=1), place.reshape(-1))
+        long = np.flatnonzero(size >= n)
+        rows.append(_ngrams(data, start[long], n, n))
+        of.append(long)
+    # inner n-grams of the whole word, however long
+    count = np.maximum(size - INNER + 1, 0)
+    ends = np.concatenate([[0], np.cumsum(count)])
+    rows.append(_ngrams(data, np.repeat(start - ends[:-1], count) + np.arange(ends[-1]), INNER, 99))
+    of.append(np.repeat(np.arange(len(keys)), count))
+    of, rows = np.concatenate(of), np.concatenate(rows)
+    order = np.argsort(of, kind="stable")
+    return Vocabulary((keys & U(WORD_ROWS - 1)).astype(np.int32), rows[order], np.searchsorted(of[order], np.arange(len(keys) + 1)), place.reshape(-1))
+
+
+def _ngrams(data: np.ndarray, start: np.ndarray, n: int, seed: int) -> np.ndarray:
+    h = np.full(len(start), seed, U)
+    for k in range(n):
+        h = h * U(257) + data[start + k]
+    return (mix(h) & U(CHAR_ROWS - 1)).astype(np.int32)
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -89,12 +101,9 @@ class Network:
 
     def inputs(self, v: Vocabulary) -> np.ndarray:
         """The vectors of the distinct words, and a last one of zeros for places after the end."""
-        chars, n = np.zeros((len(v.word), CHAR), f32), np.zeros((len(v.word), 1), f32)
-        for c in v.chars.T:
-            held = np.flatnonzero(c >= 0)
-            chars[held] += self.p["ec"][c[held]]
-            n[held] += 1
-        x = np.concatenate([self.p["ew"][v.word], chars / np.sqrt(np.maximum(n, 1))], axis=1)
+        n = np.diff(v.bounds)
+        chars = _summed(np.repeat(np.arange(len(n)), n), self.p["ec"][v.chars], len(n))
+        x = np.concatenate([self.p["ew"][v.word], chars / np.sqrt(np.maximum(n, 1, dtype=f32))[:, None]], axis=1)
         return np.concatenate([x, np.zeros((1, x.shape[1]), f32)])
 
     def _run(self, proj: np.ndarray, at: np.ndarray, live: np.ndarray, d: str, keep: list | None) -> np.ndarray:
@@ -159,19 +168,17 @@ class Network:
             by_x += by_proj @ p[f"x{d}"].T
         by_x = by_x[:-1]
         g["ew"] = _summed(v.word, by_x[:, :WORD], WORD_ROWS)
-        by_char = by_x[:, WORD:] / np.sqrt(np.maximum((v.chars >= 0).sum(axis=1, keepdims=True), 1)).astype(f32)
-        row, column = np.nonzero(v.chars >= 0)
-        g["ec"] = _summed(v.chars[row, column], by_char[row], CHAR_ROWS)
+        n = np.diff(v.bounds)
+        by_char = by_x[:, WORD:] / np.sqrt(np.maximum(n, 1, dtype=f32))[:, None]
+        g["ec"] = _summed(v.chars, by_char[np.repeat(np.arange(len(n)), n)], CHAR_ROWS)
         return g
 
 
-def windows_of(words: Words, v: Vocabulary, most: int | None = None, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word of each place of every window, whether there is one, and the bounds of each text's windows; at most so many of a text if asked."""
+def windows_of(words: Words, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word of each place of every window, whether there is one, and the bounds of each text's windows."""
     starts, lengths, count = [], [], []
     for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
         s = window_starts(b - a)
-        if most is not None and len(s) > most:
-            s = np.sort(rng.choice(s, most, replace=False))
         starts.append(s + a)
         lengths.append(np.minimum(LENGTH, b - a - s))
         count.append(len(s))
@@ -195,21 +202,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
-            words = Words([encoded[k] for k in rows], ALNUM)
-            v = vocabulary(words)
-            at, live, bounds = windows_of(words, v, WINDOWS, rng)
-            keep: dict = {}
-            x = net.inputs(v)
-            z = net.logits(x, at, live, keep)
-            # smooth maximum over each text's windows, and its weights
-            low = bounds[:-1]
-            top = np.repeat(np.maximum.reduceat(z, low), np.diff(bounds))
-            e = np.exp(SHARP * (z - top))
-            share = e / np.repeat(np.add.reduceat(e, low), np.diff(bounds))
-            pooled = top[low] + np.log(np.add.reduceat(e, low)) / SHARP
-            y = labels[rows].astype(f32)
-            by_text = (1 / (1 + np.exp(-pooled)) - y) / len(rows)
-            grads = net.gradients(v, x, at, live, keep, (np.repeat(by_text, np.diff(bounds)) * share).astype(f32))
+            grads = text_gradients(net, [encoded[k] for k in rows], labels[rows])
             step += 1
             rate = RATE * min(1, 3 * (1 - step / (total + 1)))
             for k, g in grads.items():
@@ -219,6 +212,35 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return net
 
 
+def text_gradients(net: Network, encoded: list[bytes], labels: np.ndarray, held: int = HELD) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss of some texts, all windows of each pooled by a smooth maximum.
+
+    Windows go through twice, so that only ``held`` of them at a time are kept with what their
+    gradients need: first for the logits, then, with the gradient of each, those that count.
+    """
+    words = Words(encoded, ALNUM)
+    v = vocabulary(words)
+    at, live, bounds = windows_of(words, v)
+    x = net.inputs(v)
+    proj = {d: x @ net.p[f"x{d}"] + net.p[f"c{d}"] for d in "fb"}
+    z = np.concatenate([net_logits(net, proj, at[i : i + held], live[i : i + held]) for i in range(0, len(at), held)])
+    low, count = bounds[:-1], np.diff(bounds)
+    top = np.maximum.reduceat(z, low)
+    e = np.exp(SHARP * (z - np.repeat(top, count)))
+    total = np.add.reduceat(e, low)
+    pooled = top + np.log(total) / SHARP
+    by_text = (1 / (1 + np.exp(-pooled)) - labels.astype(f32)) / len(encoded)
+    by_logit = (np.repeat(by_text / total, count) * e).astype(f32)
+    some = np.flatnonzero(e > 1e-6)  # what is less is nothing beside the text's highest window
+    out: dict[str, np.ndarray] = {}
+    for i in range(0, len(some), held):
+        w, keep = some[i : i + held], {}
+        net.logits(x, at[w], live[w], keep)
+        for k, g in net.gradients(v, x, at[w], live[w], keep, by_logit[w]).items():
+            out[k] = out[k] + g if k in out else g
+    return out
+
+
 def score(net: Network, texts: list[str | None], rows: int = 4096) -> np.ndarray:
     """The score of each text, rounded to 6 places: its highest window's probability."""
     out = []
@@ -248,12 +270,14 @@ def held_out(key: object) -> bool:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most so many toxic and other documents that aren't held out, those of the lowest hashes of doc_id."""
+    """Texts and labels of at most so many toxic and other documents that aren't held out, those of the lowest hashes of doc_id, as far as CHARS characters of each reach."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(positives).union(known.filter("toxic = 0").orderBy(*order).limit(negatives))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # the bounds above
+    before = Window.partitionBy("toxic").orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("chars", F.sum(F.coalesce(F.length("text"), F.lit(0))).over(before)).filter(F.col("chars") <= CHARS)
     found = sorted({(r["doc_id"], r["text"] or "", r["toxic"]) for r in rows.collect()})
     return [r[1] for r in found], np.array([r[2] for r in found], np.int64)
 
@@ -262,7 +286,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row of docs as struct ``row`` with its score.
 
     Fitted on ``labelled_sample``; without any label, scores are those of a network that wasn't fitted.
-    Null texts are scored as empty ones.
+    Null texts are scored as empty ones. Equal texts have equal scores, so repeated rows repeat; a text of
+    any length is scored whole, by its highest window. An empty table gives no row.
     """
     texts, y = labelled_sample(docs, labels)
     net = train(texts, y) if len(texts) else Network()
@@ -277,8 +302,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score(m, part.column(part.num_columns - 1).to_pylist()))], [*part.schema.names[:-1], "score"])
 
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    kind = docs.schema.simpleString()
-    return arrow(rows, run, f"row {kind}, score double")
+    return arrow(rows, run, T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())]))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,19 @@
 
 For every participant of a dialogue, the dialogue is rendered with that speaker as assistant and
 the others as named users, with the stretches of the text that a model learns from: the assistant's
-own messages with their end marks. A dialogue comes in segments of SEGMENT turn numbers, so that no
-task ever holds a dialogue of any length; a segment is what one row renders.
+own messages with their end marks. A rendering is stored in parts of PART turn numbers, so that no
+task holds a dialogue of any length: ``offset`` says where in the whole text a part begins, masks are
+places in the whole text, and the parts' texts joined in order are the dialogue.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
-SEGMENT = 64
+PART = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -22,35 +23,53 @@ def safe(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("<\\|"))
 
 
-def segments(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, segment and ``messages``: the distinct (turn, role, text) of those turn numbers in order.
+def parts(turns: DataFrame, part: int = PART) -> DataFrame:
+    """conv_id, c and none (conv_id without null, whether it was null), part and ``messages``: the distinct (turn, role, text) of those turn numbers in order.
 
-    Null roles are the speaker "unknown", null texts are empty, null turns come first (segment -1).
+    Null roles are the speaker "unknown", null texts are empty, null turns come first (part -1).
     Rows that are alike in conv_id, turn, role and text are one message; null conv_ids are one dialogue.
     """
     rows = turns.select(
-        "conv_id",
-        F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("long").alias("segment"),
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.coalesce(F.floor(F.col("turn") / part), F.lit(-1)).cast("long").alias("part"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("m"),
     )
-    return rows.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_set("m")).alias("messages"))
+    rows = rows.select(F.coalesce("conv_id", F.lit(0)).alias("c"), F.isnull("conv_id").alias("none"), "part", "m")
+    return rows.groupBy("c", "none", "part").agg(F.sort_array(F.collect_set("m")).alias("messages"))
 
 
-def rotate(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """A row for every dialogue, participant and segment: conv_id, participant, segment, n_messages, n_own, text and masks.
+def _head(role: Column, own: Column) -> Column:
+    return F.concat(F.lit(OPEN), F.when(own, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), safe(role))), F.lit("\n"))
 
-    masks are (start, end) in code points of text, in order, end exclusive: what to learn. A participant
-    who says nothing in a segment has none there.
+
+def _body(text: Column) -> Column:
+    return F.concat(safe(text), F.lit(CLOSE))
+
+
+def _offsets(held: DataFrame) -> DataFrame:
+    """c, none, part, participant and offset: the code points of a participant's rendering before each part, from lengths alone."""
+    size = lambda m, own: F.length(_head(m["role"], own)) + F.length(_body(m["text"])) + 1
+    each = held.select("c", "none", "part", F.explode(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), size(m, F.lit(False)).alias("other"), size(m, F.lit(True)).alias("own")))).alias("m"))
+    each = each.groupBy("c", "none", "part", F.col("m.role").alias("role")).agg(F.sum("m.other").alias("other"), F.sum(F.col("m.own") - F.col("m.other")).alias("more"))
+    whole = each.groupBy("c", "none", "part").agg(F.sum("other").alias("size"))
+    speakers = each.select("c", "none", F.col("role").alias("participant")).distinct()
+    grid = whole.join(speakers, ["c", "none"]).join(each.select("c", "none", "part", F.col("role").alias("participant"), "more"), ["c", "none", "part", "participant"], "left")
+    before = Window.partitionBy("c", "none", "participant").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return grid.select("c", "none", "part", "participant", F.coalesce(F.sum(F.col("size") + F.coalesce("more", F.lit(0))).over(before), F.lit(0)).alias("offset"))
+
+
+def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
+    """A row for every dialogue, participant and part: conv_id, participant, part, offset, n_messages, n_own, text and masks.
+
+    masks are (start, end) in code points of the whole dialogue's text, in order, end exclusive: what to
+    learn. A participant who says nothing in a part has none there. An empty table gives no row.
     """
-    parts = segments(turns, segment)
-    speakers = turns.select(F.col("conv_id").alias("of"), F.coalesce("role", F.lit("unknown")).alias("participant")).distinct()
-    both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of")))
+    held = parts(turns, part)
+    both = held.join(_offsets(held), ["c", "none", "part"])
     own = lambda m: m["role"] == F.col("participant")
-    head = lambda m: F.concat(F.lit(OPEN), F.when(own(m), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), safe(m["role"]))), F.lit("\n"))
-    body = lambda m: F.concat(safe(m["text"]), F.lit(CLOSE))
-    said = both.select("conv_id", "participant", "segment", F.transform("messages", lambda m: F.struct(own(m).alias("own"), head(m).alias("head"), body(m).alias("body"))).alias("said"))
+    said = both.select("c", "none", "participant", "part", "offset", F.transform("messages", lambda m: F.struct(own(m).alias("own"), _head(m["role"], own(m)).alias("head"), _body(m["text"]).alias("body"))).alias("said"))
     # lengths add up in one pass; a mask is the body of an own message
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    zero = F.struct(F.col("offset").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         start = acc["at"] + F.length(s["head"])
@@ -59,9 +78,10 @@ def rotate(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
         return F.struct((end + 1).alias("at"), F.when(s["own"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
     return said.select(
-        "conv_id",
+        F.when(~F.col("none"), F.col("c")).alias("conv_id"),
         "participant",
-        "segment",
+        "part",
+        "offset",
         F.size("said").cast("long").alias("n_messages"),
         F.size(F.filter("said", lambda s: s["own"])).cast("long").alias("n_own"),
         F.array_join(F.transform("said", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "").alias("text"),
@@ -71,25 +91,25 @@ def rotate(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rotate(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "participant", "segment", "n_messages", "n_own", "text", F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",").alias("masks"))
+    return out.select("conv_id", "participant", "part", "offset", "n_messages", "n_own", "text", F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",").alias("masks"))
 
 
 SQL = {
     "op4_chat": rf"""
 WITH m AS (
-  SELECT DISTINCT conv_id, coalesce(floor(turn / {SEGMENT}), -1)::BIGINT AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT DISTINCT conv_id, coalesce(floor(turn / {PART}), -1)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
 ), p AS (SELECT DISTINCT conv_id, role AS participant FROM m
 ), s AS (
-  SELECT m.conv_id, participant, segment, turn, role, text, role = participant AS own,
+  SELECT m.conv_id, participant, part, turn, role, text, role = participant AS own,
     '{OPEN}' || (CASE WHEN role = participant THEN 'assistant' ELSE 'user name=' || replace(role, '<|', '<\|') END) || chr(10) AS head,
     replace(text, '<|', '<\|') || '{CLOSE}' AS body
   FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id
 ), a AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant, segment ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start FROM s
-)
-SELECT conv_id, participant, segment, count(*)::BIGINT AS n_messages, count(*) FILTER (WHERE own)::BIGINT AS n_own,
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s
+), b AS (SELECT *, pos + length(head) AS start FROM a)
+SELECT conv_id, participant, part, min(pos)::BIGINT AS "offset", count(*)::BIGINT AS n_messages, count(*) FILTER (WHERE own)::BIGINT AS n_own,
   string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
   coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY start) FILTER (WHERE own), '') AS masks
-FROM a GROUP BY conv_id, participant, segment
+FROM b GROUP BY conv_id, participant, part
 """
 }
