@@ -36,25 +36,29 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keys = lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     keys = keys.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(8), "key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     order = ["h1", "h2", "salt", "doc_id", "text_hash", "pos"]
-    ranged = keys.repartitionByRange("h1", "h2", "salt").sortWithinPartitions(*order)
+    # written first: the ranges' bounds are sampled from hashes, so that texts are split once
+    ranged = written(keys).repartitionByRange("h1", "h2", "salt").sortWithinPartitions(*order)
     w = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "text_hash", "pos")
     return ranged.select(*order, F.row_number().over(w).alias("n"), F.lag("doc_id").over(w).alias("last")).select(
         *order, (F.col("n") == 1).alias("first"), F.when((F.col("n") == 1) | ~F.col("doc_id").eqNullSafe(F.col("last")), 1).otherwise(0).alias("new_doc")
     )
 
 
-def line_keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
     """One row per distinct (doc_id, text_hash) that loses lines: ``dropped``, the sorted positions from 0.
 
-    Documents are told apart by doc_id (null counts as one id); repeated rows count once. Null and
+    With keep_first, a key's first line by document, text and position stays. Documents are told apart by doc_id (null counts as one id); repeated rows count once. Null and
     empty texts are one empty line, whose key is too short to be dropped.
     """
-    seen = written(line_occurrences(docs, min_chars))  # hashes and places alone; texts are split once
-    part = seen.groupBy("h1", "h2", "salt").agg(F.sum("new_doc").alias("n_docs"))
-    frequent = part.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs).select("h1", "h2")
+    seen = written(line_occurrences(docs, min_chars))  # hashes and places alone
+    place = F.struct("doc_id", "text_hash", "pos")
+    part = seen.groupBy("h1", "h2", "salt").agg(F.sum("new_doc").alias("n_docs"), F.min(F.when(F.col("first"), place)).alias("first_place"))
+    frequent = part.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min("first_place").alias("kept")).filter(F.col("n_docs") >= min_docs).select("h1", "h2", "kept")
     # a frequent key meets its salts, at most SALTS rows, and only then the lines
-    salted = part.join(frequent, ["h1", "h2"], "left_semi").select("h1", "h2", "salt")
-    gone = seen.join(salted, ["h1", "h2", "salt"], "left_semi")
+    salted = part.select("h1", "h2", "salt").join(frequent, ["h1", "h2"])
+    gone = seen.join(salted, ["h1", "h2", "salt"])
+    if keep_first:
+        gone = gone.filter(~place.eqNullSafe(F.col("kept")))
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
@@ -65,14 +69,14 @@ def kept_runs(n_lines: Column, dropped: Column) -> Column:
     return F.filter(runs, lambda r: r["length"] > 0)
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
     """Every row of docs as struct ``row``, with ``text`` (what stays, joined by a line feed), n_lines, n_dropped and keep_bitmap.
 
     keep_bitmap is a string of ``start+length`` runs of kept lines, comma-joined; empty if none stays.
     """
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), "text")
-    gone = line_keep_bitmaps(docs, min_docs, min_chars).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "dropped")
+    gone = line_keep_bitmaps(docs, min_docs, min_chars, keep_first).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "dropped")
     out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
     out = out.select("row", "text", "dropped", _lines(F.col("text")).alias("lines"))
     out = out.select("row", "text", "dropped", "lines", kept_runs(F.size("lines"), F.col("dropped")).alias("runs"))
