@@ -1,11 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document; it matches a template when it holds at least THRESHOLD of the
-template's distinct words. Tokens are ordered by their frequency in the whole corpus, rarest first.
-A match needs at least one of a template's first ``size - need + 1`` tokens (prefix filter), as many
-template words as are needed (length filter), and enough tokens left after the first shared one
-(positional filter); what passes is verified exactly. Templates are a parameter of fixed size, and
-so are the tokens counted; nothing else is collected or broadcast.
+A block is a line with words, or up to SPAN such lines in a row with at most WRAP words more than the
+template, so that a wrapped notice is found. It matches a template when it holds at least THRESHOLD
+of the template's distinct words. Tokens are ordered by their frequency in the whole corpus, rarest
+first. A match has one of a template's first ``size - need + 1`` tokens (prefix filter), as many
+template words as are needed (length filter), and enough tokens of both left after the first shared
+one (positional filter); what passes is verified exactly. Texts are read once, to a table of each
+line's template words. Templates are a parameter of fixed size, and so are the tokens counted;
+nothing else is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, text_hash
+from .common import ascii_lower, table, text_hash, written
 
 #: Base phrases and their labels (fixed by the contract).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -37,14 +39,11 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 THRESHOLD = 0.8
+#: Lines of a block of several, and its words beyond the template's: what stands before and after a notice in its first and last line.
+SPAN, WRAP = 6, 32
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, lower-cased A-Z and joined by single spaces."""
-    return F.btrim(F.regexp_replace(ascii_lower(text), _GAP, " "))
-
-
 def count_words(joined: Column) -> Column:
     return F.when(joined == "", 0).otherwise(F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1)
 
@@ -54,39 +53,79 @@ def need(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
+def token_sets(templates: dict[str, str]) -> dict[str, list[str]]:
+    """The distinct words of each template that has any."""
+    return {k: sorted(set(v.split())) for k, v in templates.items() if v.split()}
+
+
+def _phrase(p: str) -> Column:
+    """The places of a phrase in ``w``, the text's words between spaces: how many, first and last."""
+    # between places of the phrase, which share spaces but no words
+    gaps = F.split("w", f"(?<= ){p}(?= )", -1)
+    count = lambda piece: count_words(F.btrim(piece))
+    places = F.struct(
+        (F.size(gaps) - 1).cast("long").alias("n"),
+        count(F.get(gaps, F.lit(0))).cast("long").alias("first"),
+        (F.col("n_words") - count(F.element_at(gaps, -1)) - len(p.split())).cast("long").alias("last"),
+        F.lit(PHRASES[p]).alias("label"),
+    )
+    return F.when(F.contains("w", F.lit(f" {p} ")), places)
+
+
+def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """A row for each row of docs: doc_id, text_hash, n_words, ``found`` (places of each base phrase) and ``lines``: for each line with words how many and which distinct ones templates have."""
+    vocabulary = sorted({t for s in token_sets(templates).values() for t in s})
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("block", "line")).select("doc_id", "text_hash", "block", F.split(words_of(F.col("line")), " ").alias("words"))
+    lines = F.transform(F.split(ascii_lower(F.col("text")), "\n", -1), lambda t: F.btrim(F.regexp_replace(t, _GAP, " ")))
+    rows = rows.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.filter(lines, lambda t: t != "").alias("lines"))
+    rows = rows.select("doc_id", "text_hash", "lines", F.array_join("lines", " ").alias("words"))
+    rows = rows.select("doc_id", "text_hash", "lines", F.concat(F.lit(" "), "words", F.lit(" ")).alias("w"), count_words(F.col("words")).cast("long").alias("n_words"))
+    known = lambda t: F.array_intersect(F.split(t, " "), F.array(*map(F.lit, vocabulary)).cast("array<string>"))
+    return rows.select(
+        "doc_id",
+        "text_hash",
+        "n_words",
+        F.filter(F.array(*map(_phrase, PHRASES)), lambda x: x.isNotNull()).alias("found"),
+        F.transform("lines", lambda t: F.struct(count_words(t).alias("n"), known(t).alias("known"))).alias("lines"),
+    )
 
 
-def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, block (line from 0), label and containment of every block that meets the threshold.
+def template_matches(rows: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, line (the block's first, of those with words, from 0), n_lines, label and containment of every block of ``scanned`` rows that meets the threshold.
 
-    Templates without words are left out. Counts the templates' tokens over all blocks first, one row a token.
+    Templates without words are left out. Counts the templates' tokens over all lines first, one row a token.
     """
-    sets = {k: sorted(set(v.split())) for k, v in templates.items() if v.split()}
-    vocabulary = sorted({t for s in sets.values() for t in s})
-    spark = docs.sparkSession
+    sets = token_sets(templates)
+    spark = rows.sparkSession
     if not sets:
-        return spark.createDataFrame([], "doc_id long, text_hash long, block int, label string, containment double")
-    blocks = _blocks(docs)
-    among = lambda tokens: F.array_intersect("words", F.array(*map(F.lit, tokens)))
-    seen = blocks.select(F.explode(among(vocabulary)).alias("token")).groupBy("token").count()
+        return spark.createDataFrame([], "doc_id long, text_hash long, line int, n_lines int, label string, containment double")
+    seen = rows.select(F.explode(F.flatten(F.transform("lines", lambda x: x["known"]))).alias("token")).groupBy("token").count()
     frequency = {r["token"]: r["count"] for r in seen.collect()}  # at most one row for each token of the templates
-    order = {k: sorted(s, key=lambda t: (frequency.get(t, 0), t)) for k, s in sets.items()}
-    prefixes = [(t, k, i, len(s), need(len(s), threshold)) for k, s in order.items() for i, t in enumerate(s[: len(s) - need(len(s), threshold) + 1])]
-    index = F.broadcast(spark.createDataFrame(prefixes, "token string, label string, at int, size int, need int"))
-    full = F.broadcast(spark.createDataFrame(list(order.items()), "label string, tokens array<string>"))
-    lead = sorted({p[0] for p in prefixes})
-    least = min(p[4] for p in prefixes)
-    held = blocks.select("doc_id", "text_hash", "block", among(lead).alias("lead"), among(vocabulary).alias("known"))
-    probes = held.filter((F.size("lead") > 0) & (F.size("known") >= least)).select("doc_id", "text_hash", "block", "known", F.explode("lead").alias("token"))
-    pairs = probes.join(index, "token").filter((F.size("known") >= F.col("need")) & (F.col("size") - F.col("at") >= F.col("need")))
-    pairs = pairs.join(full, "label")
-    # a pair is verified at the first of its shared tokens alone, and only if enough tokens follow that one
-    shared = F.filter("tokens", lambda t: F.array_contains("known", t))
-    checked = pairs.select("doc_id", "text_hash", "block", "label", "token", "size", "need", shared.alias("shared")).filter((F.get("shared", F.lit(0)) == F.col("token")) & (F.size("shared") >= F.col("need")))
-    return checked.select("doc_id", "text_hash", "block", "label", (F.size("shared") / F.col("size")).alias("containment"))
+    rarest = lambda tokens: sorted(tokens, key=lambda t: (frequency.get(t, 0), t))
+    order = {k: rarest(s) for k, s in sets.items()}
+    prefixes = [(t, k, i + 1, len(s), need(len(s), threshold)) for k, s in order.items() for i, t in enumerate(s[: len(s) - need(len(s), threshold) + 1])]
+    index = F.broadcast(spark.createDataFrame(prefixes, "token string, label string, place int, size int, need int"))
+    full = F.broadcast(spark.createDataFrame(list(order.items()), "label string, template array<string>"))
+    lead = F.array(*map(F.lit, rarest({p[0] for p in prefixes})))
+    every = F.array(*map(F.lit, rarest({t for s in sets.values() for t in s})))
+    # lines with a prefix token, with the lines around them that a block can have
+    with_lead = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.arrays_overlap(F.get("lines", i)["known"], lead))
+    around = lambda i: F.slice("lines", F.greatest(i - (SPAN - 2), F.lit(1)), SPAN + F.least(i, F.lit(SPAN - 1)))
+    spots = rows.filter(F.exists("lines", lambda x: F.arrays_overlap(x["known"], lead)))
+    spots = spots.select("doc_id", "text_hash", F.explode(F.transform(with_lead, lambda i: F.struct(i.alias("line"), F.least(i, F.lit(SPAN - 1)).alias("at"), around(i).alias("near")))).alias("s")).select("doc_id", "text_hash", "s.*")
+    probes = spots.select("*", F.explode(F.array_intersect(lead, F.get("near", F.col("at"))["known"])).alias("token")).join(index, "token")
+    # blocks that hold the line: from ``back`` lines before it, n_lines long
+    spans = F.array(*(F.struct(F.lit(b).alias("back"), F.lit(n).alias("n_lines")) for n in range(1, SPAN + 1) for b in range(n)))
+    blocks = probes.select("*", F.inline(spans)).filter((F.col("back") <= F.col("at")) & (F.col("at") - F.col("back") + F.col("n_lines") <= F.size("near")))
+    blocks = blocks.withColumn("block", F.slice("near", F.greatest(F.col("at") - F.col("back") + 1, F.lit(1)), F.col("n_lines"))).drop("near")
+    words = F.aggregate("block", F.lit(0), lambda acc, x: acc + x["n"])
+    blocks = blocks.filter((F.col("n_lines") == 1) | (words <= F.col("size") + WRAP))
+    # the block's tokens, rarest first; length and positional filter, then verification at the first shared token
+    tokens = blocks.select("*", F.array_intersect(every, F.flatten(F.transform("block", lambda x: x["known"]))).alias("tokens")).filter(F.size("tokens") >= F.col("need"))
+    left = 1 + F.least(F.size("tokens") - F.array_position("tokens", F.col("token")), F.col("size") - F.col("place"))
+    shared = tokens.filter(left >= F.col("need")).join(full, "label").select("*", F.array_intersect("template", "tokens").alias("shared"))
+    checked = shared.filter((F.get("shared", F.lit(0)) == F.col("token")) & (F.size("shared") >= F.col("need")))
+    return checked.select("doc_id", "text_hash", (F.col("line") - F.col("back")).alias("line"), "n_lines", "label", (F.size("shared") / F.col("size")).alias("containment")).distinct()
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -96,29 +135,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     is 1 with a base phrase, else the highest containment, else 0. Null and empty texts have no words;
     rows that share doc_id and text have equal results.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", text_hash(F.col("text")).alias("text_hash"), words_of(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "text_hash", F.concat(F.lit(" "), "words", F.lit(" ")).alias("w"), count_words(F.col("words")).cast("long").alias("n_words"))
-    found = []
-    for p in PHRASES:
-        # between places of the phrase, which share spaces but no words
-        gaps = F.split("w", f"(?<= ){p}(?= )", -1)
-        inside = F.contains("w", F.lit(f" {p} "))
-        count = lambda piece: count_words(F.btrim(piece))
-        found.append(
-            F.when(
-                inside,
-                F.struct(
-                    (F.size(gaps) - 1).cast("long").alias("n"),
-                    count(F.get(gaps, F.lit(0))).cast("long").alias("first"),
-                    (F.col("n_words") - count(F.element_at(gaps, -1)) - len(p.split())).cast("long").alias("last"),
-                    F.lit(PHRASES[p]).alias("label"),
-                ),
-            )
-        )
-    base = rows.select("doc_id", "text_hash", "n_words", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("found"))
-    best = template_matches(docs, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    base = written(scanned(docs, templates))
+    best = template_matches(base, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     best = best.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "more", "best")
-    out = base.join(best, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
+    out = base.drop("lines").join(best, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
     labels = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["label"])))
     return out.select(
         "doc_id",
@@ -137,7 +157,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Phrases by comparing neighbouring words; templates by intersecting every line with every template."""
+    """Phrases by comparing neighbouring words; templates by intersecting every block of lines with every template."""
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
     split = lambda c: f"list_filter(string_split(regexp_replace({lower(c)}, '{gap}', ' ', 'g'), ' '), lambda x: x <> '')"
@@ -152,8 +172,11 @@ WITH w AS (SELECT doc_id, {split("coalesce(text, '')")} AS w FROM documents),
 p AS ({' UNION ALL '.join(places)}),
 b AS (SELECT doc_id, count(*)::BIGINT AS n_base, min(place)::BIGINT AS first_word, max(place)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
 t AS (SELECT label, list_distinct(tokens) AS tokens FROM (VALUES {templates}) v(label, tokens)),
-l AS (SELECT doc_id, {split('line')} AS line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
-m AS (SELECT doc_id, label, len(list_intersect(tokens, line)) / len(tokens) AS containment, len(list_intersect(tokens, line)) >= ceil({THRESHOLD}::DOUBLE * len(tokens) - 1e-9) AS hit FROM l, t),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda y: {split('y')}), lambda z: len(z) > 0) AS lines FROM documents),
+g AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l),
+n AS (SELECT doc_id, lines, i, unnest(range(1, {SPAN + 1})) AS s FROM g),
+k AS (SELECT doc_id, s, flatten(lines[i:i + s - 1]) AS words FROM n WHERE i + s - 1 <= len(lines)),
+m AS (SELECT doc_id, label, len(list_intersect(tokens, words)) / len(tokens) AS containment, len(list_intersect(tokens, words)) >= ceil({THRESHOLD}::DOUBLE * len(tokens) - 1e-9) AS hit FROM k, t WHERE s = 1 OR len(words) <= len(tokens) + {WRAP}),
 h AS (SELECT doc_id, label, containment FROM m WHERE hit),
 every AS (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM h),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id),

@@ -68,17 +68,28 @@ def test_template_join_is_exact(spark):
     r = random.Random(4)
     vocab = [f"w{i}" for i in range(25)]
     templates = {f"t{k}": " ".join(r.sample(vocab, r.randrange(1, 9))) for k in range(12)}
-    docs = [(i, "\n".join(" ".join(r.choice(vocab + ["x"] * 5) for _ in range(r.randrange(0, 14))) for _ in range(r.randrange(1, 5)))) for i in range(120)]
-    got = {(x.doc_id, x.block, x.label, round(x.containment, 9)) for x in L.template_matches(rows(spark, docs), templates, 0.6).collect()}
+    docs = [(i, "\n".join(" ".join(r.choice(vocab + ["x"] * 5) for _ in range(r.randrange(0, 14))) for _ in range(r.randrange(1, 9)))) for i in range(120)]
+    got = [(x.doc_id, x.line, x.n_lines, x.label, round(x.containment, 9)) for x in L.template_matches(L.scanned(rows(spark, docs), templates), templates, 0.6).collect()]
     want = set()
     for i, t in docs:
-        for b, line in enumerate(t.split("\n")):
-            for k, v in templates.items():
-                s = set(v.split())
-                c = len(s & set(line.split())) / len(s)
-                if c >= 0.6 - 1e-9:
-                    want.add((i, b, k, round(c, 9)))
-    assert got == want and len(want) > 50
+        lines = [line.split() for line in t.split("\n") if line.split()]
+        for b in range(len(lines)):
+            for n in range(1, min(L.SPAN, len(lines) - b) + 1):
+                block = [w for line in lines[b : b + n] for w in line]
+                for k, v in templates.items():
+                    s = set(v.split())
+                    c = len(s & set(block)) / len(s)
+                    if c >= 0.6 - 1e-9 and (n == 1 or len(block) <= len(s) + L.WRAP):
+                        want.add((i, b, n, k, round(c, 9)))
+    assert sorted(got) == sorted(want) and len(want) > 50 and any(x[2] > 3 for x in want)
+
+
+def test_wrapped_notices_are_found(spark):
+    words = L.TEMPLATES["gpl-notice"].split()
+    wrap = lambda n, gap="\n": gap.join(" ".join(words[i : i + n]).capitalize() for i in range(0, len(words), n))
+    docs = [(1, wrap(9)), (2, f"Copyright (c) someone.\n# {wrap(7, chr(10) + '# ')}, or later.\nEnd"), (3, wrap(1)), (4, wrap(9).replace("\n", "\n" + " other words" * 30 + "\n"))]
+    got = {x.doc_id: (x.labels, x.score) for x in L.scan_licenses(rows(spark, docs)).collect()}
+    assert got[1][0] == got[2][0] == "gpl,gpl-notice" and "gpl-notice" not in got[3][0] + got[4][0]
 
 
 # --- personal data
@@ -160,6 +171,12 @@ def test_first_occurrence_is_flagged_once_in_each_salt(spark):
     assert x.docs == 300 and x.firsts == x.salts
 
 
+def test_first_lines_can_stay(spark):
+    docs = [(i, "Same line\nown %d\nsame line" % i) for i in range(12)]
+    got = {x.row.doc_id: x.text for x in D.drop_lines(rows(spark, docs), keep_first=True).collect()}
+    assert got[0] == "Same line\nown 0" and all(got[i] == f"own {i}" for i in range(1, 12))
+
+
 # --- chat
 
 
@@ -167,26 +184,29 @@ def test_chat(spark):
     r = random.Random(6)
     turns = [(c, t, r.choice(["user", "assistant", "system", "bob <|im_end|>"]), "é <|im_start|> " * r.randrange(3)) for c in range(6) for t in range(r.randrange(1, 150))]
     turns += [turns[0], (7, None, None, None), (7, 1, "user", "x"), (None, 0, "user", "alone"), (7, 1, "user", "tie")]
-    got = C.rotate(rows(spark, turns, "conv_id long, turn long, role string, text string").withColumn("said", F.lit(1)).withColumn("segment", F.lit(2))).collect()
+    got = C.rotate(rows(spark, turns, "conv_id long, turn long, role string, text string").withColumn("said", F.lit(1)).withColumn("part", F.lit(2)).withColumn("c", F.lit(2))).collect()
     by = {}
     for c, t, role, text in set(turns):
         by.setdefault(c, []).append((t if t is not None else -1, role or "unknown", text or ""))
     n = 0
     for c, said in by.items():
         for who in {m[1] for m in said}:
-            for s in {-1 if m[0] < 0 else m[0] // 64 for m in said}:
-                text, masks = "", []
-                for m in sorted(m for m in said if (-1 if m[0] < 0 else m[0] // 64) == s):
-                    text += "<|im_start|>" + ("assistant" if m[1] == who else "user name=" + m[1].replace("<|", "<\\|")) + "\n"
-                    a = len(text)
-                    text += m[2].replace("<|", "<\\|") + "<|im_end|>"
-                    if m[1] == who:
-                        masks.append((a, len(text)))
-                    text += "\n"
-                row = [x for x in got if (x.conv_id, x.participant, x.segment) == (c, who, s)]
-                assert len(row) == 1 and row[0].text == text and [tuple(x) for x in row[0].masks] == masks
-                n += 1
-    assert n == len(got)
+            text, masks, starts = "", {}, {}
+            for m in sorted(said):
+                part = -1 if m[0] < 0 else m[0] // 64
+                starts.setdefault(part, len(text))
+                text += "<|im_start|>" + ("assistant" if m[1] == who else "user name=" + m[1].replace("<|", "<\\|")) + "\n"
+                at = len(text)
+                text += m[2].replace("<|", "<\\|") + "<|im_end|>"
+                if m[1] == who:
+                    masks.setdefault(part, []).append((at, len(text)))
+                text += "\n"
+            row = sorted((x for x in got if (x.conv_id, x.participant) == (c, who)), key=lambda x: x.part)
+            assert "".join(x.text for x in row) == text and {x.part: x.offset for x in row} == starts
+            assert {x.part: [tuple(y) for y in x.masks] for x in row} == {p: masks.get(p, []) for p in starts}
+            n += len(row)
+    assert n == len(got) and any(x.part == 2 for x in got)
+    assert C.rotate(rows(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
 
 
 def test_digests_follow_the_operator(spark):
