@@ -21,6 +21,8 @@ from .common import arrow, table
 
 WIDTH, HEIGHT, UNIT, DELAY_CS = 64, 1024, 64, 10
 BINS = 16
+#: About so many bytes of GIFs are held at a time.
+HELD = 8_000_000
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
 
 
@@ -236,14 +238,31 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and ``content``, the GIF of each text's padded bytes; a null text is an empty one."""
+    """doc_id, n_bytes and ``content``, the GIF of each text's padded bytes; a null text is an empty one.
+
+    Rows are independent, so repeated rows repeat. A text of any length is one GIF; about HELD bytes of
+    GIFs are held at a time, or a longer one alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes, media, held = [], [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            nonlocal keys, sizes, media, held
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "content"])
+            keys, sizes, media, held = [], [], [], 0
+            return out
+
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                both = [padded(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in both], pa.int64()), pa.array([encode_gif(p) for _, p in both], pa.binary())], ["doc_id", "n_bytes", "content"])
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                n, payload = padded(text.as_py())
+                keys.append(key)
+                sizes.append(n)
+                media.append(encode_gif(payload))
+                held += len(media[-1])
+                if held > HELD:
+                    yield batch()
+        yield batch()
 
     return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, content binary")
 

@@ -1,6 +1,7 @@
 """GIF, pieces, toxicity and the pipeline."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -13,7 +14,7 @@ import corpus_pipeline as pipeline
 from engramlake.llm import op3_toxicity as X
 from engramlake.llm import op5_gif as G
 from engramlake.llm import op9_pieces as P
-from engramlake.llm.textnum import ALNUM, Words
+from engramlake.llm.textnum import ALNUM, Words, mix
 
 DOCS = "doc_id long, text string"
 TEXTS = [None, "", "a", "x" * 64, "é" * 40, "word and word " * 9000, "\0\n\t", "😀🙂", "The  and   attion\nto thanedble É ▃ 梦 ᚠ"]
@@ -227,6 +228,78 @@ def test_windows_cover_every_word():
         assert {i for a in s for i in range(a, min(a + X.LENGTH, n))} == set(range(n)) and len(s) >= 1
 
 
+def plain_score(net, text):
+    """The network's score of a text word by word and step by step, in Python's numbers."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    one = Words([text.encode()], ALNUM)
+    words = [one.data[a:b].tobytes() for a, b in zip(one.start, one.end)]
+
+    def vector(i):
+        w, grams = words[i], []
+        for n in X.STARTS:
+            grams += [(w[:n], n)] if len(w) >= n else []
+        grams += [(w[k : k + X.INNER], 99) for k in range(len(w) - X.INNER + 1)]
+        rows = []
+        for g, seed in grams:
+            h = seed
+            for c in g:
+                h = (h * 257 + c) % 2**64
+            rows.append(int(mix(np.array([h], np.uint64))[0]) % X.CHAR_ROWS)
+        chars = sum((p["ec"][r] for r in rows), np.zeros(X.CHAR)) / max(len(rows), 1) ** 0.5
+        return [*p["ew"][int(one.hash[i]) % X.WORD_ROWS], *chars]
+
+    def states(xs, d):
+        h, out, n = [0.0] * X.STATE, [], X.STATE
+        for x in xs:
+            a = [sum(x[i] * p[f"x{d}"][i][j] for i in range(len(x))) + p[f"c{d}"][j] for j in range(3 * n)]
+            g = [sum(h[i] * p[f"u{d}"][i][j] for i in range(n)) for j in range(3 * n)]
+            z, r = [sigmoid(a[j] + g[j]) for j in range(n)], [sigmoid(a[n + j] + g[n + j]) for j in range(n)]
+            c = [math.tanh(a[2 * n + j] + r[j] * g[2 * n + j]) for j in range(n)]
+            h = [c[j] + z[j] * (h[j] - c[j]) for j in range(n)]
+            out.append(h)
+        return out
+
+    best = None
+    for s in X.window_starts(len(words)).tolist():
+        xs = [vector(i) for i in range(s, min(s + X.LENGTH, len(words)))]
+        both = [f + b for f, b in zip(states(xs, "f"), states(xs[::-1], "b")[::-1])]
+        e = [math.exp(sum(v * a for v, a in zip(h, p["a"]))) for h in both]
+        pooled = [sum(e[t] * both[t][j] for t in range(len(both))) / sum(e) for j in range(2 * X.STATE)] if both else [0.0] * (2 * X.STATE)
+        logit = sum(v * w for v, w in zip(pooled, p["w"])) + p["b"][0]
+        best = logit if best is None else max(best, logit)
+    return sigmoid(best)
+
+
+def test_scores_are_those_of_a_plain_network():
+    net = X.train([d[1] for d in toy(1)[:80]], np.array([d[2] for d in toy(1)[:80]]), 1)
+    texts = ["", "one", toy(1)[0][1], "Ünïcode wörds and a verylongwordwithoutanyspaceatallinit " * 9, " ".join(f"w{i}" for i in range(75))]
+    assert X.score(net, texts) == pytest.approx([plain_score(net, t) for t in texts], abs=2e-5)
+
+
+def test_all_windows_are_pooled_whatever_is_held_at_a_time():
+    net = X.Network(2)
+    encoded = [(" ".join(f"w{i % 7}" for i in range(n))).encode() for n in (0, 5, 300, 1000)]
+    y = np.array([0, 1, 1, 0])
+    a, b = X.text_gradients(net, encoded, y), X.text_gradients(net, encoded, y, held=10)
+    assert all(np.allclose(a[k], b[k], rtol=1e-3, atol=1e-6) for k in a)
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a text", 1), (1, "a text", 1), (None, None, 2)], "doc_id long, text string, `odd name, with: signs` int")
+    out = X.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    got = [(r.row["odd name, with: signs"], r.score) for r in out.collect()]
+    assert len(got) == 3 and got[0] == got[1]
+
+
+def test_the_query_holds_rows_out(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    spark.createDataFrame([(i, t) for i, t, _ in toy(4, 60)] + [(None, "x")], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, _, y in toy(4, 60)], "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+    got = X.op3_toxicity(spark, at).collect()
+    assert len(got) == 61 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for r in got)
+
+
 def test_learns_words_and_word_parts(spark):
     data = toy(1)
     held = [d for d in toy(2) if d[2]] + [d for d in toy(3) if not d[2]]
