@@ -24,8 +24,13 @@ from pyspark.sql import types as T
 from .common import arrow, table
 from .textnum import ALNUM, U, Words, chunks, mix
 
+f32 = np.float32
 #: Bounds of the fitted sample (rows with the lowest hash of doc_id): texts of each label, and characters of each label's.
 POSITIVES, NEGATIVES, CHARS = 1200, 2800, 16_000_000
+#: The z-score from which a word's or n-gram's lean to label 1 counts before fitting.
+CERTAIN = 2.6
+#: From so many texts on, counting has less to say.
+SPARSE = 400
 #: Windows that are held with their gradients at a time.
 HELD = 4096
 #: Window length and step in words, sizes of a state and of the two vectors, rows of their tables.
@@ -34,7 +39,6 @@ EPOCHS, BATCH, RATE, SHARP, SEED = 6, 48, 0.01, 4.0, 3
 #: Lengths of word starts and of inner character n-grams, in bytes.
 STARTS, INNER = (3, 4, 5, 6, 7, 8), 4
 PREDICT = 0.3
-f32 = np.float32
 
 
 @dataclass
@@ -189,12 +193,27 @@ def windows_of(words: Words, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.
     return at, live, np.concatenate([[0], np.cumsum(count)])
 
 
+def evidence(encoded: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
+    """How far more often each row of the word and the character table occurs in texts of label 1: the z-score of the log-odds of texts that have it, above CERTAIN."""
+    counts = {"ew": np.zeros((2, WORD_ROWS)), "ec": np.zeros((2, CHAR_ROWS))}
+    for b, y in zip(encoded, labels.tolist(), strict=True):
+        v = vocabulary(Words([b], ALNUM))
+        counts["ew"][y][np.unique(v.word)] += 1
+        counts["ec"][y][np.unique(v.chars)] += 1
+    n = np.bincount(labels, minlength=2) + 1.0
+    z = lambda c: (np.log((c[1] + 0.5) / n[1]) - np.log((c[0] + 0.5) / n[0])) / np.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5))
+    return {k: np.maximum(z(c) - CERTAIN, 0).astype(f32) for k, c in counts.items()}
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """A network fitted by Adam to the labels of texts, the same for the same input; with one label alone it stays near that."""
     net, rng = Network(seed), np.random.default_rng(seed)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    # one number of each vector begins with what counting tells, the less the more texts there are to learn from
+    for k, e in evidence(encoded, labels).items():
+        net.p[k][:, 0] += f32(0.5 * min(1, SPARSE / max(len(texts), 1))) * e
     # long and short epochs on few texts see as many batches
     rounds = min(epochs * max(1, round(2000 / max(len(texts), 1))), 4 * epochs)
     total, step = rounds * -(-len(texts) // BATCH), 0
