@@ -22,14 +22,25 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, na
     return builder.getOrCreate()
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local session without it gets one of its own."""
+def _shared(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which driver and executors share; a local session without it gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/engramlake-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a table in between."""
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables in between of this application: for when its results so far are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_shared(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
