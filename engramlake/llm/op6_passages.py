@@ -6,7 +6,7 @@ again by content where they are long. Each has MinHash bands; paragraphs that co
 verified by the exact Jaccard similarity of their word 5-grams in a prefix-tree join, and components
 of these links are clusters. Of each cluster the first paragraph stays.
 
-A passage needn't begin or end where a paragraph does, so stretches of STRETCH words are picked by
+A text that several documents have is one passage in each, and is looked into once. A passage needn't begin or end where a paragraph does, so stretches of STRETCH words are picked by
 content as well, one at least in any STRETCH places in a row: every repeat of 2 * STRETCH - 1 words
 holds one. One that several documents have grows word by word to both sides as far as it is the same
 in another document. Repeated paragraphs and stretches that touch make a passage, reported from
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +33,8 @@ SHINGLE, NUM, DEN = 5, 80, 100
 BANDS, ROWS = 8, 3
 #: Neighbours under SHORT words are joined; paragraphs are cut at words of a certain hash from LONG words on.
 SHORT, LONG, CUT = 8, 64, 16
+#: Bytes of text that are worked on at a time, and rows (of two numbers) that are broadcast.
+HELD, FEW = 2_000_000, 2_000_000
 #: Words of a stretch and of a reported passage: a few under 51, so that one counts whose first or last words were changed.
 STRETCH, MIN_WORDS = 26, 48
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U))
@@ -106,8 +108,8 @@ def stretches(w: Words) -> tuple[np.ndarray, np.ndarray]:
     if len(grams) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     start = np.arange(len(grams) - k + 1)
-    start = start[start + 2 * k - 1 <= w.bounds[np.searchsorted(w.bounds, start, "right")]]
-    at = np.unique(start + np.lib.stride_tricks.sliding_window_view(grams, k)[start].argmin(axis=1))
+    least = start + np.lib.stride_tricks.sliding_window_view(grams, k).argmin(axis=1)
+    at = np.unique(least[start + 2 * k - 1 <= w.bounds[np.searchsorted(w.bounds, start, "right")]])
     return at, grams[at].view(np.int64)
 
 
@@ -116,98 +118,169 @@ def code_points(w: Words) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
 
 
+def _who() -> Column:
+    """The document of a row; null doc_ids are one that comes last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))
+
+
+def _row_key(who: Column) -> Column:
+    return F.xxhash64("row_hash", "text_hash", who["none"], who["id"])
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text, row_hash and doc, a hash of doc_id that is never null."""
-    i = F.col("doc_id").cast("long")
-    return docs.select(i.alias("doc_id"), "text", F.xxhash64("text").alias("row_hash"), F.xxhash64(i.isNull(), i).alias("doc"))
+    """doc_id, text, row_hash and text_hash (128 bits of the text), doc, a hash of doc_id that is never null, and key, one of the row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_hash"), F.xxhash64(F.lit(6), "text").alias("text_hash"))
+    return rows.select("*", F.xxhash64(F.col("doc_id").isNull(), "doc_id").alias("doc"), _row_key(_who()).alias("key"))
 
 
-def _postings(docs: DataFrame) -> DataFrame:
+def _first(batches: Iterator[pa.RecordBatch], firsts: bytes) -> Iterator[tuple[pa.RecordBatch, int, list[bytes]]]:
+    """Chunks of the rows (key, text, ...) whose key is among the first rows of their texts: batch of these, place in it, encoded texts."""
+    for b in batches:
+        b = b.filter(pa.array(passes(firsts, b.column(0).to_numpy(zero_copy_only=False))))
+        for at, encoded in chunks(b.column(1).to_pylist(), HELD):
+            yield b, at, encoded
+
+
+def _postings(docs: DataFrame, firsts: Broadcast) -> DataFrame:
     """Packed postings: of bands by paragraph, and of whole paragraphs and stretches by document, of which only the repeated keys are wanted."""
     bits = bucket_bits(int((docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 8))  # about so many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 32
-        for b in batches:
-            ids = b.column(1).to_numpy(zero_copy_only=False)
-            for at, encoded in chunks(b.column(0).to_pylist()):
-                p, place = Paragraphs(encoded), place + 1
-                keys, which = p.band_keys()
-                yield pack(keys, p.digest[0][which], bits, place)
-                start, hashes = stretches(p.words)
-                doc = np.searchsorted(p.words.bounds, start, "right") - 1
-                yield pack(np.concatenate([p.digest[0], hashes]), ids[np.concatenate([p.doc, doc]) + at], bits, place, alone=True)
-
-    return arrow(docs.select("text", "doc"), run, PACKED)
-
-
-def _hits(docs: DataFrame, pairs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The paragraphs and stretches of docs that may be in pairs or repeated: doc_id, row_hash, word (the first one's index), n_words, place, end, d1, d2 (digest; of stretches d1 alone) and tokens of those in pairs, once a task."""
+        for b, at, encoded in _first(batches, firsts.value):
+            ids = b.column(2).to_numpy(zero_copy_only=False)
+            p, place = Paragraphs(encoded), place + 1
+            keys, which = p.band_keys()
+            yield pack(keys, p.digest[0][which], bits, place)
+            start, hashes = stretches(p.words)
+            doc = np.searchsorted(p.words.bounds, start, "right") - 1
+            yield pack(np.concatenate([p.digest[0], hashes]), ids[np.concatenate([p.doc, doc]) + at], bits, place, alone=True)
+
+    return arrow(docs.select("key", "text", "doc"), run, PACKED)
+
+
+def long_enough(first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray, reach: np.ndarray, least: int) -> np.ndarray:
+    """Which pieces (word ranges within documents low:high, that may grow by reach to both sides) are in a row of touching ones of least words, once all have grown."""
+    start, end = np.maximum(first - reach, low), np.minimum(last + reach, high)
+    order = np.lexsort((end, start))
+    start, end, low = start[order], end[order], low[order]
+    far = np.maximum.accumulate(end) if len(end) else end
+    new = np.concatenate([[True], (start[1:] > far[:-1]) | (low[1:] != low[:-1])])[: len(start)]
+    run = np.cumsum(new) - 1
+    size = np.maximum.reduceat(end, np.flatnonzero(new)) - start[new] if len(start) else start
+    out = np.zeros(len(order), bool)
+    out[order] = (size >= least)[run]
+    return out
+
+
+def covered(first: np.ndarray, last: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Which of the word ranges first:last lie within touching stretches of some size, given their first words in order."""
+    if not len(start):
+        return np.zeros(len(first), bool)
+    open_at = np.concatenate([[True], np.diff(start) > size])
+    left = start[open_at]
+    right = np.append(start[np.flatnonzero(open_at)[1:] - 1], start[-1]) + size
+    at = np.searchsorted(left, first, "right") - 1
+    return (at >= 0) & (last <= right[np.maximum(at, 0)])
+
+
+def _hits(docs: DataFrame, firsts: Broadcast, pairs: DataFrame, repeated: DataFrame, least: int) -> DataFrame:
+    """What may be repeated in docs: doc_id, row_hash, word (the first one's index), n_words, place, end, d1, d2 and tokens.
+
+    Paragraphs have their digest as d1 and d2 and, if they may be in pairs, tokens once a task; stretches
+    have d1 alone, and whole texts of least words neither d1 nor, in its place, anything but text_hash as
+    d2. Left out are pieces that can't be in a passage of least words, whatever is verified, and
+    paragraphs within repeated stretches, but for those of two documents a task that others may be near.
+    """
     sc = docs.sparkSession.sparkContext
     near = pairs.select("node").union(pairs.select("hub")).distinct()
     joined, again = (sc.broadcast(filter_of(x)) for x in (near, repeated))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()  # paragraphs whose tokens this task has returned, anew when they are many
-        for b in batches:
-            for at, encoded in chunks(b.column(1).to_pylist()):
-                p = Paragraphs(encoded)
-                w, points = p.words, code_points(p.words)
-                linked = passes(joined.value, p.digest[0])
-                some = np.flatnonzero(linked | passes(again.value, p.digest[0]))
-                start, hashes = stretches(w)
-                which = np.flatnonzero(passes(again.value, hashes))
-                start, hashes = start[which], hashes[which]
-                doc = np.concatenate([p.doc[some], np.searchsorted(w.bounds, start, "right") - 1])
-                first, last = np.concatenate([p.first[some], start]), np.concatenate([p.last[some], start + STRETCH])
-                tokens: list = [None] * len(doc)
-                for j, i in enumerate(some.tolist()):
-                    if linked[i] and (name := int(p.digest[0][i])) not in sent:
-                        sent.add(name)
-                        tokens[j] = p.sets([i])[0].tolist()
-                if len(sent) > 200_000:
-                    sent.clear()
-                base = points[w.offset[:-1]][doc]
-                numbers = (first - w.bounds[doc], last - first, points[w.start[first]] - base, points[w.end[last - 1]] - base, np.concatenate([p.digest[0][some], hashes]))
-                rows = pa.array(doc + at)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows), b.column(2).take(rows), *(pa.array(x.astype(np.int64)) for x in numbers), pa.array([*p.digest[1][some].tolist(), *[None] * len(start)], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
-                    ["doc_id", "row_hash", "word", "n_words", "place", "end", "d1", "d2", "tokens"],
-                )
-
-    return arrow(docs.select("doc_id", "text", "row_hash"), run, "doc_id long, row_hash long, word long, n_words long, place long, end long, d1 long, d2 long, tokens array<long>")
-
-
-def _sides(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """All occurrences of the stretches of ``ends`` (one column of hashes): doc_id, row_hash, word, d1, and for each side the hashes of up to STRETCH words, nearest first, with the code points where they start or end."""
-    held = docs.sparkSession.sparkContext.broadcast(filter_of(ends))
+        sent: dict[int, int] = {}  # paragraphs that this task has returned, with a document, anew when they are many
+        for b, at, encoded in _first(batches, firsts.value):
+            ids = b.column(5).to_numpy(zero_copy_only=False)
+            p = Paragraphs(encoded)
+            w, points = p.words, code_points(p.words)
+            linked = passes(joined.value, p.digest[0])
+            some = np.flatnonzero(linked | passes(again.value, p.digest[0]))
+            start, hashes = stretches(w)
+            which = np.flatnonzero(passes(again.value, hashes))
+            start, hashes = start[which], hashes[which]
+            doc = np.concatenate([p.doc[some], np.searchsorted(w.bounds, start, "right") - 1])
+            first, last = np.concatenate([p.first[some], start]), np.concatenate([p.last[some], start + STRETCH])
+            keep = long_enough(first, last, w.bounds[doc], w.bounds[doc + 1], np.repeat([0, STRETCH], [len(some), len(start)]), least)
+            inside = covered(p.first[some], p.last[some], start, STRETCH)
+            tokens: list = [None] * len(doc)
+            for j, i in enumerate(some.tolist()):
+                if not keep[j] or not linked[i]:
+                    keep[j] &= not inside[j]
+                    continue
+                name, of = int(p.digest[0][i]), int(ids[p.doc[i] + at])
+                if name not in sent:
+                    tokens[j] = p.sets([i])[0]
+                    sent[name] = of
+                elif sent[name] is not None and sent[name] != of:
+                    sent[name] = None  # a second document
+                else:
+                    keep[j] &= not inside[j]
+            if len(sent) > 200_000:
+                sent.clear()
+            kept = np.flatnonzero(keep)
+            whole = np.flatnonzero(np.diff(w.bounds) >= least)
+            doc, first, last = np.concatenate([doc[kept], whole]), np.concatenate([first[kept], w.bounds[whole]]), np.concatenate([last[kept], w.bounds[whole + 1]])
+            base = points[w.offset[:-1]][doc]
+            none = [None] * len(whole)
+            names = [*p.digest[0][some].tolist(), *hashes.tolist()], [*p.digest[1][some].tolist(), *[None] * len(start)]
+            d1, d2 = ([n[i] for i in kept.tolist()] for n in names)
+            rows = pa.array(doc + at)
+            numbers = (first - w.bounds[doc], last - first, points[w.start[first]] - base, points[w.end[last - 1]] - base)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(2).take(rows), b.column(3).take(rows), *(pa.array(x.astype(np.int64)) for x in numbers), pa.array([*d1, *none], pa.int64()), pa.array([*d2, *b.column(4).take(pa.array(whole + at)).to_pylist()], pa.int64()), pa.array([tokens[i] for i in kept.tolist()] + none, pa.list_(pa.int64()))],
+                ["doc_id", "row_hash", "word", "n_words", "place", "end", "d1", "d2", "tokens"],
+            )
+
+    return arrow(docs.select("key", "text", "doc_id", "row_hash", "text_hash", "doc"), run, "doc_id long, row_hash long, word long, n_words long, place long, end long, d1 long, d2 long, tokens array<long>")
+
+
+def _sides(docs: DataFrame, firsts: Broadcast, edges: DataFrame) -> DataFrame:
+    """What stands beside all occurrences of the stretches of edges (row_hash, word, d1, side: 0 before, 1 after): doc_id, row_hash, word, d1, side, words, places.
+
+    words are the hashes of up to STRETCH words, nearest first; places, the code points where these
+    start (before) or end (after), are there for the edges themselves.
+    """
+    sc = docs.sparkSession.sparkContext
+    held = [sc.broadcast(filter_of(edges.filter(F.col("side") == k).select("d1").distinct())) for k in (0, 1)]
+    spots = sc.broadcast(filter_of(edges.select(F.col("row_hash").bitwiseXOR(F.col("word") * 2 + F.col("side")).alias("spot"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, encoded in chunks(b.column(1).to_pylist()):
-                w, points = Words(encoded), None
-                start, hashes = stretches(w)
-                which = np.flatnonzero(passes(held.value, hashes))
-                if not len(which):
-                    continue
-                start, hashes = start[which], hashes[which]
-                points = code_points(w)
-                doc = np.searchsorted(w.bounds, start, "right") - 1
-                base = points[w.offset[:-1]]
-                short = (w.hash >> U(33)).astype(np.int64)
-                before, after = [], []
-                for s, d in zip(start.tolist(), doc.tolist(), strict=True):
-                    left, right = slice(max(s - STRETCH, w.bounds[d]), s), slice(s + STRETCH, min(s + 2 * STRETCH, w.bounds[d + 1]))
-                    before.append((short[left][::-1], points[w.start[left]][::-1] - base[d]))
-                    after.append((short[right], points[w.end[right]] - base[d]))
-                rows = pa.array(doc + at)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows), b.column(2).take(rows), pa.array(start - w.bounds[doc]), pa.array(hashes), *(lists_of([x[k] for x in side]).cast(pa.list_(pa.int32())) for side in (before, after) for k in (0, 1))],
-                    ["doc_id", "row_hash", "word", "d1", "before", "before_at", "after", "after_at"],
-                )
-
-    found = arrow(docs.select("doc_id", "text", "row_hash"), run, "doc_id long, row_hash long, word long, d1 long, before array<int>, before_at array<int>, after array<int>, after_at array<int>")
-    return found.join(ends.toDF("k"), F.col("d1") == F.col("k"), "left_semi").distinct()
+        for b, at, encoded in _first(batches, firsts.value):
+            w = Words(encoded)
+            every, hashes = stretches(w)
+            found = [np.flatnonzero(passes(held[k].value, hashes)) for k in (0, 1)]
+            if not sum(map(len, found)):
+                continue
+            points, short = code_points(w), (w.hash >> U(33)).astype(np.int32)
+            start, names = (np.concatenate([x[f] for f in found]) for x in (every, hashes))
+            side = np.repeat([0, 1], [len(f) for f in found])
+            doc = np.searchsorted(w.bounds, start, "right") - 1
+            word = start - w.bounds[doc]
+            own = passes(spots.value, b.column(3).to_numpy(zero_copy_only=False)[doc + at] ^ (word * 2 + side))
+            words, places = [], []
+            for s, d, k, mine in zip(start.tolist(), doc.tolist(), side.tolist(), own.tolist(), strict=True):
+                near = slice(s + STRETCH, min(s + 2 * STRETCH, w.bounds[d + 1])) if k else slice(max(s - STRETCH, w.bounds[d]), s)
+                turn = 1 if k else -1
+                words.append(short[near][::turn])
+                places.append((points[(w.end if k else w.start)[near]][::turn] - points[w.offset[d]]).astype(np.int32) if mine else None)
+            rows = pa.array(doc + at)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(2).take(rows), b.column(3).take(rows), pa.array(word), pa.array(names), pa.array(side), *(pa.array(x, pa.list_(pa.int32())) for x in (words, places))],
+                ["doc_id", "row_hash", "word", "d1", "side", "words", "places"],
+            )
+
+    found = arrow(docs.select("key", "text", "doc_id", "row_hash"), run, "doc_id long, row_hash long, word long, d1 long, side long, words array<int>, places array<int>")
+    wanted = edges.select("d1", "side").distinct()
+    return found.join(F.broadcast(wanted) if edges.count() <= FEW else wanted, ["d1", "side"], "left_semi")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -217,69 +290,99 @@ def _same(a: Column, b: Column) -> Column:
     return F.when(apart > 0, apart - 1).otherwise(n.cast("long"))
 
 
-def _shared_side(sides: DataFrame, side: str) -> DataFrame:
-    """d1, side and ``more``: how many words of what stands there another document has there too.
+def _shared_sides(sides: DataFrame) -> DataFrame:
+    """d1, side, words and ``more``: how many of these words another document has there too.
 
     What stands on a side is grouped first, so that a stretch of any number of documents has a row for
     each different side. In the order of sides the longest common part is a neighbour's; two to either
     direction are seen, so that a document's own other occurrences don't hide it.
     """
-    who = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"))
-    each = sides.filter(F.size(side) > 0).groupBy("d1", side).agg(F.min(who).alias("low"), F.max(who).alias("high"))
-    w = Window.partitionBy("d1", F.get(side, F.lit(0))).orderBy(side)
-    near = [tuple(f(c, k).over(w) for c in (side, "low", "high")) for f in (F.lag, F.lead) for k in (1, 2)]
-    other = [F.when((low != F.col("low")) | (high != F.col("low")), _same(F.col(side), words)).otherwise(0) for words, low, high in near]
-    more = F.when(F.col("low") != F.col("high"), F.size(side)).otherwise(F.greatest(F.lit(0), *other))
-    return each.select("d1", side, more.cast("int").alias("more"))
-
-
-def repeated_pieces(docs: DataFrame, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
-    """doc_id, row_hash, word (the first one's index), n_words, place and end (code points), component, keep and whole of every repeated paragraph and stretch.
-
-    A paragraph is repeated if more than one document has its cluster, a stretch if more than one has it.
-    keep is true for the cluster's first piece, by document, text and position; whole is false for words
-    next to a stretch that another document shares there, which have no cluster of their own. A null text
-    has no words; null doc_ids are one document that comes last; repeated rows are the same pieces.
+    doc = F.xxhash64(F.col("doc_id").isNull(), "doc_id")
+    each = sides.filter(F.size("words") > 0).groupBy("d1", "side", "words").agg(F.min(doc).alias("low"), F.max(doc).alias("high"))
+    w = Window.partitionBy("d1", "side", F.get("words", F.lit(0))).orderBy("words")
+    near = [tuple(f(c, k).over(w) for c in ("words", "low", "high")) for f in (F.lag, F.lead) for k in (1, 2)]
+    other = [F.when((low != F.col("low")) | (high != F.col("low")), _same(F.col("words"), words)).otherwise(0) for words, low, high in near]
+    more = F.when(F.col("low") != F.col("high"), F.size("words")).otherwise(F.greatest(F.lit(0), *other))
+    return each.select("d1", "side", "words", more.cast("int").alias("more")).filter("more > 0")
+
+
+def repeated_pieces(docs: DataFrame, least: int = MIN_WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Repeated pieces of texts, and the texts that several documents have.
+
+    Pieces: doc_id, row_hash, word (the first one's index), n_words, place and end (code points),
+    component, keep and whole of every repeated paragraph and stretch, in the first document of each text.
+    A paragraph is repeated if more than one document has its cluster, a stretch if more than one has it;
+    paragraphs within repeated stretches may be left out. keep is true for the cluster's first piece, by
+    document, text and position; whole is false for words next to a stretch that another document shares
+    there, which have no cluster of their own. Pieces that can't be in a passage of least words count
+    nowhere. Texts: doc_id, row_hash, place, end, n_words and first (in the first document) of each row,
+    from least words. A null text has no words; null doc_ids are one document that comes last; repeated
+    rows are the same pieces.
     """
     docs = _rows(docs)
-    shared = written(shared_keys(_postings(docs)))
+    ids = written(docs.select("doc_id", "row_hash", "text_hash"))
+    once = (lambda df: df) if ids.count() == ids.distinct().count() else (lambda df: df.distinct())  # rows may be alike
+    texts = ids.groupBy("row_hash", "text_hash").agg(F.min(_who()).alias("low"), F.max(_who()).alias("high"))
+    firsts = docs.sparkSession.sparkContext.broadcast(filter_of(texts.select(_row_key(F.col("low")).alias("key"))))  # others that pass are done again, for nothing
+    shared = written(shared_keys(_postings(docs, firsts)))
     pairs, repeated = shared.filter("node IS NOT NULL"), shared.filter("node IS NULL").select(F.col("hub").alias("key"))
-    hits = written(_hits(docs, pairs, repeated))
+    hits = written(_hits(docs, firsts, pairs, repeated, least))
+    many = hits.filter("d1 IS NULL").select("row_hash", F.col("d2").alias("text_hash"), "place", "end", "n_words").distinct().join(texts.filter("low <> high").select("row_hash", "text_hash", "low"), ["row_hash", "text_hash"])
+    many = once(ids).join(many, ["row_hash", "text_hash"]).select("doc_id", "row_hash", "place", "end", "n_words", (_who() == F.col("low")).alias("first"))
+    hits = hits.filter("d1 IS NOT NULL")
+    placed = once(hits.drop("tokens"))
     named = written(hits.filter("tokens IS NOT NULL").groupBy("d1", "d2").agg(F.first("tokens").alias("tokens")).withColumn("name", F.monotonically_increasing_id()))
     found = cluster(pairs, lambda nodes: named.select("name", F.col("d1").alias("node"), "tokens").join(nodes, "node", "left_semi"), num, den, block)
     top = named.select(F.col("name").alias("label"), F.col("d1").alias("c1"), F.col("d2").alias("c2"))
     cluster_of = found.join(named.select(F.col("name").alias("node"), "d1", "d2"), "node").join(top, "label").select("d1", "d2", "c1", "c2")
     own = ["doc_id", "row_hash", "word", "n_words", "place", "end"]
-    paragraphs = hits.filter("d2 IS NOT NULL").select(*own, "d1", "d2").join(cluster_of, ["d1", "d2"], "left").select(*own, F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
-    stretch = written(hits.filter("d2 IS NULL").select(*own, "d1").join(repeated.withColumnRenamed("key", "d1"), "d1", "left_semi").distinct())
-    pieces = paragraphs.distinct().union(stretch.select(*own, F.col("d1").alias("c1"), F.lit(0).cast("long").alias("c2")))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash", "word")
-    both = pieces.groupBy("c1", "c2").agg(F.min(order).alias("first"), F.max(order).alias("high")).filter("first.doc_id <> high.doc_id OR first.last <> high.last").select("c1", "c2", "first")
-    whole = pieces.join(both, ["c1", "c2"]).select(*own, F.col("c1").alias("component"), (order == F.col("first")).alias("keep"), F.lit(True).alias("whole"))
+    paragraphs = placed.filter("d2 IS NOT NULL").select(*own, "d1", "d2").join(cluster_of, ["d1", "d2"], "left").select(*own, F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
+    stretch = written(placed.filter("d2 IS NULL").select(*own, "d1").join(repeated.withColumnRenamed("key", "d1"), "d1", "left_semi"))
+    pieces = paragraphs.union(stretch.select(*own, F.col("d1").alias("c1"), F.lit(0).cast("long").alias("c2")))
+    # clusters of several documents by numbers alone; where in its first document a cluster begins, for these
+    none = F.col("doc_id").isNull()
+    both = pieces.groupBy("c1", "c2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bool_or(none).alias("none")).filter("low <> high OR none AND low IS NOT NULL").select("c1", "c2", "low")
+    again = written(pieces.join(both, ["c1", "c2"]))
+    place = F.struct("row_hash", "word")
+    first = again.filter(F.col("doc_id") == F.col("low")).groupBy("c1", "c2").agg(F.min(place).alias("first"))
+    keep = (F.col("doc_id") == F.col("low")) & (place == F.col("first"))
+    whole = again.join(first, ["c1", "c2"]).select(*own, F.col("c1").alias("component"), F.coalesce(keep, F.lit(False)).alias("keep"), F.lit(True).alias("whole"))
     # stretches that begin or end a row of them in some document grow there
     w = Window.partitionBy("doc_id", "row_hash").orderBy("word")
     reach = F.col("word") + F.col("n_words")
-    edge = F.coalesce(F.lag(reach).over(w) < F.col("word"), F.lit(True)) | F.coalesce(F.lead("word").over(w) > reach, F.lit(True))
-    sides = written(_sides(docs, stretch.withColumn("edge", edge).filter("edge").select("d1").distinct()))
-    grown = []
-    for side, at in (("before", "before_at"), ("after", "after_at")):
-        more = sides.join(_shared_side(sides, side).filter("more > 0"), ["d1", side]).join(stretch.select("doc_id", "row_hash", "word", F.col("place").alias("p"), F.col("end").alias("e")).withColumnRenamed("doc_id", "i"), ["row_hash", "word"]).filter(F.col("doc_id").eqNullSafe(F.col("i")))
-        outer = F.get(at, F.col("more") - 1).cast("long")
-        word, place, end = (F.col("word") - F.col("more"), outer, F.col("p")) if side == "before" else (F.col("word") + STRETCH, F.col("e"), outer)
-        grown.append(more.select("doc_id", "row_hash", word.alias("word"), F.col("more").cast("long").alias("n_words"), place.alias("place"), end.alias("end"), F.lit(None).cast("long").alias("component"), F.lit(None).cast("boolean").alias("keep"), F.lit(False).alias("whole")))
-    return whole.union(grown[0]).union(grown[1])
+    open_ends = F.array(F.when(F.coalesce(F.lag(reach).over(w) < F.col("word"), F.lit(True)), 0), F.when(F.coalesce(F.lead("word").over(w) > reach, F.lit(True)), 1)).cast("array<bigint>")
+    ended = stretch.select("doc_id", "row_hash", "word", "place", "end", "d1", open_ends.alias("ends"))
+    edges = written(ended.select("*", F.explode(F.array_compact("ends")).alias("side")).drop("ends"))
+    sides = written(_sides(docs, firsts, edges))
+    grown = sides.filter("places IS NOT NULL").join(_shared_sides(sides), ["d1", "side", "words"]).select("row_hash", "word", "d1", "side", "more", "places").distinct()
+    grown = edges.join(grown, ["row_hash", "word", "d1", "side"])
+    before, outer = F.col("side") == 0, F.get("places", F.col("more") - 1).cast("long")
+    grown = grown.select(
+        "doc_id",
+        "row_hash",
+        F.when(before, F.col("word") - F.col("more")).otherwise(F.col("word") + STRETCH).alias("word"),
+        F.col("more").cast("long").alias("n_words"),
+        F.when(before, outer).otherwise(F.col("end")).alias("place"),
+        F.when(before, F.col("place")).otherwise(outer).alias("end"),
+        F.lit(None).cast("long").alias("component"),
+        F.lit(None).cast("boolean").alias("keep"),
+        F.lit(False).alias("whole"),
+    )
+    return whole.union(grown), many
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
     """A row for each passage: doc_id, start and end (code points), n_words, n_pieces, n_removed (those that aren't the first of their cluster) and components (sorted, distinct).
 
-    A passage is a row of repeated pieces that touch or overlap, of min_words words at least from the first to the last.
+    A passage is a text that another document has too, or a row of repeated pieces that touch or overlap,
+    of min_words words at least from the first to the last. Rows that are alike have it once.
     """
-    p = repeated_pieces(docs, num, den, block)
-    before = Window.partitionBy("doc_id", "row_hash").orderBy("word", "end", "component").rowsBetween(Window.unboundedPreceding, -1)
+    p, many = repeated_pieces(docs, min_words, num, den, block)
+    many = written(many)
+    order = Window.partitionBy("doc_id", "row_hash").orderBy("word", "end", "component")
     reach = F.col("word") + F.col("n_words")
-    new = p.select("*", F.coalesce((F.col("word") > F.max(reach).over(before)).cast("int"), F.lit(1)).alias("new"))
-    runs = new.select("*", F.sum("new").over(Window.partitionBy("doc_id", "row_hash").orderBy("word", "end", "component").rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    new = p.select("*", F.coalesce((F.col("word") > F.max(reach).over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)).alias("new"))
+    runs = new.select("*", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     out = runs.groupBy("doc_id", "row_hash", "run").agg(
         F.min("place").alias("start"),
         F.max("end").alias("end"),
@@ -288,7 +391,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NU
         F.count_if(~F.col("keep")).alias("n_removed"),
         F.sort_array(F.collect_set("component")).alias("components"),
     )
-    return out.filter(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "n_pieces", "n_removed", "components")
+    out = out.filter(F.col("n_words") >= min_words).join(many.select("row_hash").distinct(), "row_hash", "left_anti").drop("row_hash", "run")
+    whole = many.select("doc_id", F.col("place").alias("start"), "end", "n_words", F.lit(1).cast("long").alias("n_pieces"), F.when(F.col("first"), 0).otherwise(1).cast("long").alias("n_removed"), F.array("row_hash").alias("components"))
+    return out.unionByName(whole)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
