@@ -23,7 +23,7 @@ from .textnum import U, Words, chunks, long_lists, mix, sequence_hash
 
 NGRAM, NUM, DEN = 3, 90, 100
 #: Buckets of the count sketch, those of one of its rows, and how many classes of frequency it gives.
-COUNTS, ROW, CLASSES = 1 << 22, 1 << 16, 64
+COUNTS, ROW, CLASSES = 1 << 24, 1 << 16, 64
 
 
 class Grams:
@@ -59,16 +59,18 @@ def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
         out = np.zeros(COUNTS, np.uint32)
         for b in batches:
             for _, encoded in chunks(b.column(0).to_pylist()):
-                out += np.bincount((Grams(encoded, n).hash & U(COUNTS - 1)).astype(np.int64), minlength=COUNTS).astype(np.uint32)
-        yield from rows({i: out[i * ROW : (i + 1) * ROW] for i in range(COUNTS // ROW)} if out.any() else {})
+                bucket, many = np.unique(Grams(encoded, n).hash & U(COUNTS - 1), return_counts=True)
+                out[bucket.astype(np.int64)] += many.astype(np.uint32)
+        yield from rows({i: x for i in range(COUNTS // ROW) if (x := out[i * ROW : (i + 1) * ROW]).any()})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(pa.decompress(data, 4 * ROW, "zstd"), np.uint32).astype(np.uint64)
-                held[i] = held[i] + part if i in held else part
-        yield from rows({i: np.minimum(x, 2**32 - 1).astype(np.uint32) for i, x in held.items()})
+                part = np.frombuffer(pa.decompress(data, 4 * ROW, "zstd"), np.uint32)
+                total = part + held.get(i, U(0).astype(np.uint32))
+                held[i] = np.where(total < part, np.uint32(2**32 - 1), total)  # no count goes beyond
+        yield from rows(held)
 
     def rows(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True) for x in parts.values()], pa.binary())], ["row", "counts"])
