@@ -159,7 +159,7 @@ def fallback_abstract(title: Column, text: Column) -> Column:
 
 def extract(title: Column, text: Column, sentences: int = 3) -> Column:
     """An overview without a model: the title, then each Markdown heading of the text with the first sentences below it; without headings the text's first sentences."""
-    first = lambda part: F.array_join(F.slice(F.regexp_extract_all(strip(part), F.lit(r"(?s)[^.!?]+(?:[.!?]+|$)"), F.lit(0)), 1, sentences), "")
+    first = lambda part: F.regexp_extract(strip(part), rf"(?s)(?:[^.!?]+(?:[.!?]+|$)){{1,{sentences}}}", 0)
     head = lambda part: strip(F.substring_index(part, "\n", 1))
     body = lambda part: F.substr(part, F.length(F.substring_index(part, "\n", 1)) + 2)
     parts = F.split(F.concat(F.lit("\n"), text), r"\n#{1,6} ", -1)

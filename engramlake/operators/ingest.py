@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..model import DOC_TYPES, DOCUMENT, L0_INPUT, L0_WORDS, L1_INPUT, L1_OUTPUT
+from ..session import few
 from . import disclosure
 from .memory import MemoryLog
 
@@ -77,6 +78,16 @@ def latest(rows: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFram
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def current(rows: DataFrame, key: str) -> DataFrame:
+    """The last row of each key by append and seq, with both as ``seq``: what was replaced is found by numbers, and no wide column is moved."""
+    place = F.struct("append", "seq")
+    again = rows.groupBy(key).agg(F.max(place).alias("_last"), F.count("*").alias("_n")).filter("_n > 1")
+    if not again.isEmpty():
+        old = rows.select(key, "append", "seq").join(again, key).filter(place < F.col("_last")).select("append", "seq")
+        rows = rows.join(few(old), ["append", "seq"], "left_anti")
+    return rows.withColumn("seq", place).drop("append")
+
+
 def stale(documents: DataFrame, contents: DataFrame) -> DataFrame:
     """Documents whose full text no longer has their checksum, with is_stale and stale_reason set."""
     now = contents.select("l2_file_path", F.sha2("content", 256).alias("_now"))
@@ -106,38 +117,36 @@ class DocumentStore:
     def _schema(self) -> str:
         return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in DOCUMENT)
 
+    def create(self) -> DocumentStore:
+        """Makes the tables that aren't there, without rows."""
+        for name, schema in (("documents", self._schema()), ("l2", self.L2), ("vectors", self.VECTORS), ("query_log", self.LOG)):
+            fs, path = self._log._files(name)
+            if not fs.exists(path):
+                self._log._put(self.spark.createDataFrame([], schema), name)
+        return self
+
+    L2 = "l2_file_path string, content string, seq long"
+    VECTORS = "doc_id string, embedding array<double>, norm double, seq long"
+    LOG = "query_id string, step int, query_text string, agent_id string, l0_results long, l1_expansions long, l2_loads long, total_tokens long"
+
     def documents(self) -> DataFrame:
-        return latest(self._log._read("documents", self._schema()))
+        return current(self._log._read("documents", self._schema()), "doc_id")
 
     def contents(self) -> DataFrame:
-        """l2_file_path and content of the last text of each path: the last is found by number, before any text is read."""
-        rows = self._log._read("l2", "l2_file_path string, content string, seq long")
-        last = rows.groupBy("l2_file_path").agg(F.max("seq").alias("_last"))
-        again = rows.groupBy("l2_file_path").agg(F.count("*").alias("n")).filter("n > 1")
-        if again.isEmpty():
-            return rows.drop("seq")
-        # only paths with several texts are looked up
-        old = rows.select("l2_file_path", "seq").join(again, "l2_file_path", "left_semi").join(last, "l2_file_path").filter("seq < _last").select("seq")
-        return rows.join(old, "seq", "left_anti").drop("seq")
+        """l2_file_path and content, the last of each path."""
+        return current(self._log._read("l2", self.L2), "l2_file_path").drop("seq")
 
     def vectors(self) -> DataFrame:
         """doc_id, embedding and norm of each document that was ingested with an embedding."""
-        return latest(self._log._read("vectors", "doc_id string, embedding array<double>, norm double, seq long")).drop("seq")
-
-    def _next(self, number: int | None = None) -> Column:
-        """Numbers for the rows of a write, larger than those of writes that began before."""
-        place, n = F.monotonically_increasing_id(), self._log._number() if number is None else number
-        return F.shiftleft(F.lit(n).cast("long"), 42) + F.shiftleft(F.shiftright(place, 33), 30) + place.bitwiseAND(F.lit((1 << 33) - 1))
+        return current(self._log._read("vectors", self.VECTORS), "doc_id").drop("seq")
 
     def _append(self, docs: DataFrame, rows: DataFrame) -> None:
-        n = self._log._number()
-        seq = self._next(n)
+        n, seq = self._log._number(), F.monotonically_increasing_id()
         self._log._put(rows.withColumn("seq", seq), "documents", number=n)
-        texts = docs.select(E.l2_path(F.col("hierarchy_path"), F.col("title")).alias("l2_file_path"), "content", seq.alias("seq"))
-        self._log._put(texts, "l2", number=n)
+        self._log._put(docs.select(E.l2_path(F.col("hierarchy_path"), F.col("title")).alias("l2_file_path"), "content", seq.alias("seq")), "l2", number=n)
         if "embedding" in docs.columns:
-            vectors = disclosure.with_norms(docs.select(_key(docs).alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"), seq.alias("seq")).filter("embedding IS NOT NULL"))
-            self._log._put(vectors, "vectors", number=n)
+            vectors = docs.select(_key(docs).alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"), seq.alias("seq")).filter("embedding IS NOT NULL")
+            self._log._put(disclosure.with_norms(vectors), "vectors", number=n)
 
     def ingest(self, docs: DataFrame, now: Column | None = None) -> DataFrame:
         """Adds documents, with their vectors if there is a column ``embedding``, and returns doc_id, token counts and the reduction in percent. Equal path and title share a full text."""
@@ -156,14 +165,14 @@ class DocumentStore:
         new = document_columns(old, self.summariser).drop("created_at", "updated_at", "seq").join(old.select("doc_id", "created_at", "updated_at", "seq"), "doc_id")
         rows = new.select(*[c.split()[0] for c in self._schema().split(", ")])
         n = rows.count()
-        self._log._put(rows.withColumn("seq", self._next()), "documents")
+        self._log._put(rows.withColumn("seq", F.monotonically_increasing_id()), "documents")
         return n
 
     def mark_stale(self) -> int:
         """Writes what ``stale`` finds; the number of documents."""
         rows = stale(self.documents(), self.contents()).select(*[c.split()[0] for c in self._schema().split(", ")])
         n = rows.count()
-        self._log._put(rows.withColumn("seq", self._next()), "documents")
+        self._log._put(rows.withColumn("seq", F.monotonically_increasing_id()), "documents")
         return n
 
     def _levels(self) -> DataFrame:
@@ -176,7 +185,8 @@ class DocumentStore:
             known = known.join(self.documents().select("doc_id", "hierarchy_path"), "doc_id")
         out = disclosure.smart_query(known, self._levels(), self.contents(), queries, **options)
         if {"query_text", "agent_id"} <= set(queries.columns):
-            self._log._put(disclosure.query_log(out, queries), "query_log")
+            log = disclosure.query_log(out, queries)
+            self._log._put(log.withColumn("query_id", F.col("query_id").cast("string")), "query_log")
         return out
 
     def document_tier(self, doc_id: str, tier: str) -> DataFrame:
@@ -189,4 +199,4 @@ class DocumentStore:
         return disclosure.list_documents(self.documents())
 
     def query_log(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/query_log").drop("append")
+        return self._log._read("query_log", self.LOG).drop("append")

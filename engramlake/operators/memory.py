@@ -42,13 +42,13 @@ def filtered(entries: DataFrame, tiers: list[str] | None = None, date_from: str
     return out
 
 
-def _order(tiers: list[str] | None = None) -> list[Column]:
-    """Among equal scores: tiers as asked for, files as listed, lines as written."""
+def _order(entries: DataFrame, tiers: list[str] | None = None) -> list[Column]:
+    """Among equal scores: tiers as asked for, files as listed, lines as written (by append, if entries are of several)."""
     chosen = check_tiers(tiers)
     rank = F.lit(len(chosen))
     for i, t in enumerate(chosen):
         rank = F.when(F.col("tier") == t, i).otherwise(rank)
-    return [F.desc("unrounded"), rank.asc(), E.file_order(F.col("file")).asc(), F.col("line_no").asc()]
+    return [F.desc("unrounded"), rank.asc(), E.file_order(F.col("file")).asc(), *(F.col(c).asc() for c in ("append", "line_no") if c in entries.columns)]
 
 
 def scored(entries: DataFrame, query: str, now: Column) -> DataFrame:
@@ -74,7 +74,7 @@ def search(entries: DataFrame, query: str, now: Column, tiers: list[str] | None
     """
     within("limit", limit, LIMIT)
     hits = scored(filtered(entries, tiers, date_from, date_to, min_weight), query, now)
-    return _shown(hits.orderBy(*_order(tiers)).limit(limit))
+    return _shown(hits.orderBy(*_order(entries, tiers)).limit(limit))
 
 
 def search_batch(entries: DataFrame, queries: DataFrame, now: Column, limit: int = LIMIT[2], tiers: list[str] | None = None) -> DataFrame:
@@ -91,7 +91,7 @@ def search_batch(entries: DataFrame, queries: DataFrame, now: Column, limit: int
         pairs = found.join(F.broadcast(block), F.exists("terms", lambda t: F.contains(F.col("raw_lc"), t)))
         part = pairs.withColumn("unrounded", E.hits_column(F.col("raw_lc"), F.col("terms")) / F.size("terms").cast("double") * F.col("weight") * E.recency(F.col("ts"), now))
         out = part if out is None else out.union(part)
-    w = Window.partitionBy("query_id").orderBy(*_order(tiers))
+    w = Window.partitionBy("query_id").orderBy(*_order(entries, tiers))
     ranked = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     return _shown(ranked, "query_id", "rank")
 
@@ -195,8 +195,6 @@ def new_entries(payloads: DataFrame, now: Column) -> DataFrame:
 
 #: Entries that a log's searches broadcast to take out those that events changed.
 CHANGED = 1_000_000
-#: A line number of a log: the append, the partition and the row in it.
-_PARTS, _ROWS = 12, 30
 
 
 class MemoryLog:
@@ -228,9 +226,8 @@ class MemoryLog:
     def _read(self, name: str, schema: str) -> DataFrame:
         # an empty frame stands for a table that isn't written yet
         fs, path = self._files(name)
-        if not fs.exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(f"{schema}, append int").parquet(f"{self.root}/{name}").drop("append")
+        full = f"{schema}, append int"
+        return self.spark.read.schema(full).parquet(f"{self.root}/{name}") if fs.exists(path) else self.spark.createDataFrame([], full)
 
     def _put(self, rows: DataFrame, name: str, *by: str, number: int | None = None) -> None:
         """Adds rows to a table in a folder of their own, so that writers at once don't meet."""
@@ -245,12 +242,13 @@ class MemoryLog:
         return self.write(new_entries(payloads, now))
 
     def write(self, entries: DataFrame) -> DataFrame:
-        """Appends entries, numbered after those of appends that began before, by any number of writers at once; nothing that is there is read."""
+        """Appends entries, in order after those of appends that began before, by any number of writers at once; nothing that is there is read.
+
+        A line is told apart by its append and its line_no in it.
+        """
         n = self._number()
         rows = entries if "hidden" in entries.columns else entries.withColumn("hidden", F.lit(False))
-        place = F.monotonically_increasing_id()
-        line = F.shiftleft(F.lit(n).cast("long"), _PARTS + _ROWS) + F.shiftleft(F.shiftright(place, 33), _ROWS) + place.bitwiseAND(F.lit((1 << 33) - 1))
-        rows = rows.coalesce(1 << _PARTS).withColumn("line_no", line)
+        rows = rows.withColumn("line_no", F.monotonically_increasing_id())
         self._put(rows.select(*[c.split()[0] for c in self.ENTRIES.split(", ")]), "entries", "tier", "file", number=n)
         return self.spark.read.schema(self.ENTRIES).parquet(f"{self.root}/entries/append={n}").select("id", "tier", "file")
 
@@ -270,9 +268,9 @@ class MemoryLog:
             return rows
         ship(self.spark)
         changed = written(changes(rows, events, exact).withColumn("raw", reweighted("raw", "weight", "_at")).withColumn("raw_lc", F.lower("raw")).drop("_at"))
-        keys = changed.select("tier", "file", "line_no")
+        keys = changed.select("append", "line_no")
         keys = F.broadcast(keys) if changed.count() <= CHANGED else keys
-        return rows.join(keys, ["tier", "file", "line_no"], "left_anti").unionByName(changed)
+        return rows.join(keys, ["append", "line_no"], "left_anti").unionByName(changed)
 
     def search(self, query: str, now: Column, **options: object) -> DataFrame:
         return search(self.entries(), query, now, **options)
@@ -300,7 +298,8 @@ class MemoryLog:
         """A new log elsewhere with the events folded into the weights."""
         done = MemoryLog(self.spark, to)
         n = self._number()
-        done._put(self.entries(), "entries", "tier", "file", number=n)
+        rows = self.entries().orderBy("append", "line_no").withColumn("line_no", F.monotonically_increasing_id()).drop("append")
+        done._put(rows, "entries", "tier", "file", number=n)
         fs, folder = done._files("appends")  # numbers go on after those of the entries that were kept
         fs.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(folder, str(n)))
         return done

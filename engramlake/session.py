@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPING = threading.Lock()
 
@@ -50,6 +51,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """df, written, and to be broadcast if it has at most so many rows (of a few numbers)."""
+    out = written(df)
+    return F.broadcast(out) if out.count() <= bound else out
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python, once in a session, so that functions defined in it can run there."""
     sc = spark.sparkContext

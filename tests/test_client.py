@@ -30,7 +30,7 @@ def test_appends_at_once_have_their_own_line_numbers(spark, tmp_path):
         got = list(pool.map(write, range(6)))
     assert got == [{f"c{k}-{i}" for i in range(8)} for k in range(6)]
     e = log.entries()
-    assert e.count() == 48 == e.select("line_no").distinct().count() and log.total() == 48
+    assert e.count() == 48 == e.select("append", "line_no").distinct().count() and log.total() == 48
 
 
 def test_an_outcome_is_seen_in_the_entry_and_moves_no_texts(spark, tmp_path):
@@ -50,7 +50,7 @@ def test_an_outcome_is_seen_in_the_entry_and_moves_no_texts(spark, tmp_path):
     done = log.compact(f"file://{tmp_path}/again")
     assert done.entries().filter("weight = 1.1").count() == 1 and done.total() == 30
     done.append(spark.createDataFrame(rows[:2], "tier string, type string, payload string, tags array<string>, weight double"), F.current_timestamp())
-    assert done.entries().select("line_no").distinct().count() == 32
+    assert done.entries().select("append", "line_no").distinct().count() == 32
 
 
 def test_lines_are_numbered_across_splits(spark, tmp_path):

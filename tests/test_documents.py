@@ -123,11 +123,23 @@ def test_store(spark, tmp_path):
     q = spark.createDataFrame([(1, [1.0, 0.0], 4000, "q", "me"), (2, [1.0, 1.0], 100, "r", "me")], "query_id int, embedding array<float>, token_budget int, query_text string, agent_id string")
     out = store.smart_query(vectors, q)
     assert out.filter("query_id = 1 AND rank = 1").first().doc_id == "a"
-    assert sorted((r.query_id, r.step, r.agent_id) for r in store.query_log().collect()) == [(1, 1, None), (1, 2, "me"), (2, 1, None), (2, 2, "me")]
+    assert sorted((int(r.query_id), r.step, r.agent_id) for r in store.query_log().collect()) == [(1, 1, None), (1, 2, "me"), (2, 1, None), (2, 2, "me")]
     with pytest.raises(Exception, match="unknown doc_type"):
         store.ingest(docs.withColumn("doc_type", F.lit("odd")))
 
 
+def test_tables_are_made_once(spark, tmp_path):
+    store = DocumentStore(spark, f"file://{tmp_path}").create().create()
+    assert store.documents().count() == store.contents().count() == store.vectors().count() == store.query_log().count() == 0
+    assert len(list((tmp_path / "documents").glob("append=*"))) == 1 and [f.name for f in store.query_log().schema][:2] == ["query_id", "step"]
+
+
+def test_overviews(spark):
+    one = lambda t: spark.createDataFrame([(t,)], "t string").select(E.extract(F.lit("T"), F.col("t"))).first()[0]
+    assert one("") == "# T" and one("One. Two! Three? Four.") == "# T\n\nOne. Two! Three?"
+    assert one("Intro.\n# A\nx. y. z. w.\n\n## B\n## C\ntext") == "# T\n\nIntro.\n\n## A\nx. y. z.\n\n## B\n\n## C\ntext"
+
+
 def test_text_rules(spark):
     one = lambda c, text: spark.createDataFrame([(text,)], "t string").select(c(F.col("t"))).first()[0]
     assert one(E.title_case, "a_b c-d") == "A B C D"
