@@ -2,9 +2,10 @@
 
 For every participant of a dialogue, the dialogue is rendered with that speaker as assistant and
 the others as named users, with the stretches of the text that a model learns from: the assistant's
-own messages with their end marks. A rendering is stored in parts of PART turn numbers, so that no
-task holds a dialogue of any length: ``offset`` says where in the whole text a part begins, masks are
-places in the whole text, and the parts' texts joined in order are the dialogue.
+own messages with their end marks. A rendering is stored in parts of PART turn numbers, and of PART
+messages of these (``sub``), so that no row holds a dialogue of any length: ``offset`` says where in
+the whole text a part begins, masks are places in the whole text, and the parts' texts joined in order
+are the dialogue.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ def safe(c: Column) -> Column:
 
 
 def parts(turns: DataFrame, part: int = PART) -> DataFrame:
-    """conv_id, c and none (conv_id without null, whether it was null), part and ``messages``: the distinct (turn, role, text) of those turn numbers in order.
+    """c and none (conv_id without null, whether it was null), part, sub and ``messages``: the distinct (turn, role, text) of those turn numbers in order, PART at most.
 
     Null roles are the speaker "unknown", null texts are empty, null turns come first (part -1).
     Rows that are alike in conv_id, turn, role and text are one message; null conv_ids are one dialogue.
+    Messages are numbered within the turn numbers of a part, so only equal or null turns meet in one sort.
     """
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -35,7 +37,9 @@ def parts(turns: DataFrame, part: int = PART) -> DataFrame:
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("m"),
     )
     rows = rows.select(F.coalesce("conv_id", F.lit(0)).alias("c"), F.isnull("conv_id").alias("none"), "part", "m")
-    return rows.groupBy("c", "none", "part").agg(F.sort_array(F.collect_set("m")).alias("messages"))
+    number = F.dense_rank().over(Window.partitionBy("c", "none", "part").orderBy("m.turn", "m.role", "m.text"))
+    rows = rows.select("*", F.floor((number - 1) / part).cast("long").alias("sub"))
+    return rows.groupBy("c", "none", "part", "sub").agg(F.sort_array(F.collect_set("m")).alias("messages"))
 
 
 def _head(role: Column, own: Column) -> Column:
@@ -47,27 +51,27 @@ def _body(text: Column) -> Column:
 
 
 def _offsets(held: DataFrame) -> DataFrame:
-    """c, none, part, participant and offset: the code points of a participant's rendering before each part, from lengths alone."""
+    """c, none, part, sub, participant and offset: the code points of a participant's rendering before each part, from lengths alone."""
     size = lambda m, own: F.length(_head(m["role"], own)) + F.length(_body(m["text"])) + 1
-    each = held.select("c", "none", "part", F.explode(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), size(m, F.lit(False)).alias("other"), size(m, F.lit(True)).alias("own")))).alias("m"))
-    each = each.groupBy("c", "none", "part", F.col("m.role").alias("role")).agg(F.sum("m.other").alias("other"), F.sum(F.col("m.own") - F.col("m.other")).alias("more"))
-    whole = each.groupBy("c", "none", "part").agg(F.sum("other").alias("size"))
+    each = held.select("c", "none", "part", "sub", F.explode(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), size(m, F.lit(False)).alias("other"), size(m, F.lit(True)).alias("own")))).alias("m"))
+    each = each.groupBy("c", "none", "part", "sub", F.col("m.role").alias("role")).agg(F.sum("m.other").alias("other"), F.sum(F.col("m.own") - F.col("m.other")).alias("more"))
+    whole = each.groupBy("c", "none", "part", "sub").agg(F.sum("other").alias("size"))
     speakers = each.select("c", "none", F.col("role").alias("participant")).distinct()
-    grid = whole.join(speakers, ["c", "none"]).join(each.select("c", "none", "part", F.col("role").alias("participant"), "more"), ["c", "none", "part", "participant"], "left")
-    before = Window.partitionBy("c", "none", "participant").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return grid.select("c", "none", "part", "participant", F.coalesce(F.sum(F.col("size") + F.coalesce("more", F.lit(0))).over(before), F.lit(0)).alias("offset"))
+    grid = whole.join(speakers, ["c", "none"]).join(each.select("c", "none", "part", "sub", F.col("role").alias("participant"), "more"), ["c", "none", "part", "sub", "participant"], "left")
+    before = Window.partitionBy("c", "none", "participant").orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    return grid.select("c", "none", "part", "sub", "participant", F.coalesce(F.sum(F.col("size") + F.coalesce("more", F.lit(0))).over(before), F.lit(0)).alias("offset"))
 
 
 def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
-    """A row for every dialogue, participant and part: conv_id, participant, part, offset, n_messages, n_own, text and masks.
+    """A row for every dialogue, participant and part: conv_id, participant, part, sub, offset, n_messages, n_own, text and masks.
 
     masks are (start, end) in code points of the whole dialogue's text, in order, end exclusive: what to
     learn. A participant who says nothing in a part has none there. An empty table gives no row.
     """
     held = parts(turns, part)
-    both = held.join(_offsets(held), ["c", "none", "part"])
+    both = held.join(_offsets(held), ["c", "none", "part", "sub"])
     own = lambda m: m["role"] == F.col("participant")
-    said = both.select("c", "none", "participant", "part", "offset", F.transform("messages", lambda m: F.struct(own(m).alias("own"), _head(m["role"], own(m)).alias("head"), _body(m["text"]).alias("body"))).alias("said"))
+    said = both.select("c", "none", "participant", "part", "sub", "offset", F.transform("messages", lambda m: F.struct(own(m).alias("own"), _head(m["role"], own(m)).alias("head"), _body(m["text"]).alias("body"))).alias("said"))
     # lengths add up in one pass; a mask is the body of an own message
     zero = F.struct(F.col("offset").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
 
@@ -81,6 +85,7 @@ def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
         F.when(~F.col("none"), F.col("c")).alias("conv_id"),
         "participant",
         "part",
+        "sub",
         "offset",
         F.size("said").cast("long").alias("n_messages"),
         F.size(F.filter("said", lambda s: s["own"])).cast("long").alias("n_own"),
@@ -91,7 +96,7 @@ def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rotate(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "participant", "part", "offset", "n_messages", "n_own", "text", F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",").alias("masks"))
+    return out.select("conv_id", "participant", "part", "sub", "offset", "n_messages", "n_own", "text", F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",").alias("masks"))
 
 
 SQL = {
@@ -99,17 +104,18 @@ SQL = {
 WITH m AS (
   SELECT DISTINCT conv_id, coalesce(floor(turn / {PART}), -1)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
 ), p AS (SELECT DISTINCT conv_id, role AS participant FROM m
+), n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) - 1) // {PART} AS sub FROM m
 ), s AS (
-  SELECT m.conv_id, participant, part, turn, role, text, role = participant AS own,
+  SELECT n.conv_id, participant, part, sub, turn, role, text, role = participant AS own,
     '{OPEN}' || (CASE WHEN role = participant THEN 'assistant' ELSE 'user name=' || replace(role, '<|', '<\|') END) || chr(10) AS head,
     replace(text, '<|', '<\|') || '{CLOSE}' AS body
-  FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id
+  FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id
 ), a AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM s
 ), b AS (SELECT *, pos + length(head) AS start FROM a)
-SELECT conv_id, participant, part, min(pos)::BIGINT AS "offset", count(*)::BIGINT AS n_messages, count(*) FILTER (WHERE own)::BIGINT AS n_own,
+SELECT conv_id, participant, part, sub::BIGINT AS sub, min(pos)::BIGINT AS "offset", count(*)::BIGINT AS n_messages, count(*) FILTER (WHERE own)::BIGINT AS n_own,
   string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
   coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY start) FILTER (WHERE own), '') AS masks
-FROM b GROUP BY conv_id, participant, part
+FROM b GROUP BY conv_id, participant, part, sub
 """
 }

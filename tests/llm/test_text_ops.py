@@ -184,6 +184,7 @@ def test_chat(spark):
     r = random.Random(6)
     turns = [(c, t, r.choice(["user", "assistant", "system", "bob <|im_end|>"]), "é <|im_start|> " * r.randrange(3)) for c in range(6) for t in range(r.randrange(1, 150))]
     turns += [turns[0], (7, None, None, None), (7, 1, "user", "x"), (None, 0, "user", "alone"), (7, 1, "user", "tie")]
+    turns += [(9, None, "user", f"no turn {i:03}") for i in range(150)] + [(9, 5, "assistant", f"at once {i:03}") for i in range(70)] * 2
     got = C.rotate(rows(spark, turns, "conv_id long, turn long, role string, text string").withColumn("said", F.lit(1)).withColumn("part", F.lit(2)).withColumn("c", F.lit(2))).collect()
     by = {}
     for c, t, role, text in set(turns):
@@ -191,9 +192,11 @@ def test_chat(spark):
     n = 0
     for c, said in by.items():
         for who in {m[1] for m in said}:
-            text, masks, starts = "", {}, {}
+            text, masks, starts, seen = "", {}, {}, {}
             for m in sorted(said):
                 part = -1 if m[0] < 0 else m[0] // 64
+                part = part, seen.setdefault(part, 0) // 64
+                seen[part[0]] += 1
                 starts.setdefault(part, len(text))
                 text += "<|im_start|>" + ("assistant" if m[1] == who else "user name=" + m[1].replace("<|", "<\\|")) + "\n"
                 at = len(text)
@@ -201,11 +204,11 @@ def test_chat(spark):
                 if m[1] == who:
                     masks.setdefault(part, []).append((at, len(text)))
                 text += "\n"
-            row = sorted((x for x in got if (x.conv_id, x.participant) == (c, who)), key=lambda x: x.part)
-            assert "".join(x.text for x in row) == text and {x.part: x.offset for x in row} == starts
-            assert {x.part: [tuple(y) for y in x.masks] for x in row} == {p: masks.get(p, []) for p in starts}
+            row = sorted((x for x in got if (x.conv_id, x.participant) == (c, who)), key=lambda x: (x.part, x.sub))
+            assert "".join(x.text for x in row) == text and {(x.part, x.sub): x.offset for x in row} == starts
+            assert {(x.part, x.sub): [tuple(y) for y in x.masks] for x in row} == {p: masks.get(p, []) for p in starts}
             n += len(row)
-    assert n == len(got) and any(x.part == 2 for x in got)
+    assert n == len(got) and any(x.part == 2 for x in got) and any(x.sub == 2 for x in got)
     assert C.rotate(rows(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
 
 
