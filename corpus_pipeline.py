@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import table, written
+from engramlake.llm.common import few, table, written
 from engramlake.llm.op3_toxicity import PREDICT, score_toxicity
 from engramlake.llm.op7_ngrams import near_duplicates
 from engramlake.llm.op8_lines import drop_lines
@@ -23,8 +23,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), i.alias("doc_id"), F.xxhash64(i.isNull(), i, F.col("text").isNull(), "text").alias("key"))
 
 
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key isn't among keys: few keys go to the rows, so that texts stay where they are."""
+    return rows.join(few(keys), "key", "left_anti")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below PREDICT."""
+    """Documents whose score is below PREDICT; null and empty texts have one too, and repeated rows the same."""
     return _rows(score_toxicity(docs, table(spark, sf_dir, "labels")).filter(F.col("score") < PREDICT), docs)
 
 
@@ -50,19 +55,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = near.groupBy("component").agg(F.min(order).alias("first")).select("first.key")
     repeated = near.filter("n > 1").join(first, "key", "left_semi").select("key")
     gone = near.join(first, "key", "left_anti").select("key").union(repeated)
-    once = rows.join(repeated, "key", "left_semi").dropDuplicates(["key"])
-    return _rows(rows.join(gone, "key", "left_anti").select("row").union(once.select("row")), docs)
+    kept = _without(rows, gone).select("row")
+    if repeated.isEmpty():
+        return _rows(kept, docs)
+    return _rows(kept.union(rows.join(repeated, "key", "left_semi").dropDuplicates(["key"]).select("row")), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, by row: a doc_id may be null or have other texts."""
     rows = _keyed(docs)
     hits = contaminated(rows.select(F.col("key").alias("doc_id"), "row.text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
-    return _rows(rows.join(hits, "key", "left_anti"), docs)
+    return _rows(_without(rows, hits), docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the piece ids of each document."""
+    """doc_id and the piece ids of each document; a null or empty text has none, and repeated rows repeat."""
     return encode_texts(docs)
 
 
