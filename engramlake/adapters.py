@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,12 +107,21 @@ def memory_files(spark: SparkSession, sf_dir: str, root: str) -> None:
     e = event_entries(spark, sf_dir)
     head = e.select("tier", "file").distinct().select("tier", "file", F.lit(-1).cast("long").alias("line_no"), F.lit('{"schema": "header"}').alias("value"))
     rows = e.select("tier", "file", "line_no", F.col("raw").alias("value")).union(head)
-    rows.repartition("tier", "file").sortWithinPartitions("tier", "file", "line_no").select("tier", "file", "value").write.partitionBy("tier", "file").text(f"{root}/parts")
+    named = rows.select(F.concat_ws(".", "tier", "file").alias("name"), "line_no", "value").repartition("name").sortWithinPartitions("name", "line_no")
+    _named(spark, named.select("name", "value"), root, lambda name: name.replace(".", "/") + ".jsonl")
+
+
+def text_files(spark: SparkSession, rows: DataFrame, root: str, ending: str) -> None:
+    """A file for each row (name, value) of a small table: below ``root/files``."""
+    _named(spark, rows.select("name", "value").repartition("name"), root, lambda name: name + ending)
+
+
+def _named(spark: SparkSession, rows: DataFrame, root: str, path_of: Callable[[str], str]) -> None:
+    """Writes the lines (value) of each name, which lie in one partition, to a file of that name; there are few names."""
+    rows.write.partitionBy("name").text(f"{root}/parts")
     hadoop = spark._jvm.org.apache.hadoop.fs
-    base = hadoop.Path(root)
-    fs = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for part in fs.globStatus(hadoop.Path(f"{root}/parts/tier=*/file=*/part-*")):  # a file of each tier and type
-        of = part.getPath().getParent()
-        folder = hadoop.Path(base, "files/" + of.getParent().getName().removeprefix("tier="))
-        fs.mkdirs(folder)
-        fs.rename(part.getPath(), hadoop.Path(folder, of.getName().removeprefix("file=") + ".jsonl"))
+    fs = hadoop.Path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for part in fs.globStatus(hadoop.Path(f"{root}/parts/name=*/part-*")):
+        to = hadoop.Path(f"{root}/files/{path_of(part.getPath().getParent().getName().removeprefix('name='))}")
+        fs.mkdirs(to.getParent())
+        fs.rename(part.getPath(), to)

@@ -463,6 +463,33 @@ def k3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "g.type", "g.title", "g.outcome", "g.tags", "g.duration_ms", F.col("y.tags").alias("cycle_tags"), "y.model", "label", "decoded")
 
 
+@query("SELECT 'Nation ' || n_nationkey AS title, '# ' || n_name || chr(10) || 'Region ' || n_regionkey || chr(10) AS content, '/research/nation-' || n_nationkey AS hierarchy_path FROM nation")
+def k3_markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of Markdown files, one for each nation, as documents."""
+    root, n = scratch(spark), A.table(spark, sf_dir, "nation")
+    s = lambda c: F.col(c).cast("string")
+    A.text_files(spark, n.select(F.concat(F.lit("nation-"), s("n_nationkey")).alias("name"), F.concat(F.lit("# "), "n_name", F.lit("\nRegion "), s("n_regionkey")).alias("value")), root, ".md")
+    return etl.research_documents(corpus.markdown(spark, f"{root}/files")).select("title", "content", "hierarchy_path")
+
+
+@query("SELECT '2026-02-0' || (r_regionkey + 1) || 'T12:00:00Z' AS ts, 'observation' AS type, r_name AS title, 'Region ' || r_regionkey AS outcome, ['synced', '2026-02-0' || (r_regionkey + 1)] AS tags FROM region")
+def k3_dated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily logs from files named by a date, as a live sync takes them."""
+    root, r = scratch(spark), A.table(spark, sf_dir, "region")
+    s = lambda c: c.cast("string")
+    A.text_files(spark, r.select(F.concat(F.lit("2026-02-0"), s(F.col("r_regionkey") + 1)).alias("name"), F.concat(F.lit("# Day\n\n## "), "r_name", F.lit("\nRegion "), s(F.col("r_regionkey"))).alias("value")), root, ".md")
+    return etl.log_experiences(corpus.dated_logs(spark, f"{root}/files"), "synced").drop("n")
+
+
+@query("SELECT 'n-' || n_nationkey AS daemon_id, n_name AS skill_name, CASE WHEN n_nationkey % 2 = 0 THEN 'region ' || n_regionkey ELSE '' END AS when_to_use FROM nation")
+def k3_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills from one file with a JSON array; odd ones have no trigger."""
+    root, n = scratch(spark), A.table(spark, sf_dir, "nation")
+    row = F.struct(F.concat(F.lit("n-"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("region "), F.col("n_regionkey").cast("string"))).alias("trigger"))
+    A.text_files(spark, n.agg(F.to_json(F.collect_list(row)).alias("value")).withColumn("name", F.lit("skills")), root, ".json")
+    return etl.skill_payloads(corpus.json_export(spark, f"{root}/files/skills.json")).select("daemon_id", "skill_name", "when_to_use")
+
+
 # --- extensions, which the reference describes but does not have
 
 
