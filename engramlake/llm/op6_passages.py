@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bits import filter_of, passes
-from .common import arrow, table, written
+from .common import arrow, few, table, written
 from .simjoin import BLOCK, PACKED, bucket_bits, cluster, pack, shared_keys
 from .textnum import U, Words, chunks, lists_of, mix, running
 
@@ -33,8 +33,8 @@ SHINGLE, NUM, DEN = 5, 80, 100
 BANDS, ROWS = 8, 3
 #: Neighbours under SHORT words are joined; paragraphs are cut at words of a certain hash from LONG words on.
 SHORT, LONG, CUT = 8, 64, 16
-#: Bytes of text that are worked on at a time, and rows (of two numbers) that are broadcast.
-HELD, FEW = 2_000_000, 2_000_000
+#: Bytes of text that are worked on at a time.
+HELD = 1_000_000
 #: Words of a stretch and of a reported passage: a few under 51, so that one counts whose first or last words were changed.
 STRETCH, MIN_WORDS = 26, 48
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U))
@@ -279,8 +279,7 @@ def _sides(docs: DataFrame, firsts: Broadcast, edges: DataFrame) -> DataFrame:
             )
 
     found = arrow(docs.select("key", "text", "doc_id", "row_hash"), run, "doc_id long, row_hash long, word long, d1 long, side long, words array<int>, places array<int>")
-    wanted = edges.select("d1", "side").distinct()
-    return found.join(F.broadcast(wanted) if edges.count() <= FEW else wanted, ["d1", "side"], "left_semi")
+    return found.join(few(edges.select("d1", "side").distinct()), ["d1", "side"], "left_semi")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -334,24 +333,23 @@ def repeated_pieces(docs: DataFrame, least: int = MIN_WORDS, num: int = NUM, den
     named = written(hits.filter("tokens IS NOT NULL").groupBy("d1", "d2").agg(F.first("tokens").alias("tokens")).withColumn("name", F.monotonically_increasing_id()))
     found = cluster(pairs, lambda nodes: named.select("name", F.col("d1").alias("node"), "tokens").join(nodes, "node", "left_semi"), num, den, block)
     top = named.select(F.col("name").alias("label"), F.col("d1").alias("c1"), F.col("d2").alias("c2"))
-    cluster_of = found.join(named.select(F.col("name").alias("node"), "d1", "d2"), "node").join(top, "label").select("d1", "d2", "c1", "c2")
+    cluster_of = few(found.join(named.select(F.col("name").alias("node"), "d1", "d2"), "node").join(top, "label").select("d1", "d2", "c1", "c2"))
     own = ["doc_id", "row_hash", "word", "n_words", "place", "end"]
-    paragraphs = placed.filter("d2 IS NOT NULL").select(*own, "d1", "d2").join(cluster_of, ["d1", "d2"], "left").select(*own, F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
-    stretch = written(placed.filter("d2 IS NULL").select(*own, "d1").join(repeated.withColumnRenamed("key", "d1"), "d1", "left_semi"))
-    pieces = paragraphs.union(stretch.select(*own, F.col("d1").alias("c1"), F.lit(0).cast("long").alias("c2")))
+    paragraphs = placed.filter("d2 IS NOT NULL").select(*own, "d1", "d2").join(cluster_of, ["d1", "d2"], "left").select(*own, F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"), F.lit(False).alias("stretch"))
+    pieces = paragraphs.union(placed.filter("d2 IS NULL").select(*own, F.col("d1").alias("c1"), F.lit(0).cast("long").alias("c2"), F.lit(True).alias("stretch")))
     # clusters of several documents by numbers alone; where in its first document a cluster begins, for these
-    none = F.col("doc_id").isNull()
-    both = pieces.groupBy("c1", "c2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bool_or(none).alias("none")).filter("low <> high OR none AND low IS NOT NULL").select("c1", "c2", "low")
-    again = written(pieces.join(both, ["c1", "c2"]))
+    none, key = F.col("doc_id").isNull(), ["c1", "c2", "stretch"]
+    both = few(pieces.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bool_or(none).alias("none")).filter("low <> high OR none AND low IS NOT NULL").select(*key, "low"))
+    again = written(pieces.join(both, key))
     place = F.struct("row_hash", "word")
-    first = again.filter(F.col("doc_id") == F.col("low")).groupBy("c1", "c2").agg(F.min(place).alias("first"))
+    first = few(again.filter(F.col("doc_id") == F.col("low")).groupBy(*key).agg(F.min(place).alias("first")))
     keep = (F.col("doc_id") == F.col("low")) & (place == F.col("first"))
-    whole = again.join(first, ["c1", "c2"]).select(*own, F.col("c1").alias("component"), F.coalesce(keep, F.lit(False)).alias("keep"), F.lit(True).alias("whole"))
+    whole = again.join(first, key).select(*own, F.col("c1").alias("component"), F.coalesce(keep, F.lit(False)).alias("keep"), F.lit(True).alias("whole"))
     # stretches that begin or end a row of them in some document grow there
     w = Window.partitionBy("doc_id", "row_hash").orderBy("word")
     reach = F.col("word") + F.col("n_words")
     open_ends = F.array(F.when(F.coalesce(F.lag(reach).over(w) < F.col("word"), F.lit(True)), 0), F.when(F.coalesce(F.lead("word").over(w) > reach, F.lit(True)), 1)).cast("array<bigint>")
-    ended = stretch.select("doc_id", "row_hash", "word", "place", "end", "d1", open_ends.alias("ends"))
+    ended = again.filter("stretch").select("doc_id", "row_hash", "word", "place", "end", F.col("c1").alias("d1"), open_ends.alias("ends"))
     edges = written(ended.select("*", F.explode(F.array_compact("ends")).alias("side")).drop("ends"))
     sides = written(_sides(docs, firsts, edges))
     grown = sides.filter("places IS NOT NULL").join(_shared_sides(sides), ["d1", "side", "words"]).select("row_hash", "word", "d1", "side", "more", "places").distinct()
