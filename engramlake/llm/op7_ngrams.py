@@ -82,7 +82,9 @@ def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
     # half of the classes share the buckets evenly, the others the upper tail, each half of what is left
     half = CLASSES // 2
     at = np.concatenate([np.arange(1, half) / half, 1 - 0.5 ** np.arange(1, half) / half])
-    return np.searchsorted(np.unique(np.quantile(counts, at, method="higher")), counts, "right").astype(np.uint8)
+    at = np.unique(np.ceil(at * (COUNTS - 1)).astype(np.int64))
+    bounds = np.unique(np.partition(counts, at)[at])
+    return np.concatenate([np.searchsorted(bounds, counts[i : i + ROW], "right").astype(np.uint8) for i in range(0, COUNTS, ROW)])
 
 
 def prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:

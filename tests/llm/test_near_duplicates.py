@@ -14,7 +14,7 @@ from engramlake.llm import op6_passages as S
 from engramlake.llm import op7_ngrams as N
 from engramlake.llm import op10_tiling as T
 from engramlake.llm import simjoin as J
-from engramlake.llm.bits import filter_of, passes
+from engramlake.llm.bits import filter_of, filters, passes
 from engramlake.llm.common import connected_components
 from engramlake.llm.simjoin import PrefixTree
 from engramlake.llm.textnum import ALNUM, Words
@@ -52,6 +52,15 @@ def test_bit_filter(spark):
     assert passes(bits, ids[:1000]).all() and passes(bits, ids[1000:]).mean() < 0.01
 
 
+def test_bit_filters_in_parts(spark):
+    rows = spark.range(200).select((F.col("id") * 7919).alias("key"))
+    parts = filters(rows, rows.filter("key % 3 = 0"), "key", most=10)
+    assert len(parts) == 7
+    got = [(r.key, bool(passes(held.value, np.array([r.key], np.int64))[0])) for part, held in parts for r in part.collect()]
+    assert len(got) == 200 and all(ok for k, ok in got if k % 3 == 0) and sum(ok for _, ok in got) < 75
+    assert len(filters(rows, rows, "key")) == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), max_size=14), max_size=25), st.sampled_from([(90, 100), (80, 100), (50, 100)]))
 def test_prefix_tree_finds_all_links(sets, ratio):
@@ -192,6 +201,62 @@ def test_passages(spark):
     assert S.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def brute_passages(docs, least):
+    """By document the word ranges that stand in another one too, from least words in a row."""
+    at = {}
+    for i, w in docs.items():
+        for k in range(len(w) - least + 1):
+            at.setdefault(tuple(w[k : k + least]), set()).add((i, k))
+    out = {}
+    for places in at.values():
+        if len({i for i, _ in places}) > 1:
+            for i, k in places:
+                out.setdefault(i, set()).update(range(k, k + least))
+    return out
+
+
+def test_every_repeat_of_51_words_is_found_wherever_it_stands(spark):
+    r = random.Random(21)
+    fresh = lambda n: [f"u{r.randrange(10**9)}" for _ in range(n)]
+    docs = {}
+    for k in range(40):
+        passage, broken = fresh(r.choice([20, 30, 45, 51, 52, 60, 90, 200])), r.random() < 0.3
+        for _ in range(r.choice([1, 2, 2, 3])):
+            w = fresh(r.randrange(0, 80)) + passage + fresh(r.randrange(0, 80))  # amid words, without any sentence's end
+            docs[len(docs)] = (w, "\n" if broken else " ")
+    rows = [(i, "".join(x + (gap if j % 5 == 4 else " ") for j, x in enumerate(w))) for i, (w, gap) in docs.items()]
+    got, text = {}, dict(rows)
+    for x in S.repeated_passages(spark.createDataFrame(rows, DOCS)).collect():
+        before = len(text[x.doc_id][: x.start].split())
+        got.setdefault(x.doc_id, set()).update(range(before, before + x.n_words))
+        assert text[x.doc_id][x.start : x.end].split() == docs[x.doc_id][0][before : before + x.n_words]
+    want = brute_passages({i: w for i, (w, _) in docs.items()}, 51)
+    # exactly their words, but where a paragraph with a few words more is near enough
+    assert all(want[i] <= got.get(i, set()) and len(got[i] - want[i]) < 10 for i in want) and len(want) > 20
+    assert sum(want[i] == got[i] for i in want) > 0.8 * len(want)
+    shorter = brute_passages({i: w for i, (w, _) in docs.items()}, S.MIN_WORDS)
+    assert set(got) <= set(shorter)
+
+
+def test_edited_passages_and_short_lines(spark):
+    r = random.Random(22)
+    lines = [" ".join(f"v{r.randrange(10**6)}" for _ in range(r.randrange(2, 7))) for _ in range(30)]
+    near = [sentence(r, 60) for _ in range(2)]
+    changed = [n.replace(n.split()[50], "other") for n in near]
+    fresh = lambda: sentence(r, 30)
+    docs = [(1, "\n".join([fresh(), *lines, fresh()])), (2, "\n".join([fresh(), *lines])), (3, f"{fresh()} {' '.join(near)} {fresh()}"), (4, f"{' '.join(changed)} {fresh()}"), (5, "\n".join(lines[:4] + [fresh()])), (6, fresh())]
+    got = S.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()
+    assert {x.doc_id for x in got} == {1, 2, 3, 4}
+    assert {x.doc_id: x.n_words for x in got if x.doc_id < 3} == dict.fromkeys((1, 2), sum(len(x.split()) for x in lines))
+
+
+def test_long_enough_keeps_what_may_grow_together():
+    a = lambda *x: np.array(x, np.int64)
+    keep = S.long_enough(a(0, 10, 40, 100, 130), a(10, 20, 50, 126, 135), a(0, 0, 0, 90, 90), a(90, 90, 90, 140, 140), a(0, 0, 0, 26, 0), 45)
+    assert keep.tolist() == [False, False, False, True, True]
+    assert S.long_enough(*[a()] * 5, 9).tolist() == []
+
+
 def greedy(doc, item, least):
     """Tiling by the definition: the longest match of unmarked words, again and again."""
     least = min(least, len(item))
