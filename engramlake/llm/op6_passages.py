@@ -33,8 +33,8 @@ SHINGLE, NUM, DEN = 5, 80, 100
 BANDS, ROWS = 8, 3
 #: Neighbours under SHORT words are joined; paragraphs are cut at words of a certain hash from LONG words on.
 SHORT, LONG, CUT = 8, 64, 16
-#: Bytes of text that are worked on at a time.
-HELD = 1_000_000
+#: Bytes of text that are worked on at a time, and clusters that are broadcast.
+HELD, CLUSTERS = 1_000_000, 250_000
 #: Words of a stretch and of a reported passage: a few under 51, so that one counts whose first or last words were changed.
 STRETCH, MIN_WORDS = 26, 48
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U))
@@ -333,16 +333,16 @@ def repeated_pieces(docs: DataFrame, least: int = MIN_WORDS, num: int = NUM, den
     named = written(hits.filter("tokens IS NOT NULL").groupBy("d1", "d2").agg(F.first("tokens").alias("tokens")).withColumn("name", F.monotonically_increasing_id()))
     found = cluster(pairs, lambda nodes: named.select("name", F.col("d1").alias("node"), "tokens").join(nodes, "node", "left_semi"), num, den, block)
     top = named.select(F.col("name").alias("label"), F.col("d1").alias("c1"), F.col("d2").alias("c2"))
-    cluster_of = few(found.join(named.select(F.col("name").alias("node"), "d1", "d2"), "node").join(top, "label").select("d1", "d2", "c1", "c2"))
+    cluster_of = few(found.join(named.select(F.col("name").alias("node"), "d1", "d2"), "node").join(top, "label").select("d1", "d2", "c1", "c2"), CLUSTERS)
     own = ["doc_id", "row_hash", "word", "n_words", "place", "end"]
     paragraphs = placed.filter("d2 IS NOT NULL").select(*own, "d1", "d2").join(cluster_of, ["d1", "d2"], "left").select(*own, F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"), F.lit(False).alias("stretch"))
     pieces = paragraphs.union(placed.filter("d2 IS NULL").select(*own, F.col("d1").alias("c1"), F.lit(0).cast("long").alias("c2"), F.lit(True).alias("stretch")))
     # clusters of several documents by numbers alone; where in its first document a cluster begins, for these
     none, key = F.col("doc_id").isNull(), ["c1", "c2", "stretch"]
-    both = few(pieces.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bool_or(none).alias("none")).filter("low <> high OR none AND low IS NOT NULL").select(*key, "low"))
+    both = few(pieces.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bool_or(none).alias("none")).filter("low <> high OR none AND low IS NOT NULL").select(*key, "low"), CLUSTERS)
     again = written(pieces.join(both, key))
     place = F.struct("row_hash", "word")
-    first = few(again.filter(F.col("doc_id") == F.col("low")).groupBy(*key).agg(F.min(place).alias("first")))
+    first = few(again.filter(F.col("doc_id") == F.col("low")).groupBy(*key).agg(F.min(place).alias("first")), CLUSTERS)
     keep = (F.col("doc_id") == F.col("low")) & (place == F.col("first"))
     whole = again.join(first, key).select(*own, F.col("c1").alias("component"), F.coalesce(keep, F.lit(False)).alias("keep"), F.lit(True).alias("whole"))
     # stretches that begin or end a row of them in some document grow there

@@ -26,7 +26,7 @@ from .common import arrow, connected_components, written
 from .textnum import U, mix
 
 #: Sets and tokens of a block, keys of a bucket, and keys that are packed at a time.
-BLOCK, TOKENS, BUCKET, PACK = 2048, 1 << 21, 1 << 21, 1 << 19
+BLOCK, TOKENS, BUCKET, PACK = 2048, 1 << 21, 1 << 18, 1 << 19
 
 
 class _Node:
