@@ -39,7 +39,7 @@ def filter_of(ids: DataFrame, count: int | None = None) -> bytes:
     bit: Column = F.col("bit")
     rows = arrow(ids, run, "bit long").groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     out = bytearray(size // 8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # at most MOST bits; a job for each partition would be many
         out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = r["bits"]
     return bytes(out)
 
