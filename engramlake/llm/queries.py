@@ -12,12 +12,13 @@ from .op7_ngrams import op7_ngram_jaccard
 from .op8_lines import SQL as SQL8, op8_line_dedup
 from .op9_pieces import op9_sentencepiece
 from .op10_tiling import op10_decontamination
+from .op11_negatives import SQL as SQL11, op11_hard_negatives
 from .op12_repair import SQL as SQL12, op12_conversation_repair
 from .op13_tokens import op13_token_counts
 
 _ALL = (
     op1_license_scan, op2_pii, op3_toxicity, op4_chat, op5_gif, op6_substring_dedup, op7_ngram_jaccard, op8_line_dedup, op9_sentencepiece, op10_decontamination,
-    op12_conversation_repair, op13_token_counts,
+    op11_hard_negatives, op12_conversation_repair, op13_token_counts,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = SQL1 | SQL2 | SQL4 | SQL8 | SQL12
+ORACLES = SQL1 | SQL2 | SQL4 | SQL8 | SQL11 | SQL12
