@@ -40,6 +40,31 @@ def text_hash(c: Column) -> Column:
     return F.xxhash64(c)
 
 
+#: Values of an array that are summed up at a time; a running list is copied for each value.
+RUN = 256
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with further columns, each computed once: neither filters nor lambdas that use them take in their expressions, as these stand behind a generator."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def sums_before(values: str) -> Column:
+    """For each value of an array column of numbers the sum of those before it.
+
+    A running list would be copied for each value; here lists of RUN values are, and one of the sums of these.
+    """
+    n = F.size(values)
+    # values by place: a slice would look at the whole array each time
+    own = lambda i: F.transform(F.sequence(i, F.least(i + (RUN - 1), n - 1)), lambda k: F.get(F.col(values), k))
+    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(RUN)), own)).otherwise(F.array())
+    zero = lambda start: F.array(start)
+    after = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
+    starts = F.aggregate(F.transform(parts, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)), zero(F.lit(0).cast("long")), after)
+    within = F.zip_with(parts, F.slice(starts, 1, F.size(starts) - 1), lambda x, start: F.slice(F.aggregate(x, zero(start), after), 1, F.size(x)))
+    return F.flatten(within)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (smallest reachable id) for every id in the edges.
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import once, sums_before, table
 
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {
@@ -44,27 +44,25 @@ PLAIN, NEAR, CONTEXT = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iba
 
 def luhn(digits: Column) -> Column:
     """The Luhn test of a string of digits: every second digit from the right is doubled, less 9 if above 9."""
-    n = F.length(digits)
-    places = F.sequence(F.lit(1), n)
-    weight = lambda d, i: F.when((n - i) % 2 == 1, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
-    return F.aggregate(places, F.lit(0), lambda acc, i: acc + weight(F.substring(digits, i, F.lit(1)).cast("int"), i)) % 10 == 0
+    right = F.reverse(F.split(digits, ""))
+    double = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+    return F.aggregate(F.transform(right, lambda d, i: F.when(i % 2 == 1, double(d.cast("int"))).otherwise(d.cast("int"))), F.lit(0), lambda acc, v: acc + v) % 10 == 0
 
 
 def mod97(iban: Column) -> Column:
     """The mod-97 test: the first four characters go to the end, letters become 10 to 35, the rest is 1."""
-    turned = F.concat(F.substring(iban, 5, 99), F.substring(iban, 1, 4))
+    turned = F.split(F.concat(F.substring(iban, 5, 99), F.substring(iban, 1, 4)), "")
     value = lambda c: F.ascii(c) - F.when(F.ascii(c) >= 65, 55).otherwise(48)
     step = lambda acc, v: F.when(v > 9, acc * 100 + v).otherwise(acc * 10 + v) % 97
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), lambda acc, i: step(acc, value(F.substring(turned, i, F.lit(1))))) == 1
+    return F.aggregate(F.transform(turned, value), F.lit(0), step) == 1
 
 
 def _confirmed(kind: str, m: Column) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    n = F.length(digits)
+    n = F.length(F.regexp_replace(m, "[^0-9]", ""))
     return {
         "email": F.lit(True),
         "ip": m.rlike(r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"),
-        "card": F.when(n.between(16, 19), luhn(digits)).otherwise(F.lit(False)),
+        "card": F.when(n.between(16, 19), luhn(F.regexp_replace(m, "[^0-9]", ""))).otherwise(F.lit(False)),
         "phone": n.between(8, 15),
         "iban": mod97(F.replace(m, F.lit(" "), F.lit(""))),
     }[kind]
@@ -73,32 +71,40 @@ def _confirmed(kind: str, m: Column) -> Column:
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def spans_of(kind: str, text: Column) -> Column:
-    """The confirmed spans of one kind in a text, by start: code points, end exclusive."""
+def with_spans(rows: DataFrame, kind: str) -> DataFrame:
+    """rows (with text) and a column named by the kind: its confirmed spans in the text, by start; code points, end exclusive.
+
+    Matches and the stretches between them are found once each; nothing after that looks at the text, so
+    the time is that of the text and its matches, however many they are.
+    """
     pattern, need, words = KINDS[kind]
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    text, none = F.col("text"), F.array().cast("array<string>")
+    may = (F.contains(text, F.lit(need)) & text.rlike(pattern)) if need else text.rlike(pattern)
+    out = once(rows, _may=may)
+    out = once(out, _found=F.when(F.col("_may"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), _gaps=F.when(F.col("_may"), F.split(text, pattern, -1)).otherwise(none))
+    out = once(out, _pairs=F.zip_with("_found", F.slice("_gaps", 1, F.size("_found")), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap"), F.lower(F.right(gap, F.lit(CONTEXT))).alias("before"))))
+    out = once(out, _sizes=F.transform("_pairs", lambda x: x["gap"] + F.length(x["m"])))
+    out = once(out, _before=sums_before("_sizes"))
 
-    def step(acc: Column, i: Column) -> Column:
-        m, gap = F.get(found, i), F.get(gaps, i)
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(m)
-        near = F.lower(F.right(gap, F.lit(CONTEXT))).rlike(rf"\b(?:{words})")
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), (F.lit(PLAIN[kind]) + F.when(near, F.lit(NEAR)).otherwise(F.lit(0.0))).alias("score"))
-        return F.struct(end.alias("at"), F.when(_confirmed(kind, m), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def span(x: Column, before: Column) -> Column:
+        start = (before + x["gap"]).cast("int")
+        score = F.lit(PLAIN[kind]) + F.when(x["before"].rlike(rf"\b(?:{words})"), F.lit(NEAR)).otherwise(F.lit(0.0))
+        return F.when(_confirmed(kind, x["m"]), F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"), score.alias("score")))
 
-    may = (F.contains(text, F.lit(need)) & text.rlike(pattern)) if need else text.rlike(pattern)
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"]
-    return F.when(may, spans).otherwise(F.array().cast(SPAN))
+    spans = F.filter(F.zip_with("_pairs", "_before", span), lambda x: x.isNotNull())
+    return out.select(*rows.columns, spans.cast(SPAN).alias(kind))
 
 
 def find_pii(docs: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """Every row of docs as struct ``row``, and for each kind its spans in a column of that name.
 
-    A null or empty text has no spans. Rows are independent, so repeated rows repeat and nothing is shuffled.
+    A null or empty text has no spans. Rows are independent, so repeated rows repeat and nothing is shuffled;
+    an empty table gives no rows. A very long text is searched whole, in time that grows with it and its matches.
     """
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("row", *(spans_of(k, F.col("text")).alias(k) for k in kinds))
+    for k in kinds:
+        rows = with_spans(rows, k)
+    return rows.select("row", *kinds)
 
 
 def joined(*kinds: str) -> Column:
@@ -107,11 +113,11 @@ def joined(*kinds: str) -> Column:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = once(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")), _base=joined(*BASE))
     return out.select(
         "row.doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE),
-        F.sha2(joined(*BASE), 256).alias("base_sha256"),
+        F.sha2("_base", 256).alias("base_sha256"),
         joined(*KINDS).alias("spans"),
         F.coalesce(F.array_max(F.transform(F.concat(*KINDS), lambda s: s["score"])), F.lit(0.0)).alias("max_score"),
     )

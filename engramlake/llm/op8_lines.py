@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, table, text_hash, texts, written
+from .common import BLANKS, ascii_lower, once, table, text_hash, texts, written
 
 SALTS = 64
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -32,7 +32,9 @@ def line_occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Adds ``new_doc`` (1 at the first line of a key in a document) and ``first`` (true at the first
     line of a key within its salt). Lines whose key has under min_chars code points are left out.
     """
-    lines = texts(docs).select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    # hashed before: what a generator's row is made of is made for each line
+    rows = texts(docs).select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
+    lines = rows.select("doc_id", "text_hash", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     keys = lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     keys = keys.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(8), "key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     order = ["h1", "h2", "salt", "doc_id", "text_hash", "pos"]
@@ -62,25 +64,30 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
-def kept_runs(n_lines: Column, dropped: Column) -> Column:
-    """The keep bitmap as runs (start, length) of kept lines."""
-    edges = F.concat(F.array(F.lit(-1)), dropped, F.array(n_lines))
-    runs = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.struct((F.get(edges, i - 1) + 1).alias("start"), (F.get(edges, i) - F.get(edges, i - 1) - 1).alias("length")))
-    return F.filter(runs, lambda r: r["length"] > 0)
+def with_runs(rows: DataFrame) -> DataFrame:
+    """rows (lines, dropped) with ``runs``, the keep bitmap as runs (start, length) of kept lines, and ``keeps``, a flag for each line; null where dropped is. Each array is made once, and none is searched, however many lines go."""
+    ends = F.concat("dropped", F.array(F.size("lines")))
+    out = once(rows, _ends=ends, _starts=F.concat(F.array(F.lit(-1)), "dropped"))
+    runs = F.zip_with("_starts", "_ends", lambda a, b: F.struct((a + 1).alias("start"), (b - a - 1).alias("length")))
+    flags = F.flatten(F.transform("_runs", lambda r: F.concat(F.array_repeat(F.lit(True), r["length"]), F.array(F.lit(False)))))
+    out = once(out, _runs=runs)
+    return once(out, runs=F.filter("_runs", lambda r: r["length"] > 0), keeps=flags).drop("_ends", "_starts", "_runs")
 
 
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
     """Every row of docs as struct ``row``, with ``text`` (what stays, joined by a line feed), n_lines, n_dropped and keep_bitmap.
 
-    keep_bitmap is a string of ``start+length`` runs of kept lines, comma-joined; empty if none stays.
+    keep_bitmap is a string of ``start+length`` runs of kept lines, comma-joined; empty if none stays. A null or
+    empty text is one empty line, repeated rows repeat and count as one document, an empty table gives no
+    rows. A very long text is split and joined once each, in time that grows with its lines, kept or dropped.
     """
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), "text")
     gone = line_keep_bitmaps(docs, min_docs, min_chars, keep_first).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "dropped")
     out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
-    out = out.select("row", "text", "dropped", _lines(F.col("text")).alias("lines"))
-    out = out.select("row", "text", "dropped", "lines", kept_runs(F.size("lines"), F.col("dropped")).alias("runs"))
-    kept = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("lines"), r["start"] + 1, r["length"]))), "\n")
+    out = with_runs(once(out.select("row", "text", "dropped"), lines=_lines(F.col("text"))))
+    stay = F.filter(F.zip_with("lines", "keeps", lambda line, keep: F.when(keep, line)), lambda line: line.isNotNull())
+    kept = F.array_join(stay, "\n")
     return out.select(
         "row",
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("text"),

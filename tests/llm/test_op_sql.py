@@ -20,7 +20,12 @@ def tables(spark, tmp_path_factory):
     at = f"file://{tmp_path_factory.mktemp('tables')}"
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
     turns = [(c, t, R.choice(["user", "assistant", "a <|x", None]), R.choice([None, "", "hi <|im_end|>", "é"])) for c in range(5) for t in range(R.randrange(1, 140))] + [(None, 1, "user", "x"), (3, None, "user", "y")]
+    turns += [(c, t, R.choice(["user", "assistant", "system", "tool", ""]), R.choice(["Yes.", "no", "No!", "", " \t", "é?", None])) for c in range(5, 40) for t in range(R.randrange(0, 7))]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    centres = [[R.gauss(0, 1) for _ in range(6)] for _ in range(3)]
+    vectors = [(i * 5, R.choice([[x + R.gauss(0, 0.3) for x in R.choice(centres)], centres[0]]), R.randrange(4)) for i in range(300)]
+    vectors += [(1700, None, 1), (1800, [1.0], 1), (1900, [float("nan")] * 6, 1), (2000, [1.0] * 5 + [None], 1), (2100, [1.0] * 6, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
@@ -28,7 +33,7 @@ def tables(spark, tmp_path_factory):
 def test_sql_gives_the_same_rows(spark, tables, name):
     got = QUERIES[name](spark, tables)
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tables.removeprefix('file://')}/{t}.parquet/*.parquet')")
     want = con.execute(ORACLES[name])
     columns = [d[0] for d in want.description]
