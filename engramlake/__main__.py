@@ -29,7 +29,8 @@ def main(arguments: list[str] | None = None, client: Client | None = None) -> li
         out = [f"status: {health['status']}", f"entries: {health['total']} ({', '.join(f'{k}={v}' for k, v in sorted(health['tiers'].items()))})"]
     elif a.command == "search":
         found = client.search(a.query, a.tier, a.limit)
-        out = [f"Found {found['total']} result(s):", *(f"  [{hit['score']:.2f}] {title_of(hit['entry'])}" for hit in found["results"])]
+        rows = [(str(i + 1), hit["tier"], f"{hit['score']:.4f}", title_of(hit["entry"])) for i, hit in enumerate(found["results"])]
+        out = ["  ".join(x.ljust(w) for x, w in zip(r, (4, 10, 8, 0), strict=True)).rstrip() for r in [("rank", "tier", "score", "title"), *rows]]
     else:
         out = [f"{client.migrate_logs(corpus.dated_logs(client.spark, a.source)).count()} entries migrated"]
     print("\n".join(out))

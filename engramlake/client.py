@@ -11,13 +11,14 @@ import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .model import BUDGET, LIMIT, TOP_K, check_tiers, within
 from .operators.ingest import DocumentStore
 from .operators.memory import MemoryLog
 from .plans import etl
+from .session import written
 from .sources import corpus
 
 #: Columns of a payload that ``MemoryLog.append`` takes.
@@ -32,9 +33,24 @@ class Client:
     """Calls on a log and a store below one folder. embed: gives the vector of a query's text, for ``smart_query``."""
 
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[str], list[float]] | None = None) -> None:
-        self.spark, self.embed = spark, embed
+        self.spark, self.embed, self.closed = spark, embed, False
         self.log_, self.store = MemoryLog(spark, f"{root.rstrip('/')}/memory"), DocumentStore(spark, f"{root.rstrip('/')}/documents")
 
+    def close(self) -> None:
+        """Ends the client: further calls are an error. The session, which others may use, goes on."""
+        self.closed = True
+
+    def __enter__(self) -> Client:
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        self.close()
+
+    def __getattribute__(self, name: str) -> object:
+        if name in ("log_", "store") and object.__getattribute__(self, "__dict__").get("closed"):
+            raise RuntimeError("the client is closed")
+        return object.__getattribute__(self, name)
+
     # --- the log
 
     def write(self, tier: str, entry_type: str, payload: dict, tags: list[str] | None = None, weight: float | None = None) -> dict:
@@ -70,8 +86,9 @@ class Client:
         docs = self.spark.createDataFrame([(title, hierarchy_path, doc_type, tags or [], content, self.embed(content) if self.embed else None)], "title string, hierarchy_path string, doc_type string, tags array<string>, content string, embedding array<double>")
         return self.store.ingest(docs if self.embed else docs.drop("embedding"), F.current_timestamp()).first().asDict()
 
-    def smart_query(self, query: str, token_budget: int = BUDGET[2], directory: str | None = None, top_k: int = TOP_K[2], agent_id: str | None = None) -> dict:
-        """Results by resolution, and their tokens."""
+    def smart_query(self, query: str, token_budget: int = BUDGET[2], directory: str | None = None, top_k: int = TOP_K[2], agent_id: str | None = None, tier: list[str] | None = None) -> dict:
+        """Results by resolution, and their tokens. The log's tiers may be named, as agents do; documents are in none of them, so this leaves out nothing."""
+        check_tiers(tier)
         if self.embed is None:
             raise ValueError("a query by text needs embed")
         within("token_budget", token_budget, BUDGET)
@@ -81,6 +98,11 @@ class Client:
         hits = [{"doc_id": r["doc_id"], "title": r["title"], "tier": r["tier"], "score": r["score"], "content": r[text[r["tier"]]], "tokens": r["tokens_used"]} for r in found]
         return {"query": query, "total_tokens": sum(h["tokens"] for h in hits), "results": hits}
 
+    def document(self, doc_id: str, tier: str = "l0") -> dict:
+        """A document at a tier: its text, tokens and the tier that was there; empty without such a document or tier."""
+        row = self.store.document_tier(doc_id, tier).first()
+        return row.asDict() if row else {}
+
     # --- what agents write
 
     def _record(self, tier: str, entry_type: str, record: Column) -> str:
@@ -125,15 +147,16 @@ class Client:
             if t not in exports:
                 continue
             kind, payloads = kinds[t]
-            left = etl.pending(exports[t].withColumn("id", F.col("id").cast("string")), migrated, t, limit or None)
-            out[t] = left.count()
-            if not dry_run:
-                rows = payloads(left)
-                entries = etl.as_entries(rows, t, kind)
-                if out[t]:
-                    self.log_.append(entries.repartition(max(1, -(-out[t] // (1000 * batch_size)))), F.current_timestamp())
+            left, seen = etl.pending(exports[t].withColumn("id", F.col("id").cast("string")), migrated, t, limit or None), Observation()
+            if dry_run:
+                out[t] = left.count()
+                continue
+            # one job over the source: what it writes is what is counted, appended and checkpointed
+            rows = written(payloads(left).observe(seen, F.count(F.lit(1)).alias("rows")))
+            out[t] = seen.get["rows"]
+            if out[t]:
+                self.log_.append(etl.as_entries(rows, t, kind).repartition(max(1, -(-out[t] // (1000 * batch_size)))), F.current_timestamp())
                 migrated = etl.record_ids(migrated, rows, t)
-                out[t] = rows.count()
         return out, migrated
 
     def migrate_profile(self, docs: DataFrame) -> DataFrame:
@@ -171,9 +194,20 @@ class AsyncClient:
         return self
 
     async def __aexit__(self, *exc: object) -> None:
-        return None
+        self.close()
+
+    def close(self) -> None:
+        """Ends the client; see ``Client.close``."""
+        self.client.close()
+
+
+#: What stands for an entry in a list: the first of these fields that says something.
+TITLES = ("title", "skill_name", "subject")
 
 
 def title_of(entry: dict) -> str:
-    """What a list shows of an entry."""
-    return entry.get("title") or entry.get("skill_name") or entry.get("subject", "untitled")
+    """What a list shows of an entry; an empty subject stands as it is (``expr.label`` is the same for columns)."""
+    for field in TITLES:
+        if entry.get(field) or (field == TITLES[-1] and field in entry):
+            return entry[field]
+    return "untitled"

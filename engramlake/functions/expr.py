@@ -216,5 +216,5 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """1 less the cosine distance, 0 at least; norms may be given."""
-    return F.greatest(F.lit(0.0), dot(a, b) / ((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)))
+    """1 less the cosine distance, 0 at least and for a vector of zeros; norms may be given."""
+    return F.greatest(F.lit(0.0), F.try_divide(dot(a, b), (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)))

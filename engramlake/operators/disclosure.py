@@ -90,14 +90,15 @@ def escalate(rows: DataFrame, budget: Column) -> DataFrame:
     return rows.withColumn("tokens_used", used.cast("long")).withColumn("l1_loaded", F.col("_e1")).drop("_budget", "_u0", "_c", "_e1", "_u1", "_k2")
 
 
-def smart_query(vectors: DataFrame, documents: DataFrame, contents: DataFrame, queries: DataFrame, top_k: int = TOP_K[2], directory: bool = False, stretch: float = 1.0) -> DataFrame:
+def smart_query(vectors: DataFrame | None, documents: DataFrame, contents: DataFrame, queries: DataFrame, top_k: int = TOP_K[2], directory: bool = False, stretch: float = 1.0, hits: DataFrame | None = None) -> DataFrame:
     """A row for each result: query_id, rank, doc_id, title, hierarchy_path, score (4 places), tier, tokens_used, l0_abstract, l1_overview and l2_content where loaded.
 
     queries: query_id, embedding, token_budget and, with directory, directory. contents: l2_file_path, content.
+    hits: what a search gave (query_id, doc_id, score, rank), such as an index's, in place of vectors.
     """
     # a bounded number of queries has a bounded number of hits: then these go to the tables, not the tables to them
     few = F.broadcast if queries.count() <= QUERY_BLOCK else (lambda df: df)
-    hits = written(nearest(vectors, queries, top_k, directory, stretch))  # the search is done once
+    hits = written(nearest(vectors, queries, top_k, directory, stretch) if hits is None else hits)  # the search is done once
     rows = written(retrieve_l0(few(hits), documents))
     known = contents.select("l2_file_path").join(few(rows.select("l2_file_path").distinct()), "l2_file_path", "left_semi").distinct().withColumn("l2_exists", F.lit(True))
     rows = rows.join(few(known), "l2_file_path", "left").withColumn("l2_exists", F.coalesce("l2_exists", F.lit(False)))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..model import DOC_TYPES, DOCUMENT, L0_INPUT, L0_WORDS, L1_INPUT, L1_OUTPUT
-from ..session import few
 from . import disclosure
-from .memory import MemoryLog
+from .tables import Tables, stamp
+from .vectors import VectorIndex
 
 #: A summariser gives abstract and overview columns of (title, hierarchy_path, doc_type, content); plug a model in as a pandas UDF.
 Summariser = Callable[[Column, Column, Column, Column], tuple[Column, Column]]
@@ -78,16 +78,6 @@ def latest(rows: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFram
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def current(rows: DataFrame, key: str) -> DataFrame:
-    """The last row of each key by append and seq, with both as ``seq``: what was replaced is found by numbers, and no wide column is moved."""
-    place = F.struct("append", "seq")
-    again = rows.groupBy(key).agg(F.max(place).alias("_last"), F.count("*").alias("_n")).filter("_n > 1")
-    if not again.isEmpty():
-        old = rows.select(key, "append", "seq").join(again, key).filter(place < F.col("_last")).select("append", "seq")
-        rows = rows.join(few(old), ["append", "seq"], "left_anti")
-    return rows.withColumn("seq", place).drop("append")
-
-
 def stale(documents: DataFrame, contents: DataFrame) -> DataFrame:
     """Documents whose full text no longer has their checksum, with is_stale and stale_reason set."""
     now = contents.select("l2_file_path", F.sha2("content", 256).alias("_now"))
@@ -108,11 +98,11 @@ def directories(documents: DataFrame) -> DataFrame:
 
 
 class DocumentStore:
-    """Documents below a folder: ``documents`` (rows by seq; the last of an id counts), ``l2`` (full texts by path), ``vectors`` (by id) and ``query_log``."""
+    """Documents below a folder: ``documents`` (rows by append and seq; the last of an id counts), ``l2`` (full texts by path), ``vectors`` (by id), ``query_log``, and snapshots (``base``) of the first three."""
 
     def __init__(self, spark: SparkSession, root: str, summariser: Summariser = extractive) -> None:
         self.spark, self.root, self.summariser = spark, root.rstrip("/"), summariser
-        self._log = MemoryLog(spark, root)
+        self.tables = Tables(spark, root)
 
     def _schema(self) -> str:
         return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in DOCUMENT)
@@ -120,9 +110,9 @@ class DocumentStore:
     def create(self) -> DocumentStore:
         """Makes the tables that aren't there, without rows."""
         for name, schema in (("documents", self._schema()), ("l2", self.L2), ("vectors", self.VECTORS), ("query_log", self.LOG)):
-            fs, path = self._log._files(name)
+            fs, path = self.tables.files(name)
             if not fs.exists(path):
-                self._log._put(self.spark.createDataFrame([], schema), name)
+                self.tables.put(self.spark.createDataFrame([], schema), name)
         return self
 
     L2 = "l2_file_path string, content string, seq long"
@@ -130,23 +120,23 @@ class DocumentStore:
     LOG = "query_id string, step int, query_text string, agent_id string, l0_results long, l1_expansions long, l2_loads long, total_tokens long"
 
     def documents(self) -> DataFrame:
-        return current(self._log._read("documents", self._schema()), "doc_id")
+        return self.tables.latest("documents", self._schema(), "doc_id")
 
     def contents(self) -> DataFrame:
         """l2_file_path and content, the last of each path."""
-        return current(self._log._read("l2", self.L2), "l2_file_path").drop("seq")
+        return self.tables.latest("l2", self.L2, "l2_file_path").drop("seq")
 
     def vectors(self) -> DataFrame:
         """doc_id, embedding and norm of each document that was ingested with an embedding."""
-        return current(self._log._read("vectors", self.VECTORS), "doc_id").drop("seq")
+        return self.tables.latest("vectors", self.VECTORS, "doc_id").drop("seq")
 
     def _append(self, docs: DataFrame, rows: DataFrame) -> None:
-        n, seq = self._log._number(), F.monotonically_increasing_id()
-        self._log._put(rows.withColumn("seq", seq), "documents", number=n)
-        self._log._put(docs.select(E.l2_path(F.col("hierarchy_path"), F.col("title")).alias("l2_file_path"), "content", seq.alias("seq")), "l2", number=n)
+        n, seq = stamp(), F.monotonically_increasing_id()
+        self.tables.put(rows.withColumn("seq", seq), "documents", append=n)
+        self.tables.put(docs.select(E.l2_path(F.col("hierarchy_path"), F.col("title")).alias("l2_file_path"), "content", seq.alias("seq")), "l2", append=n)
         if "embedding" in docs.columns:
             vectors = docs.select(_key(docs).alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"), seq.alias("seq")).filter("embedding IS NOT NULL")
-            self._log._put(disclosure.with_norms(vectors), "vectors", number=n)
+            self.tables.put(disclosure.with_norms(vectors), "vectors", append=n)
 
     def ingest(self, docs: DataFrame, now: Column | None = None) -> DataFrame:
         """Adds documents, with their vectors if there is a column ``embedding``, and returns doc_id, token counts and the reduction in percent. Equal path and title share a full text."""
@@ -165,28 +155,43 @@ class DocumentStore:
         new = document_columns(old, self.summariser).drop("created_at", "updated_at", "seq").join(old.select("doc_id", "created_at", "updated_at", "seq"), "doc_id")
         rows = new.select(*[c.split()[0] for c in self._schema().split(", ")])
         n = rows.count()
-        self._log._put(rows.withColumn("seq", F.monotonically_increasing_id()), "documents")
+        self.tables.put(rows.withColumn("seq", F.monotonically_increasing_id()), "documents")
         return n
 
     def mark_stale(self) -> int:
         """Writes what ``stale`` finds; the number of documents."""
         rows = stale(self.documents(), self.contents()).select(*[c.split()[0] for c in self._schema().split(", ")])
         n = rows.count()
-        self._log._put(rows.withColumn("seq", F.monotonically_increasing_id()), "documents")
+        self.tables.put(rows.withColumn("seq", F.monotonically_increasing_id()), "documents")
         return n
 
     def _levels(self) -> DataFrame:
         return self.documents().select("doc_id", "title", "hierarchy_path", "l0_abstract", F.col("l0_token_count").alias("l0_tokens"), "l1_overview", F.col("l1_token_count").alias("l1_tokens"), "l2_file_path", F.col("l2_token_count").alias("l2_tokens"))
 
-    def smart_query(self, vectors: DataFrame | None, queries: DataFrame, **options: object) -> DataFrame:
-        """See ``disclosure.smart_query``, by these vectors or (None) by the stored ones; queries also hold query_text and agent_id, and each run is logged."""
-        known = self.vectors() if vectors is None else disclosure.with_norms(vectors)
-        if options.get("directory"):
-            known = known.join(self.documents().select("doc_id", "hierarchy_path"), "doc_id")
-        out = disclosure.smart_query(known, self._levels(), self.contents(), queries, **options)
+    def compact(self) -> None:
+        """Makes snapshots of the latest documents, texts and vectors, so that reading them works nothing out. Ingestion may go on meanwhile."""
+        for name, schema, key in (("documents", self._schema(), "doc_id"), ("l2", self.L2, "l2_file_path"), ("vectors", self.VECTORS, "doc_id")):
+            self.tables.compact(name, schema, key)
+
+    def index(self, cells: int | None = None) -> VectorIndex:
+        """An index of the vectors as they are now, for ``smart_query``."""
+        known = self.vectors().select("doc_id", "embedding").join(self.documents().select("doc_id", "hierarchy_path"), "doc_id")
+        return VectorIndex(self.spark, f"{self.root}/index/{stamp()}").build(known, cells)
+
+    def smart_query(self, vectors: DataFrame | None, queries: DataFrame, index: VectorIndex | None = None, exact: bool = False, **options: object) -> DataFrame:
+        """See ``disclosure.smart_query``, by these vectors, by an index (with exact: whose results are those of a full search) or by the stored ones; queries also hold query_text and agent_id, and each run is logged."""
+        hits = None
+        if index is not None:
+            hits = index.search(queries, exact=exact, **{k: v for k, v in options.items() if k in ("top_k", "directory", "stretch")})
+            known = None
+        else:
+            known = self.vectors() if vectors is None else disclosure.with_norms(vectors)
+            if options.get("directory"):
+                known = known.join(self.documents().select("doc_id", "hierarchy_path"), "doc_id")
+        out = disclosure.smart_query(known, self._levels(), self.contents(), queries, hits=hits, **options)
         if {"query_text", "agent_id"} <= set(queries.columns):
             log = disclosure.query_log(out, queries)
-            self._log._put(log.withColumn("query_id", F.col("query_id").cast("string")), "query_log")
+            self.tables.put(log.withColumn("query_id", F.col("query_id").cast("string")), "query_log")
         return out
 
     def document_tier(self, doc_id: str, tier: str) -> DataFrame:
@@ -199,4 +204,4 @@ class DocumentStore:
         return disclosure.list_documents(self.documents())
 
     def query_log(self) -> DataFrame:
-        return self._log._read("query_log", self.LOG).drop("append")
+        return self.tables.read("query_log", self.LOG).drop("append")

@@ -2,22 +2,27 @@
 
 Functions take a frame of entries (``sources.jsonl.parse``): tier, file, line_no, raw, raw_lc, id, ts,
 weight, e_tier, e_type. ``MemoryLog`` keeps them as Parquet, partitioned by tier and file; weights
-change by events that are folded into the entries they touch when read, and ``compact`` folds them in
-for good.
+change by outcomes: the entries that they touch are written anew beside the log, and ``compact`` puts them in
+place for good.
 """
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import pandas as pd
-from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as E
 from ..model import BAD, BOOST, DECAY, GOOD, LIMIT, PENALTY, TIERS, WEIGHT_HIGH, WEIGHT_LOW, check_tiers, within
-from ..session import ship, written
+from ..session import few, ship, written
 from ..sources import jsonl
+from .tables import Tables, stamp
+
+if TYPE_CHECKING:
+    from .trigrams import TrigramIndex
 
 #: Query batches of at most so many rows are broadcast; larger ones go through in blocks of that size.
 QUERY_BLOCK = 1000
@@ -108,28 +113,32 @@ def counts(entries: DataFrame) -> DataFrame:
     return every.join(entries.groupBy("tier").agg(F.count("*").alias("n")), "tier", "left").select("tier", F.coalesce("n", F.lit(0)).cast("long").alias("entries"))
 
 
-def changes(entries: DataFrame, events: DataFrame, exact: bool = False) -> DataFrame:
-    """The entries that events (tier, id, task_score, seq and, if there, ``at``) change, with ``weight`` after them in order of seq and ``_at``, the last one's time.
+def in_order(events: DataFrame) -> DataFrame:
+    """tier, id, scores (by seq) and at (the last one's time) of outcomes (tier, id, task_score, seq and, if there, ``at``). Those of one id go to one array, of a number and a time each, which ``compact`` empties."""
+    step = F.struct("seq", F.col("task_score").cast("double").alias("task_score"), (F.col("at") if "at" in events.columns else F.lit(None).cast("string")).alias("at"))
+    by_id = events.groupBy("tier", "id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    return by_id.select("tier", "id", F.transform("steps", lambda x: x["task_score"]).alias("scores"), F.element_at("steps", -1)["at"].alias("at"))
+
 
-    An event is for the entries of that id in the first file of the tier that has it; all rows there
-    with the id change. Only ids and files of entries meet the events; events of one id go to one array,
-    which ``compact`` empties.
+def changes(entries: DataFrame, ordered: DataFrame, exact: bool = False) -> DataFrame:
+    """The entries that outcomes in order (``in_order``) change, with ``weight`` after them and ``_at``, the last one's time.
+
+    An outcome is for the entries of that id in the first file of the tier that has it; all rows there
+    with the id change. Only ids and files of entries meet the outcomes.
     """
-    step = F.struct("seq", F.col("task_score").cast("double").alias("task_score"), (F.col("at") if "at" in events.columns else F.lit(None).cast("string")).alias("at"))
-    by_id = events.groupBy("tier", "id").agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+    by_id = ordered.select("tier", "id", F.col("scores").alias("_scores"), F.col("at").alias("_at"))
     first = entries.select("tier", "id", "file").join(by_id.select("tier", "id"), ["tier", "id"], "left_semi").groupBy("tier", "id").agg(F.min(E.file_order(F.col("file"))).alias("_first"))
     if exact:
         ship(entries.sparkSession)
     hit = entries.join(by_id.join(first, ["tier", "id"]), ["tier", "id"]).filter(E.file_order(F.col("file")) == F.col("_first"))
-    scores = F.transform("_steps", lambda x: x["task_score"])
-    fold = exact_fold(F.col("weight"), scores) if exact else E.reinforce_all(F.col("weight"), scores)
-    return hit.select(*(fold.alias("weight") if c == "weight" else F.col(c) for c in entries.columns), F.element_at("_steps", -1)["at"].alias("_at"))
+    fold = exact_fold(F.col("weight"), F.col("_scores")) if exact else E.reinforce_all(F.col("weight"), F.col("_scores"))
+    return hit.select(*(fold.alias("weight") if c == "weight" else F.col(c) for c in entries.columns), "_at")
 
 
 def reinforced(entries: DataFrame, events: DataFrame, exact: bool = False) -> DataFrame:
     """Entries with weights after events; see ``changes``. line_no tells the entries of a tier and file apart."""
     key = ["tier", "file", "line_no"]
-    changed = changes(entries, events, exact).select(*key, F.col("weight").alias("_new"))
+    changed = changes(entries, in_order(events), exact).select(*key, F.col("weight").alias("_new"))
     return entries.join(changed, key, "left").withColumn("weight", F.coalesce("_new", "weight")).select(*entries.columns)
 
 
@@ -198,110 +207,127 @@ CHANGED = 1_000_000
 
 
 class MemoryLog:
-    """A log below a folder: ``entries`` (Parquet by tier and file), ``appends`` (a file for each number taken) and ``events`` of weights."""
+    """A log below a folder: ``entries`` (Parquet by append, tier and file), ``events`` (outcomes), ``changed`` (entries that outcomes have changed, as they are now) and ``index`` (trigrams, if there)."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _files(self, name: str) -> tuple:
-        """The file system and path of a table."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
-
-    def _number(self) -> int:
-        """A number for an append that no other has, larger than those taken before: its file is made or exists."""
-        fs, folder = self._files("appends")
-        fs.mkdirs(folder)
-        n = max((int(x.getPath().getName()) for x in fs.listStatus(folder)), default=0) + 1
-        while not self._taken(fs, self.spark._jvm.org.apache.hadoop.fs.Path(folder, str(n))):
-            n += 1
-        return n
-
-    def _taken(self, fs: JavaObject, path: JavaObject) -> bool:
-        """Whether this call made the file; of several at once one does. Hadoop's local file system looks first and makes it then."""
-        if fs.getScheme() == "file":
-            return self.spark._jvm.java.io.File(path.toUri().getPath()).createNewFile()
-        return fs.createNewFile(path)
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        # an empty frame stands for a table that isn't written yet
-        fs, path = self._files(name)
-        full = f"{schema}, append int"
-        return self.spark.read.schema(full).parquet(f"{self.root}/{name}") if fs.exists(path) else self.spark.createDataFrame([], full)
-
-    def _put(self, rows: DataFrame, name: str, *by: str, number: int | None = None) -> None:
-        """Adds rows to a table in a folder of their own, so that writers at once don't meet."""
-        n = self._number() if number is None else number
-        rows.write.partitionBy(*by).parquet(f"{self.root}/{name}/append={n}")
+        self.tables = Tables(spark, root)
 
     ENTRIES = "raw string, raw_lc string, id string, ts string, weight double, e_tier string, e_type string, hidden boolean, line_no long, tier string, file string"
     EVENTS = "tier string, id string, task_score double, seq long, at string"
+    #: An entry's own append is ``of``; the append of a changed one is its version.
+    CHANGES = f"{ENTRIES}, of string"
 
-    def append(self, payloads: DataFrame, now: Column) -> DataFrame:
-        """Appends and returns id, tier and file of what was written; see ``new_entries``."""
-        return self.write(new_entries(payloads, now))
+    def append(self, payloads: DataFrame, now: Column, name: str | None = None) -> DataFrame:
+        """Appends and returns id, tier and file of what was written; see ``new_entries`` and ``write``."""
+        return self.write(new_entries(payloads, now), name)
 
-    def write(self, entries: DataFrame) -> DataFrame:
+    def write(self, entries: DataFrame, name: str | None = None) -> DataFrame:
         """Appends entries, in order after those of appends that began before, by any number of writers at once; nothing that is there is read.
 
-        A line is told apart by its append and its line_no in it.
+        A line is told apart by its append and its line_no in it. An append of a given name replaces what it wrote before.
         """
-        n = self._number()
         rows = entries if "hidden" in entries.columns else entries.withColumn("hidden", F.lit(False))
         rows = rows.withColumn("line_no", F.monotonically_increasing_id())
-        self._put(rows.select(*[c.split()[0] for c in self.ENTRIES.split(", ")]), "entries", "tier", "file", number=n)
-        return self.spark.read.schema(self.ENTRIES).parquet(f"{self.root}/entries/append={n}").select("id", "tier", "file")
+        name = self.tables.put(rows.select(*[c.split()[0] for c in self.ENTRIES.split(", ")]), "entries", "tier", "file", append=name)
+        return self.tables.read("entries", self.ENTRIES, [name]).select("id", "tier", "file")
 
     def import_files(self, folder: str) -> DataFrame:
         """Appends the entries of a folder of JSON-lines files, with their line numbers as order."""
         return self.write(jsonl.parse(jsonl.read_files(self.spark, folder)).orderBy("tier", "file", "line_no"))
 
-    def entries(self, exact: bool = False) -> DataFrame:
-        """All visible entries with their present weights, in the stored line too.
-
-        What events change is worked out once and takes the place of what it was; the other entries are
-        scanned as they are, unless more than CHANGED have changed.
+    def _rows(self, query: str | None = None) -> DataFrame:
+        """Visible entries as they were written; with a query those alone that may hold a term, if there is an index: of appends since then all."""
+        found = self._indexed() if query is not None else None
+        if found is None:
+            return self.tables.read("entries", self.ENTRIES).filter("NOT hidden")
+        index, covered = found
+        fresh = sorted(set(self.tables.appends("entries")) - set(covered))
+        since = self.tables.read("entries", self.ENTRIES, fresh).filter("NOT hidden")
+        return index.candidates(query).select(*since.columns).unionByName(since)
+
+    def entries(self, query: str | None = None) -> DataFrame:
+        """All visible entries (with a query: all that may hold one of its terms) with their present weights, in the stored line too.
+
+        Outcomes were folded in when they came: changed entries take the place of what they were, the others
+        are scanned as they are, unless more than CHANGED have changed.
         """
-        rows = self._read("entries", self.ENTRIES).filter("NOT hidden")
-        events = self._read("events", self.EVENTS)
-        if events.isEmpty():
+        rows, changed = self._rows(query), self._changed()
+        if changed is None:
             return rows
-        ship(self.spark)
-        changed = written(changes(rows, events, exact).withColumn("raw", reweighted("raw", "weight", "_at")).withColumn("raw_lc", F.lower("raw")).drop("_at"))
         keys = changed.select("append", "line_no")
         keys = F.broadcast(keys) if changed.count() <= CHANGED else keys
         return rows.join(keys, ["append", "line_no"], "left_anti").unionByName(changed)
 
+    def _changed(self) -> DataFrame | None:
+        """Changed entries as they are now, under their own appends; none if nothing has changed."""
+        versions = self.tables.appends("changed")
+        if not versions:
+            return None
+        rows = self.tables.read("changed", self.CHANGES, versions)
+        if len(versions) > 1:
+            last = rows.groupBy("of", "line_no").agg(F.max("append").alias("append"))
+            rows = rows.join(few(last), ["of", "line_no", "append"], "left_semi")
+        return rows.drop("append").withColumnRenamed("of", "append")
+
+    def put_changed(self, ordered: DataFrame, exact: bool = False, version: str | None = None) -> DataFrame:
+        """Writes the entries that outcomes (``in_order``: all of these ids, since the log began) change; returns them."""
+        ship(self.spark)
+        new = changes(self._rows(), ordered, exact).withColumn("raw", reweighted("raw", "weight", "_at")).withColumn("raw_lc", F.lower("raw"))
+        version = self.tables.put(new.withColumnRenamed("append", "of").select(*[c.split()[0] for c in self.CHANGES.split(", ")]), "changed", append=version)
+        return self.tables.read("changed", self.CHANGES, [version])
+
     def search(self, query: str, now: Column, **options: object) -> DataFrame:
-        return search(self.entries(), query, now, **options)
+        return search(self.entries(query), query, now, **options)
 
     def search_batch(self, queries: DataFrame, now: Column, **options: object) -> DataFrame:
         return search_batch(self.entries(), queries, now, **options)
 
     def counts(self) -> DataFrame:
-        return counts(self._read("entries", self.ENTRIES).filter("NOT hidden"))
+        return counts(self._rows())
 
     def total(self) -> int:
         return self.counts().agg(F.sum("entries")).first()[0]
 
-    def adjust(self, events: DataFrame, now: Column | None = None) -> DataFrame:
-        """Records outcomes (tier, id, task_score in [0, 1], seq) and returns the entries they change, with their new weights; of no row: no such id."""
+    def adjust(self, events: DataFrame, now: Column | None = None, exact: bool = False) -> DataFrame:
+        """Records outcomes (tier, id, task_score in [0, 1], seq), writes the entries they change and returns these, with their new weights; of no row: no such id.
+
+        All outcomes of the ids are taken in order of seq, so late ones take their place. Of calls at once on
+        an id the one that read last has seen what the others recorded, and its version holds.
+        """
         bad = events.filter(~F.col("task_score").between(0, 1) | ~F.col("tier").isin(*TIERS))
         if not bad.isEmpty():
             raise ValueError("task_score must lie between 0 and 1 and tiers must exist")
-        known = self._read("entries", self.ENTRIES).select("tier", "id").distinct()
-        found = events.join(known, ["tier", "id"], "left_semi").withColumn("at", F.date_format(F.current_timestamp() if now is None else now, STAMP))
-        self._put(found.select("tier", "id", F.col("task_score").cast("double"), F.col("seq").cast("long"), "at"), "events")
-        return self.entries().join(events.select("tier", "id").distinct(), ["tier", "id"], "left_semi").select("tier", "id", "file", "weight", F.col("raw").alias("entry"))
+        known = self._rows().select("tier", "id").join(F.broadcast(few(events.select("tier", "id").distinct())), ["tier", "id"], "left_semi").distinct()
+        found = written(events.join(few(known), ["tier", "id"], "left_semi").withColumn("at", F.date_format(F.current_timestamp() if now is None else now, STAMP)))
+        self.tables.put(found.select("tier", "id", F.col("task_score").cast("double"), F.col("seq").cast("long"), "at"), "events")
+        version = stamp()  # before the outcomes are read
+        every = self.tables.read("events", self.EVENTS).join(few(found.select("tier", "id").distinct()), ["tier", "id"], "left_semi")
+        return self.put_changed(in_order(every), exact, version).select("tier", "id", "file", "weight", F.col("raw").alias("entry"))
+
+    def index(self) -> TrigramIndex:
+        """Makes an index of the entries so far, which searches then use; entries that come later are scanned until the next one."""
+        from .trigrams import TrigramIndex
+
+        covered, name = self.tables.appends("entries"), stamp()
+        made = TrigramIndex(self.spark, f"{self.root}/index/{name}").build(self.tables.read("entries", self.ENTRIES, covered).filter("NOT hidden"))
+        self.tables.put(self.spark.createDataFrame([(a,) for a in covered], "covered string").coalesce(1), "indexed", append=name)
+        return made
+
+    def _indexed(self) -> tuple[TrigramIndex, list[str]] | None:
+        """The last index that is done, and the appends it covers."""
+        from .trigrams import TrigramIndex
+
+        names = self.tables.appends("indexed")
+        if not names:
+            return None
+        return TrigramIndex(self.spark, f"{self.root}/index/{names[-1]}"), [r["covered"] for r in self.tables.read("indexed", "covered string", names[-1:]).collect()]
 
     def compact(self, to: str) -> MemoryLog:
-        """A new log elsewhere with the events folded into the weights."""
+        """A new log elsewhere, in one append, with the outcomes folded into the weights for good."""
         done = MemoryLog(self.spark, to)
-        n = self._number()
         rows = self.entries().orderBy("append", "line_no").withColumn("line_no", F.monotonically_increasing_id()).drop("append")
-        done._put(rows, "entries", "tier", "file", number=n)
-        fs, folder = done._files("appends")  # numbers go on after those of the entries that were kept
-        fs.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(folder, str(n)))
+        done.tables.put(rows, "entries", "tier", "file")
         return done
 
     def health(self) -> DataFrame:

@@ -27,21 +27,31 @@ def profile(docs: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def section_fields(parts: DataFrame) -> DataFrame:
+    """parts (date, part and any other columns) with title and body: the first line and the rest; a section of one line goes."""
+    body = F.expr("substring(part, length(substring_index(part, '\n', 1)) + 2)")
+    rows = parts.filter(F.contains("part", F.lit("\n")))
+    return rows.select(*(c for c in parts.columns if c != "part"), E.strip(F.substring_index("part", "\n", 1)).alias("title"), E.strip(body).alias("body"))
+
+
 def sections(logs: DataFrame) -> DataFrame:
     """date, n (from 1), title and body of each second-level section of Markdown logs (date, content).
 
     What comes before the first one goes, and so does a section of one line.
     """
     parts = F.split("content", "\n## ", -1)
-    rows = logs.select("date", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("n", "part")).filter(F.contains("part", F.lit("\n")))
-    body = F.expr("substring(part, length(substring_index(part, '\n', 1)) + 2)")
-    return rows.select("date", (F.col("n") + 1).alias("n"), E.strip(F.substring_index("part", "\n", 1)).alias("title"), E.strip(body).alias("body"))
+    rows = logs.select("date", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("n", "part"))
+    return section_fields(rows.withColumn("n", F.col("n") + 1))
+
+
+def experiences(found: DataFrame, tag: str) -> DataFrame:
+    """Payload columns of sections (date, title, body): at noon of the day, the body clipped to 200 characters."""
+    return found.select(F.concat("date", F.lit("T12:00:00Z")).alias("ts"), F.lit("observation").alias("type"), "title", E.clip(F.col("body"), 200).alias("outcome"), F.array(F.lit(tag), F.col("date")).alias("tags"), *(c for c in ("n",) if c in found.columns))
 
 
 def log_experiences(logs: DataFrame, tag: str = "migrated") -> DataFrame:
-    """Payload columns of the experiences in daily logs: at noon of the day, the body clipped to 200 characters."""
-    s = sections(logs)
-    return s.select(F.concat("date", F.lit("T12:00:00Z")).alias("ts"), F.lit("observation").alias("type"), "title", E.clip(F.col("body"), 200).alias("outcome"), F.array(F.lit(tag), F.col("date")).alias("tags"), "n")
+    """Payload columns of the experiences in daily logs."""
+    return experiences(sections(logs), tag)
 
 
 def pending(rows: DataFrame, migrated: DataFrame, source: str, limit: int | None = None, order: str = "id") -> DataFrame:

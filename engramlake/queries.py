@@ -9,10 +9,15 @@ from . import adapters as A
 from .functions import expr as E
 from .model import DECAY, INITIAL_WEIGHTS
 from .operators import disclosure, ingest, memory
+from .operators.hierarchy import Hierarchy, directories
+from .operators.shelves import Shelves
+from .operators.trigrams import TrigramIndex
+from .operators.vectors import VectorIndex
 from .plans import etl
 from .session import scratch
 from .sources import corpus, jsonl
 from .streaming.append import append_stream, streamed
+from .streaming.weights import weights_stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -98,6 +103,29 @@ def k1_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.search_batch(A.event_entries(spark, sf_dir), q, A.now(), 10)
 
 
+@query(f"""WITH {_ENTRIES}, s AS (SELECT *, ({_hits(['evt-77', 'nowhere'])}) / 2.0::DOUBLE * weight * recency AS u FROM aged)
+SELECT tier, e_type AS type, raw AS entry, {_round('u')} AS score, line_no FROM s WHERE u > 0 ORDER BY u DESC, {_ORD} LIMIT 100""")
+def k1_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for words of three characters or more, which reads the pages that the trigram index names."""
+    index = TrigramIndex(spark, scratch(spark)).build(A.event_entries(spark, sf_dir))
+    return index.search("evt-77 nowhere", A.now(), limit=100)
+
+
+@query(ORACLES["k1_search_batch"])
+def k1_search_batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch by the trigram index; queries with shorter words by a scan."""
+    i = F.expr("vec_id div 100")
+    text = F.when(i % 4 == 0, F.concat(F.lit("click by user "), i.cast("string"))).when(i % 4 == 1, "signup fact").when(i % 4 == 2, "error error failure").otherwise(F.concat(F.lit('"k": '), i.cast("string")))
+    q = A.table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), text.alias("query"))
+    return TrigramIndex(spark, scratch(spark)).build(A.event_entries(spark, sf_dir)).search_batch(q, A.now(), 10)
+
+
+@query(ORACLES["k1_search"])
+def k1_search_early(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over shelves of a like weight and time, read until no other can hold a result."""
+    return Shelves(spark, scratch(spark)).build(A.event_entries(spark, sf_dir), shelf=2000).search(_SEARCH, A.now(), limit=50)
+
+
 @query(f"WITH {_ENTRIES} SELECT id, {_round('recency', 8)} AS recency FROM aged")
 def k1_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.event_entries(spark, sf_dir).select("id", E.half_up(E.recency(F.col("ts"), A.now()), 8).alias("recency"))
@@ -182,6 +210,28 @@ def k1_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.entries().select("id", "weight", "raw")
 
 
+@query(f"WITH {_LOG} SELECT id, CASE k % 3 WHEN 0 THEN 0.891::DOUBLE WHEN 1 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM c")
+def k1_adjust_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes that come as a stream, in two runs: the second brings an earlier one late and others again."""
+    log, inbox = _appended(spark, sf_dir), scratch(spark)
+    key = [F.lit("semantic").alias("tier"), F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("id")]
+    c = A.table(spark, sf_dir, "customer").filter("c_custkey % 3 < 2")
+    first = c.select(*key, F.lit(0.9).alias("task_score"), F.lit(5).cast("long").alias("seq"), F.lit("2024-02-15").alias("at"))
+    late = c.filter("c_custkey % 3 = 0").select(*key, F.explode(F.array(F.struct(F.lit(0.1).alias("task_score"), F.lit(2).cast("long").alias("seq")), F.struct(F.lit(0.1).alias("task_score"), F.lit(9).cast("long").alias("seq")))).alias("e"), F.lit("2024-02-16").alias("at"))
+    for n, events in enumerate((first, late.select("tier", "id", "e.task_score", "e.seq", "at").unionByName(first))):
+        events.write.parquet(f"{inbox}/day={n}")
+        weights_stream(log, f"{inbox}/day=*").awaitTermination()
+    return log.entries().select("id", "weight")
+
+
+@query(f"WITH {_ENTRIES} SELECT count(*)::BIGINT AS total FROM entries")
+def k1_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries, as a log's health gives them."""
+    log = memory.MemoryLog(spark, scratch(spark))
+    log.write(A.event_entries(spark, sf_dir))
+    return log.health().select("total")
+
+
 @query(f"WITH {_ENTRIES} SELECT tier, file, id, (1 + row_number() OVER (PARTITION BY tier, file ORDER BY line_no))::BIGINT AS line_no FROM entries")
 def k1_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Physical line numbers of files, each of which begins with a header."""
@@ -240,6 +290,13 @@ def k2_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.nearest(A.vectors(spark, sf_dir), A.vector_queries(spark, sf_dir), 10)
 
 
+@query(ORACLES["k2_vector_topk"])
+def k2_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index, which leaves out the lists that can't hold a result."""
+    v = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return VectorIndex(spark, scratch(spark)).build(v).search(A.vector_queries(spark, sf_dir), 10, exact=True)
+
+
 @query(f"WITH {_DOCS}, inside AS (SELECT cos.* FROM cos JOIN lv USING (doc_id) JOIN q USING (query_id) WHERE directory IS NULL OR starts_with(hierarchy_path, directory)) SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM {_hits_sql(10, 1.0, 'inside')}")
 def k2_vector_topk_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = A.vectors(spark, sf_dir).join(A.document_levels(spark, sf_dir).select("doc_id", "hierarchy_path"), "doc_id")
@@ -308,6 +365,21 @@ def k2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.by_hierarchy(A.document_levels(spark, sf_dir), "/EN/src1").select("doc_id", "hierarchy_path")
 
 
+@query("""WITH p AS (SELECT '/' || lang || '/' || source AS path, length(text) // 4 AS t FROM documents), a AS (SELECT path, t FROM p UNION ALL SELECT regexp_extract(path, '^/[^/]*'), t FROM p UNION ALL SELECT '', t FROM p),
+g AS (SELECT path, count(*)::BIGINT AS documents, sum(t)::BIGINT AS tokens FROM a GROUP BY path), o AS (SELECT *, (row_number() OVER (ORDER BY string_split(path, '/')) - 1)::BIGINT AS pre FROM g)
+SELECT o.path, documents, tokens, pre, (pre + (SELECT count(*) FROM g WHERE g.path = o.path OR starts_with(g.path, o.path || '/')) - 1)::BIGINT AS last FROM o""")
+def k2_ancestor_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens at or below every directory, with its interval."""
+    return directories(A.document_levels(spark, sf_dir).select("hierarchy_path", "l2_tokens")).select("path", "documents", "tokens", "pre", "last")
+
+
+@query("SELECT doc_id, '/' || lang || '/' || source AS hierarchy_path FROM documents WHERE lang = 'en'")
+def k2_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents below a directory, as a range of numbers."""
+    tree = Hierarchy(spark, scratch(spark)).build(A.document_levels(spark, sf_dir).select("doc_id", "hierarchy_path", "l2_tokens"))
+    return tree.subtree("/en/").select("doc_id", "hierarchy_path")
+
+
 @query("SELECT doc_id, true AS is_stale, 'content changed' AS stale_reason FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 13 = 0")
 def k2_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checksums of texts as they were: every thirteenth had a line more."""
@@ -369,6 +441,18 @@ def k2_stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.nearest(store.vectors(), A.vector_queries(spark, sf_dir), 10).select("query_id", "rank", "doc_id", "score")
 
 
+@query(f"""WITH e AS (SELECT doc_id AS i, CASE WHEN doc_id % 13 = 0 THEN text || chr(10) || 'more' ELSE text END AS text FROM documents)
+SELECT i::VARCHAR AS doc_id, (length(text) // 4)::INTEGER AS l2_token_count, sha256(text) AS l2_checksum, text AS content FROM e""")
+def k2_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and texts from a snapshot, and those replaced twice since, on top."""
+    store, again = ingest.DocumentStore(spark, scratch(spark)), _doc_rows(spark, sf_dir, changed=True).withColumn("doc_id", F.substring_index("doc_id", "-", -1))
+    store.ingest(_doc_rows(spark, sf_dir))
+    store.compact()
+    store.ingest(again.withColumn("content", F.lit("in between")))
+    store.ingest(again)
+    return store.documents().select("doc_id", "l2_token_count", "l2_checksum", "l2_file_path").join(store.contents(), "l2_file_path").drop("l2_file_path")
+
+
 _ASKED = {"l0": ("State in one sentence what this document is about, what it concludes and what sets it apart.", 12000), "l1": ("Write a dense overview in Markdown: purpose, key points, metrics, relations, use.", 16000)}
 
 

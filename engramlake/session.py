@@ -6,6 +6,8 @@ import tempfile
 import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,17 +35,37 @@ def _shared(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/engramlake-{spark.sparkContext.applicationId}"
 
 
+_SCOPE = threading.local()
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a table in between."""
-    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+    """A new folder for a table in between, within the scope that this thread is in."""
+    inner = getattr(_SCOPE, "name", None)
+    return "/".join([_shared(spark), *([inner] if inner else []), uuid.uuid4().hex])
 
 
-def clean(spark: SparkSession) -> None:
-    """Deletes all tables in between of this application: for when its results so far are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_shared(spark))
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables in between that this thread makes within are deleted at the end, those of other queries that run are not. Results must be written by then."""
+    outer = getattr(_SCOPE, "name", None)
+    _SCOPE.name = f"{outer}/{uuid.uuid4().hex}" if outer else f"scope-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        _delete(spark, f"{_shared(spark)}/{_SCOPE.name}")
+        _SCOPE.name = outer
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables in between of this application, whichever query made them; ``scope`` spares others."""
+    _delete(spark, _shared(spark))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends here and lost executors lose nothing."""
     path = scratch(df.sparkSession)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import title_case
+from .arrays import json_array
 
 
 def markdown(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
@@ -20,11 +21,9 @@ def dated_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def json_export(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Rows of a file that holds one JSON array, as text columns ``raw`` so that absent and null keys stay apart, or by a schema."""
-    if schema:
-        return spark.read.json(path, schema=schema, multiLine=True)
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("raw"))
-    return whole
+    """Rows of files that hold a JSON array each, as text columns ``raw`` so that absent and null keys stay apart, or by a schema. A file may be of any size; see ``arrays.json_array``."""
+    raw = json_array(spark, path).select("raw")
+    return raw.select(F.from_json("raw", schema).alias("_x")).select("_x.*") if schema else raw
 
 
 def current_facts(facts: DataFrame) -> DataFrame:
