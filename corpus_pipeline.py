@@ -17,10 +17,24 @@ def _rows(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("row.*").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _hash(seed: int, *columns: F.Column) -> F.Column:
+    return F.xxhash64(F.lit(seed), *columns)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Every row as struct ``row``, with doc_id and ``key``, a hash of doc_id and text that is never null."""
+    """Every row as struct ``row``, with doc_id and ``key``, which is never null and tells rows of different doc_id or text apart.
+
+    Keys have 64 bits, so among very many rows some unlike ones meet; a second hash finds these, and
+    they get keys of it instead.
+    """
     i = F.col("doc_id").cast("long")
-    return docs.select(F.struct("*").alias("row"), i.alias("doc_id"), F.xxhash64(i.isNull(), i, F.col("text").isNull(), "text").alias("key"))
+    content = [i.isNull(), i, F.col("text").isNull(), F.col("text")]
+    rows = docs.select(F.struct("*").alias("row"), i.alias("doc_id"), _hash(0, *content).alias("key"), _hash(1, *content).alias("other"))
+    met = written(rows.groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b").select("key", F.lit(True).alias("met")))
+    if met.isEmpty():
+        return rows.drop("other")
+    apart = rows.join(few(met), "key", "left")
+    return apart.select("row", "doc_id", F.when(F.col("met"), _hash(2, F.col("other"))).otherwise(F.col("key")).alias("key"))
 
 
 def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
