@@ -36,6 +36,8 @@ LIMIT = 2048
 END, TAIL = "</w>", 64
 #: Words whose steps a worker remembers before it starts anew, their most code points, the code points looked at and the bytes of steps returned at a time.
 REMEMBERED, SHORT, PART, BATCH_BYTES = 400_000, 64, 1 << 20, 16_000_000
+#: Beginnings of words of so many characters, which many words share, are kept too.
+ROOT = 8
 LETTER, NUMBER, OTHER = "letter", "number", "other"
 
 
@@ -53,6 +55,9 @@ class Merges:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.split = {a + b: (a, b, i) for i, (a, b) in enumerate(pairs)}
+        self.onto: dict[str, dict[str, int]] = {}
+        for (a, b), i in self.rank.items():
+            self.onto.setdefault(a, {})[b] = i
         if len(self.split) < len(pairs) or any(self.split[x][2] >= i for i, p in enumerate(pairs) for x in p if x in self.split):
             raise ValueError("tokens must be made by one merge each, of tokens made before")
         self._edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
@@ -64,7 +69,12 @@ class Merges:
         for t, (x, y, _) in self.split.items():  # by rank
             if self._kept(x) and self._kept(y) and not any(m < self.rank[x, y] for m in self._crossing(x, y)):
                 self._keep(t)
-        self.longest = max(map(len, self.whole[""] | self.whole[END]))
+        #: Of every end of such a token: 1 if it is one itself where the word goes on, 2 if it is one where it ends.
+        self.kinds: dict[str, int] = {}
+        for bit, tokens in ((1, self.whole[""]), (2, self.whole[END])):
+            for t in tokens:
+                for i in range(len(t)):
+                    self.kinds[t[i:]] = self.kinds.get(t[i:], 0) | (bit if not i else 0)
         self.known: dict[tuple[str, str], bool] = {}
 
     def _kept(self, token: str) -> bool:
@@ -89,13 +99,17 @@ class Merges:
             self._edges[key] = out
         return self._edges[key]
 
-    def _crossing(self, left: str, right: str) -> Iterator[int]:
+    def _crossing(self, left: str, right: str) -> list[int]:
         """Ranks of merges that cross the border of two tokens before either has taken in what they need. One of equal rank within the left token comes first, one within the right token later."""
+        out, ends = [], self.edge(right, 0)
         for a, before in self.edge(left, 1):
-            for b, after in self.edge(right, 0):
-                m = self.rank.get((a, b))
-                if m is not None and m < before and m <= after:
-                    yield m
+            then = self.onto.get(a)
+            if then is not None:
+                for b, after in ends:
+                    m = then.get(b)
+                    if m is not None and m < before and m <= after:
+                        out.append(m)
+        return out
 
     def follows(self, left: str, right: str) -> bool:
         """Whether two tokens in turn are the encoding of their characters: no merge crosses their border."""
@@ -104,27 +118,31 @@ class Merges:
         if got is None:
             if len(self.known) >= 2 * REMEMBERED:
                 self.known.clear()
-            got = self.known[key] = next(self._crossing(left, right), None) is None
+            got = self.known[key] = not self._crossing(left, right)
         return got
 
 
     def step(self, text: str, before: Callable) -> tuple[str, int, int]:
         """The last token of a part of a word and the number of tokens, if the word goes on; the number if it ends here.
 
-        ``before`` gives the same of the first so many characters of the text. Exactly one of the tokens that end here may follow.
+        ``before`` gives the same of the first so many characters of the text. Exactly one of the tokens that
+        end here may follow; ever longer ends are looked up until none of the tokens ends so.
         """
-        plain, final, known, at = self.whole[""], self.whole[END], self.known, len(text)
+        kinds, known, at = self.kinds, self.known, len(text)
         last, count, total = None, 0, 0
-        for start in range(at - self.longest if at > self.longest else 0, at):
+        for start in range(at - 1, -1, -1):
             token = text[start:]
-            if last is None and token in plain:
+            kind = kinds.get(token)
+            if kind is None:
+                break
+            if kind & 1 and last is None:
                 left = before(start)
                 ok = known.get((left[0], token)) if start else True
                 if ok or (ok is None and self.follows(left[0], token)):
                     last, count = token, left[1] + 1
                     if total:
                         break
-            if not total and token in final:
+            if kind & 2 and not total:
                 left = before(start)
                 ok = known.get((left[0], token + END)) if start else True
                 if ok or (ok is None and self.follows(left[0], token + END)):
@@ -325,19 +343,22 @@ class Steps:
         if len(nodes) >= REMEMBERED:
             nodes.clear()
         letters = word if word.isascii() and word.isprintable() else self._bytes(word)
-        text, done = letters, len(letters)
-        while done and text not in nodes:
+        done = min(len(letters), ROOT)
+        while done and letters[:done] not in nodes:
             done -= 1
-            text = letters[:done]
+        states = [_START, *(nodes[letters[:k]] for k in range(1, done + 1))]
         ends = () if letters is word else set(accumulate(len(c.encode()) for c in word))
-        total, steps = nodes[text][2:] if done else (0, b"")  # within a code point: those of the ones before it
+        total, steps = (states[-1][2], states[-1][3]) if done else (0, b"")  # within a code point: those of the ones before it
+        step, get = self.merges.step, states.__getitem__
         for at in range(done + 1, len(letters) + 1):
             text = letters[:at]
-            last, count, final = self.merges.step(text, lambda k: nodes[letters[:k]] if k else _START)
+            last, count, final = step(text, get)
             if not ends or at in ends:
                 steps += STEP.pack(final - total)
                 total = final
-            nodes[text] = last, count, total, steps
+            states.append((last, count, total, steps))
+            if at <= ROOT:
+                nodes[text] = states[-1]
         return steps
 
     def _remember(self, part: str, read: Callable) -> bytes:
