@@ -74,7 +74,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
     """doc_id, item_id, n_item_words, n_covered, n_tiles and coverage of each pair whose tiles cover enough of the item.
 
     Items of equal words are one, under their smallest item_id; items without words and null texts match
-    nothing. Items shorter than seed words are found whole. Repeated rows of docs give repeated rows.
+    nothing. Items shorter than seed words are found whole. Repeated rows of docs give repeated rows, empty
+    tables none. A very long text is looked through whole, in memory that grows with its words.
     """
     spark = docs.sparkSession
 

@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line with words, or up to SPAN such lines in a row with at most WRAP words more than the
-template, so that a wrapped notice is found. It matches a template when it holds at least THRESHOLD
+A block is a line with words, or any number of such lines in a row with at most WRAP words more than the
+template, so that a wrapped notice is found however narrow its column. It matches a template when it holds at least THRESHOLD
 of the template's distinct words. Tokens are ordered by their frequency in the whole corpus, rarest
 first. A match has one of a template's first ``size - need + 1`` tokens (prefix filter), as many
 template words as are needed (length filter), and enough tokens of both left after the first shared
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, text_hash, written
+from .common import ascii_lower, once, sums_before, table, text_hash, written
 
 #: Base phrases and their labels (fixed by the contract).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -39,8 +39,8 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 THRESHOLD = 0.8
-#: Lines of a block of several, and its words beyond the template's: what stands before and after a notice in its first and last line.
-SPAN, WRAP = 6, 32
+#: Words of a block of several lines beyond the template's: what stands before and after a notice in its first and last line.
+WRAP = 32
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -90,10 +90,11 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame
     )
 
 
-def template_matches(rows: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def template_matches(rows: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, wrap: int | None = WRAP) -> DataFrame:
     """doc_id, text_hash, line (the block's first, of those with words, from 0), n_lines, label and containment of every block of ``scanned`` rows that meets the threshold.
 
-    Templates without words are left out. Counts the templates' tokens over all lines first, one row a token.
+    Templates without words are left out. A block of several lines has at most ``wrap`` words more than the
+    template has distinct ones (null: any number, so that all stretches of lines around a shared token are looked at). Counts the templates' tokens over all lines first, one row a token.
     """
     sets = token_sets(templates)
     spark = rows.sparkSession
@@ -108,24 +109,34 @@ def template_matches(rows: DataFrame, templates: dict[str, str] = TEMPLATES, thr
     full = F.broadcast(spark.createDataFrame(list(order.items()), "label string, template array<string>"))
     lead = F.array(*map(F.lit, rarest({p[0] for p in prefixes})))
     every = F.array(*map(F.lit, rarest({t for s in sets.values() for t in s})))
-    # lines with a prefix token, with the lines around them that a block can have
-    with_lead = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.arrays_overlap(F.get("lines", i)["known"], lead))
-    around = lambda i: F.slice("lines", F.greatest(i - (SPAN - 2), F.lit(1)), SPAN + F.least(i, F.lit(SPAN - 1)))
-    spots = rows.filter(F.exists("lines", lambda x: F.arrays_overlap(x["known"], lead)))
-    spots = spots.select("doc_id", "text_hash", F.explode(F.transform(with_lead, lambda i: F.struct(i.alias("line"), F.least(i, F.lit(SPAN - 1)).alias("at"), around(i).alias("near")))).alias("s")).select("doc_id", "text_hash", "s.*")
+    # lines with a prefix token, with the lines around them that a block can have: each has a word at least
+    most = 2**31 - 1 if wrap is None else wrap + max(map(len, sets.values()))
+    spots = rows.select("doc_id", "text_hash", "lines").filter(F.exists("lines", lambda x: F.arrays_overlap(x["known"], lead)))
+    spots = once(spots, _n=F.transform("lines", lambda x: x["n"].cast("long")))
+    spots = once(spots, _before=sums_before("_n"))
+    spots = once(spots, _after=F.zip_with("_before", "_n", lambda x, n: x + n))
+    top = F.size("lines") - 1
+    with_lead = F.filter(F.sequence(F.lit(0), top), lambda i: F.arrays_overlap(F.get("lines", i)["known"], lead))
+    words = lambda i, k: F.get("_after", k) - F.get("_before", i)
+    first = lambda i: F.array_min(F.filter(F.sequence(F.greatest(i - most, F.lit(0)), i), lambda k: (k == i) | (words(k, i) <= most)))
+    last = lambda i: F.array_max(F.filter(F.sequence(i, F.least(F.lit(most).cast("long") + i, top.cast("long")).cast("int")), lambda k: (k == i) | (words(i, k) <= most)))
+    spots = spots.select("doc_id", "text_hash", "lines", "_before", "_after", F.explode(F.transform(with_lead, lambda i: F.struct(i.alias("line"), first(i).alias("low"), last(i).alias("high")))).alias("s"))
+    near = lambda c: F.transform(F.sequence("s.low", "s.high"), lambda k: F.get(c, k))
+    spots = spots.select("doc_id", "text_hash", "s.line", (F.col("s.line") - F.col("s.low")).alias("at"), near("lines").alias("near"), near("_before").alias("before"), near("_after").alias("after"))
     probes = spots.select("*", F.explode(F.array_intersect(lead, F.get("near", F.col("at"))["known"])).alias("token")).join(index, "token")
-    # blocks that hold the line: from ``back`` lines before it, n_lines long
-    spans = F.array(*(F.struct(F.lit(b).alias("back"), F.lit(n).alias("n_lines")) for n in range(1, SPAN + 1) for b in range(n)))
-    blocks = probes.select("*", F.inline(spans)).filter((F.col("back") <= F.col("at")) & (F.col("at") - F.col("back") + F.col("n_lines") <= F.size("near")))
-    blocks = blocks.withColumn("block", F.slice("near", F.greatest(F.col("at") - F.col("back") + 1, F.lit(1)), F.col("n_lines"))).drop("near")
-    words = F.aggregate("block", F.lit(0), lambda acc, x: acc + x["n"])
-    blocks = blocks.filter((F.col("n_lines") == 1) | (words <= F.col("size") + WRAP))
+    # blocks that hold the line, by their first and last line among those near
+    fits = lambda i, k: (i == k) | (F.get("after", k) - F.get("before", i) <= (F.lit(2**62) if wrap is None else F.col("size") + wrap))
+    ends = lambda i: F.filter(F.sequence(F.col("at"), F.size("near") - 1), lambda k: fits(i, k))
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.col("at")), lambda i: F.transform(ends(i), lambda k: F.struct(i.alias("first"), k.alias("last")))))
+    blocks = probes.select("*", F.inline(spans))
+    block = F.transform(F.sequence("first", "last"), lambda k: F.get("near", k))
+    blocks = blocks.select("doc_id", "text_hash", (F.col("line") - F.col("at") + F.col("first")).alias("line"), (F.col("last") - F.col("first") + 1).alias("n_lines"), "label", "token", "place", "size", "need", block.alias("block"))
     # the block's tokens, rarest first; length and positional filter, then verification at the first shared token
     tokens = blocks.select("*", F.array_intersect(every, F.flatten(F.transform("block", lambda x: x["known"]))).alias("tokens")).filter(F.size("tokens") >= F.col("need"))
     left = 1 + F.least(F.size("tokens") - F.array_position("tokens", F.col("token")), F.col("size") - F.col("place"))
     shared = tokens.filter(left >= F.col("need")).join(full, "label").select("*", F.array_intersect("template", "tokens").alias("shared"))
     checked = shared.filter((F.get("shared", F.lit(0)) == F.col("token")) & (F.size("shared") >= F.col("need")))
-    return checked.select("doc_id", "text_hash", (F.col("line") - F.col("back")).alias("line"), "n_lines", "label", (F.size("shared") / F.col("size")).alias("containment")).distinct()
+    return checked.select("doc_id", "text_hash", "line", "n_lines", "label", (F.size("shared") / F.col("size")).alias("containment")).distinct()
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -133,7 +144,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
 
     Base phrases are found word by word in the whole text, templates by ``template_matches``. The score
     is 1 with a base phrase, else the highest containment, else 0. Null and empty texts have no words;
-    rows that share doc_id and text have equal results.
+    rows that share doc_id and text have equal results, and an empty table gives no rows. Very long texts are
+    looked through whole.
     """
     base = written(scanned(docs, templates))
     best = template_matches(base, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
@@ -166,6 +178,7 @@ def _sql() -> str:
         words = p.split()
         same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
         places.append(f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: {same})) - 1 AS place FROM w")
+    most = WRAP + max(map(len, token_sets(TEMPLATES).values()))
     templates = ", ".join(f"('{k}', string_split('{v}', ' '))" for k, v in TEMPLATES.items())
     return f"""
 WITH w AS (SELECT doc_id, {split("coalesce(text, '')")} AS w FROM documents),
@@ -174,8 +187,8 @@ b AS (SELECT doc_id, count(*)::BIGINT AS n_base, min(place)::BIGINT AS first_wor
 t AS (SELECT label, list_distinct(tokens) AS tokens FROM (VALUES {templates}) v(label, tokens)),
 l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda y: {split('y')}), lambda z: len(z) > 0) AS lines FROM documents),
 g AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l),
-n AS (SELECT doc_id, lines, i, unnest(range(1, {SPAN + 1})) AS s FROM g),
-k AS (SELECT doc_id, s, flatten(lines[i:i + s - 1]) AS words FROM n WHERE i + s - 1 <= len(lines)),
+n AS (SELECT doc_id, lines, i, unnest(range(1, {most} + 1)) AS s FROM g),
+k AS (SELECT doc_id, s, flatten(lines[i:i + s - 1]) AS words FROM n WHERE i + s - 1 <= len(lines) AND (s = 1 OR list_sum(list_transform(lines[i:i + s - 1], lambda y: len(y))) <= {most})),
 m AS (SELECT doc_id, label, len(list_intersect(tokens, words)) / len(tokens) AS containment, len(list_intersect(tokens, words)) >= ceil({THRESHOLD}::DOUBLE * len(tokens) - 1e-9) AS hit FROM k, t WHERE s = 1 OR len(words) <= len(tokens) + {WRAP}),
 h AS (SELECT doc_id, label, containment FROM m WHERE hit),
 every AS (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM h),

@@ -273,7 +273,8 @@ FRAME = "frame_no int, delay_ms int, disposal int, width int, height int, pixels
 def gif_frames(media: DataFrame, key: str = "media_id", content: str = "content") -> DataFrame:
     """A row for each frame of each GIF: key, frame_no, delay_ms, disposal, width, height, pixels (the shown canvas in RGBA) and the colour histograms red, green and blue.
 
-    What isn't a GIF, and null, has no frames.
+    What isn't a GIF, and null, has no frames; one that breaks off keeps the frames before. Repeated rows repeat,
+    an empty table gives none; frames are made one at a time, so a long GIF holds one canvas.
     """
     kind = media.schema[key].dataType.simpleString()
 

@@ -4,7 +4,9 @@ import time
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline as pipeline
 from engramlake.llm import common
+from engramlake.llm import op1_licenses as L
 from engramlake.llm import op2_pii as P
 from engramlake.llm import op8_lines as D
 
@@ -46,3 +48,21 @@ def test_many_dropped_lines_in_one_document(spark):
 
     few, many = seconds(lambda: dropped(20_000)), seconds(lambda: dropped(200_000))
     assert many < 10 * max(few, 0.5)
+
+
+def test_unlike_rows_whose_keys_meet_are_told_apart(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine ten eleven twelve"), (2, "seven eight nine ten eleven twelve"), (None, None)], DOCS)
+    whole = pipeline._hash
+    monkeypatch.setattr(pipeline, "_hash", lambda seed, *c: F.lit(7).cast("long") if seed == 0 else whole(seed, *c))
+    assert pipeline._keyed(docs).select("key").distinct().count() == 3
+    assert sorted(str(r.doc_id) for r in pipeline.near_dedup(spark, docs, "").collect()) == ["1", "2", "None"]
+
+
+def test_a_notice_in_a_column_of_any_width(spark):
+    words = L.TEMPLATES["mit-notice"].split()
+    docs = [(w, "before this\n" + "\n".join(" ".join(words[i : i + w]) for i in range(0, len(words), w)) + "\nafter that") for w in (1, 2, 3, 4, 8, 27)]
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan_licenses(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {w: ("mit-notice", 1.0) for w, _ in docs}
+    far = "\n".join(x + " other" * 40 for x in words)
+    rows = L.scanned(spark.createDataFrame([(1, far)], DOCS))
+    assert L.template_matches(rows).count() == 0 and L.template_matches(rows, wrap=None).filter("containment = 1").count() > 0

@@ -74,7 +74,7 @@ def test_template_join_is_exact(spark):
     for i, t in docs:
         lines = [line.split() for line in t.split("\n") if line.split()]
         for b in range(len(lines)):
-            for n in range(1, min(L.SPAN, len(lines) - b) + 1):
+            for n in range(1, len(lines) - b + 1):
                 block = [w for line in lines[b : b + n] for w in line]
                 for k, v in templates.items():
                     s = set(v.split())
@@ -89,7 +89,7 @@ def test_wrapped_notices_are_found(spark):
     wrap = lambda n, gap="\n": gap.join(" ".join(words[i : i + n]).capitalize() for i in range(0, len(words), n))
     docs = [(1, wrap(9)), (2, f"Copyright (c) someone.\n# {wrap(7, chr(10) + '# ')}, or later.\nEnd"), (3, wrap(1)), (4, wrap(9).replace("\n", "\n" + " other words" * 30 + "\n"))]
     got = {x.doc_id: (x.labels, x.score) for x in L.scan_licenses(rows(spark, docs)).collect()}
-    assert got[1][0] == got[2][0] == "gpl,gpl-notice" and "gpl-notice" not in got[3][0] + got[4][0]
+    assert got[1][0] == got[2][0] == got[3][0] == "gpl,gpl-notice" and "gpl-notice" not in got[4][0]
 
 
 # --- personal data
