@@ -24,7 +24,10 @@ def render_prompt(level: str, title: Column, path: Column, doc_type: Column, con
 
 
 def extractive(title: Column, path: Column, doc_type: Column, content: Column) -> tuple[Column, Column]:
-    """The default summariser, without a model: no abstract of its own (the fallback stands in), and as overview headings and first sentences."""
+    """The default summariser, without a model: no abstract of its own (the fallback stands in), and as overview headings and first sentences.
+
+    An overview ends at 4 x L1_OUTPUT characters, the most tokens that a model is asked for, be that within a section. ``central.central`` is another one.
+    """
     return F.lit(""), F.substring(E.extract(title, content), 1, 4 * L1_OUTPUT)
 
 
