@@ -35,7 +35,7 @@ def centrality(found: list[str]) -> np.ndarray:
     n = len(found)
     words: dict[str, int] = {}
     lists = [sorted({words.setdefault(w, len(words)) for w in _WORD.findall(s.lower())}) for s in found]
-    size = np.array([len(x) for x in lists])
+    size = np.array([len(x) for x in lists], np.int64)
     row, column = np.repeat(np.arange(n), size), np.concatenate([np.array(x, np.int64) for x in lists]) if n else np.zeros(0, np.int64)
     weight = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
 
