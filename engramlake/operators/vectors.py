@@ -25,8 +25,9 @@ from ..session import ship, written
 from .disclosure import nearest, with_norms
 from .memory import query_blocks
 
-#: Vectors that centres are fitted on, the most centres, and the lists that a search reads for a query.
-SAMPLE, CELLS, PROBES = 65_536, 4096, 24
+#: Vectors that centres are fitted on, the most centres, and the lists that a search reads for a query by default: at least so many, and this share of all.
+#: Vectors that hardly lie in clusters need the share for a recall of 0.9; of those that do, a few lists are enough.
+SAMPLE, CELLS, PROBES, SHARE = 65_536, 4096, 24, 0.55
 #: Vectors of a list that one task writes; a list may hold any share of all vectors.
 LIST_ROWS = 1_000_000
 #: Scores are rounded to six places before they are compared.
@@ -116,14 +117,14 @@ class VectorIndex:
         kind = queries.schema["query_id"].dataType.simpleString()
         return queries.select("query_id", F.col("embedding").cast("array<double>")).mapInArrow(run, f"query_id {kind}, cell int, place int, bound double")
 
-    def search(self, queries: DataFrame, top_k: int = TOP_K[2], probes: int = PROBES, exact: bool = False, directory: bool = False, stretch: float = 1.0) -> DataFrame:
+    def search(self, queries: DataFrame, top_k: int = TOP_K[2], probes: int | None = None, exact: bool = False, directory: bool = False, stretch: float = 1.0) -> DataFrame:
         """query_id, doc_id, score and rank, as ``disclosure.nearest`` gives them, of the vectors in the ``probes`` lists nearest to each query (query_id, embedding and, with directory, directory: a prefix of the lists' hierarchy_path).
 
         A query that has fewer than top_k results goes on to all lists, and with exact every one does to those
         whose bound isn't below its last result; then the rows are those of ``nearest``.
         """
         within("top_k", top_k, TOP_K)
-        out = None
+        probes, out = max(PROBES, math.ceil(SHARE * self.cells().count())) if probes is None else probes, None
         for block in query_blocks(queries.select("query_id", "embedding", *(["directory"] if directory else []))):
             block = written(block)
             places = written(self._places(block, stretch))
@@ -150,7 +151,7 @@ class VectorIndex:
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
         return rows.select("query_id", "doc_id", E.half_up(score, 6).alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
 
-    def recall(self, queries: DataFrame, top_k: int = TOP_K[2], probes: int = PROBES) -> float:
+    def recall(self, queries: DataFrame, top_k: int = TOP_K[2], probes: int | None = None) -> float:
         """The share of ``nearest``'s results for these queries that a search finds; of ties any counts."""
         exact = nearest(self._lists(), queries, top_k)
         least = exact.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
