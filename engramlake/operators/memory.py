@@ -19,6 +19,7 @@ from ..functions import expr as E
 from ..model import BAD, BOOST, DECAY, GOOD, LIMIT, PENALTY, TIERS, WEIGHT_HIGH, WEIGHT_LOW, check_tiers, within
 from ..session import few, ship, written
 from ..sources import jsonl
+from . import best
 from .tables import Tables, stamp
 
 if TYPE_CHECKING:
@@ -26,6 +27,8 @@ if TYPE_CHECKING:
 
 #: Query batches of at most so many rows are broadcast; larger ones go through in blocks of that size.
 QUERY_BLOCK = 1000
+#: Queries of different words that a scan answers.
+KEYS = 8192
 #: Times as they are stored, in UTC.
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
 
@@ -49,11 +52,15 @@ def filtered(entries: DataFrame, tiers: list[str] | None = None, date_from: str
 
 def _order(entries: DataFrame, tiers: list[str] | None = None) -> list[Column]:
     """Among equal scores: tiers as asked for, files as listed, lines as written (by append, if entries are of several)."""
+    return [F.desc("unrounded"), *(c.asc() for c in _places(entries, tiers))]
+
+
+def _places(entries: DataFrame, tiers: list[str] | None = None) -> list[Column]:
     chosen = check_tiers(tiers)
     rank = F.lit(len(chosen))
     for i, t in enumerate(chosen):
         rank = F.when(F.col("tier") == t, i).otherwise(rank)
-    return [F.desc("unrounded"), rank.asc(), E.file_order(F.col("file")).asc(), *(F.col(c).asc() for c in ("append", "line_no") if c in entries.columns)]
+    return [rank, E.file_order(F.col("file")), *(F.col(c) for c in ("append", "line_no") if c in entries.columns)]
 
 
 def scored(entries: DataFrame, query: str, now: Column) -> DataFrame:
@@ -85,26 +92,31 @@ def search(entries: DataFrame, query: str, now: Column, tiers: list[str] | None
 def search_batch(entries: DataFrame, queries: DataFrame, now: Column, limit: int = LIMIT[2], tiers: list[str] | None = None) -> DataFrame:
     """The best entries for each of many queries (query_id, query): adds query_id and rank to the columns of ``search``.
 
-    Queries are the small side and are broadcast, in blocks beyond QUERY_BLOCK; each task keeps only
-    the first ``limit`` of a query before the shuffle on query_id.
+    Queries of the same words are one. Entries are scanned once for each KEYS of these: each task keeps only the first
+    ``limit`` of a query (``best.Words``), and these alone are shuffled.
     """
     within("limit", limit, LIMIT)
-    rows = queries.select("query_id", E.terms_column(F.col("query")).alias("terms")).filter("size(terms) > 0")
-    found = filtered(entries, tiers)
+    spark, found = entries.sparkSession, filtered(entries, tiers)
+    asked = written(queries.select("query_id", F.array_sort(E.terms_column(F.col("query"))).alias("terms")).filter("size(terms) > 0"))
+    keys = written(asked.select("terms").distinct().withColumn("key", F.monotonically_increasing_id()))
+    order = [c.alias(f"_o{i}") for i, c in enumerate(_places(found, tiers))]
+    rows = found.select("raw_lc", F.col("weight").cast("double").alias("weight"), E.recency(F.col("ts"), now).alias("recency"), *order, "e_tier", "e_type", "raw", "line_no")
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("unrounded", T.DoubleType()), *(T.StructField(f.name, f.dataType) for f in rows.schema.fields[3:])])
+    ship(spark)
     out = None
-    for block in query_blocks(rows):
-        pairs = found.join(F.broadcast(block), F.exists("terms", lambda t: F.contains(F.col("raw_lc"), t)))
-        part = pairs.withColumn("unrounded", E.hits_column(F.col("raw_lc"), F.col("terms")) / F.size("terms").cast("double") * F.col("weight") * E.recency(F.col("ts"), now))
+    for block in query_blocks(keys, KEYS, "key"):
+        some = block.collect()  # at most some KEYS lists of words
+        part = rows.mapInArrow(best.words([r["key"] for r in some], [list(r["terms"]) for r in some], limit, len(order)), schema)
         out = part if out is None else out.union(part)
-    w = Window.partitionBy("query_id").orderBy(*_order(entries, tiers))
+    w = Window.partitionBy("key").orderBy(F.desc("unrounded"), *(F.col(f"_o{i}").asc() for i in range(len(order))))
     ranked = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    return _shown(ranked, "query_id", "rank")
+    return _shown(ranked.join(few(asked.join(keys, "terms").select("query_id", "key")), "key"), "query_id", "rank")
 
 
-def query_blocks(rows: DataFrame, size: int = QUERY_BLOCK) -> list[DataFrame]:
-    """The query table in parts of about size rows, by hash of query_id; one part if it is small."""
+def query_blocks(rows: DataFrame, size: int = QUERY_BLOCK, key: str = "query_id") -> list[DataFrame]:
+    """The query table in parts of about size rows, by hash of a key; one part if it is small."""
     n = -(-rows.count() // size)
-    return [rows] if n <= 1 else [rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+    return [rows] if n <= 1 else [rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
 def counts(entries: DataFrame) -> DataFrame:
