@@ -43,10 +43,11 @@ def _key(docs: DataFrame) -> Column:
 def document_columns(docs: DataFrame, summariser: Summariser = extractive, now: Column | None = None) -> DataFrame:
     """The document table's columns for title, content, hierarchy_path, doc_type, tags and, if there, doc_id.
 
-    An abstract of under L0_WORDS words becomes the title with the text's beginning. An unknown doc_type is an error, before anything is written.
+    What a summariser says is stripped, and so are its <think> parts; ``extractive`` takes the document's own words, which stay as it cuts
+    them. An abstract of under L0_WORDS words becomes the title with the text's beginning. An unknown doc_type is an error, before anything is written.
     """
     title, path, kind, content = (F.col(c) for c in ("title", "hierarchy_path", "doc_type", "content"))
-    l0, l1 = (E.unthink(c) for c in summariser(title, path, kind, content))
+    l0, l1 = (c if summariser is extractive else E.unthink(c) for c in summariser(title, path, kind, content))
     l0 = F.when(E.word_count(l0) < L0_WORDS, E.fallback_abstract(title, content)).otherwise(l0)
     stamp = F.lit(None).cast("string") if now is None else F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     rows = docs.withColumns({"_l0": l0, "_l1": l1})

@@ -205,3 +205,13 @@ def test_summaries_and_totals(spark):
     rows = spark.createDataFrame([("a", 10, 100, 1000), ("b", 20, 50, 3000)], "doc_id string, l0_token_count int, l1_token_count int, l2_token_count int")
     t = ingest.corpus_totals(rows).first()
     assert (t.l0_total, t.l2_total, t.l0_percent, t.reduction_percent) == (30, 4000, 0.75, 99.25)
+
+
+def test_an_overview_cut_at_a_space_keeps_it(spark):
+    text = "word " * 2600 + "<think>a</think>"
+    rows = [("T", text, "/a", "reference", [], "1"), ("T", "One <think>b</think> two.", "/a", "reference", [], "2")]
+    docs = spark.createDataFrame(rows, "title string, content string, hierarchy_path string, doc_type string, tags array<string>, doc_id string")
+    got = {r.doc_id: r for r in ingest.document_columns(docs).collect()}
+    want = f"# T\n\n{text}"[:12000]
+    assert got["1"].l1_overview == want and got["1"].l1_token_count == 3000
+    assert got["2"].l1_overview == "# T\n\nOne <think>b</think> two."
