@@ -199,7 +199,7 @@ def _matrix(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as rows, and which are of this size and without nulls; others are zeros."""
     ok = np.array([v is not None and len(v) == dim and None not in v for v in vectors], bool)
     out = np.zeros((len(vectors), dim))
-    if ok.any():
+    if dim and ok.any():
         out[ok] = np.array([v for v, k in zip(vectors, ok, strict=True) if k], np.float64).reshape(-1, dim)
     return out, ok
 

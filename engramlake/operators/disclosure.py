@@ -9,12 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as E
 from ..model import BUDGET, L1_CHARGE, L1_SCORE, L1_SLOTS, L2_SCORE, TOP_K, within
-from ..session import written
+from ..session import few, ship, written
+from . import best
 from .memory import QUERY_BLOCK, query_blocks
 
+#: Numbers in the vectors of the queries that a scan answers.
+NUMBERS = 1 << 20
+
 
 def _windows() -> tuple[WindowSpec, WindowSpec]:
     """A query's results, and those in rank order."""
@@ -32,20 +37,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, top_k: int = TOP_K[2], direc
 
     vectors: doc_id, embedding, norm and, with directory, hierarchy_path; queries: query_id, embedding and
     directory (null: all), a prefix that is applied before the top-k. A query's own top_k, where the
-    column is there, holds. Queries are broadcast in blocks of bounded size; each task keeps top_k.
+    column is there, holds. Vectors are read once for each block of queries of bounded size; each task keeps top_k
+    of a query (``best.Near``), and these alone are shuffled.
     """
     within("top_k", top_k, TOP_K)
-    own = F.col("q_k") if "top_k" in queries.columns else F.lit(top_k)
-    q = queries.select("query_id", F.col("embedding").alias("q_e"), E.norm(F.col("embedding")).alias("q_n"), *([F.col("directory").alias("q_dir")] if directory else []), *([F.least(F.col("top_k"), F.lit(TOP_K[1])).alias("q_k")] if "top_k" in queries.columns else []))
+    spark, own = vectors.sparkSession, "top_k" in queries.columns
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q_e"), E.norm(F.col("embedding")).alias("q_n"), (F.col("directory") if directory else F.lit(None).cast("string")).alias("q_dir"), *([F.least(F.col("top_k"), F.lit(TOP_K[1])).alias("q_k")] if own else []))
+    q = written(q.withColumn("query", F.monotonically_increasing_id()))
+    size = q.agg(F.max(F.size("q_e"))).first()[0] or 1
+    rows = vectors.select("doc_id", "embedding", "norm", *(["hierarchy_path"] if directory else [])).repartition(spark.sparkContext.defaultParallelism)
+    rows = rows.withColumns({"embedding": F.col("embedding").cast("array<double>"), "norm": F.col("norm").cast("double")})
+    ship(spark)
     out = None
-    for block in query_blocks(q):
-        on = (F.col("q_dir").isNull() | F.startswith("hierarchy_path", F.col("q_dir"))) if directory else F.lit(True)
-        part = vectors.join(F.broadcast(block), on)
+    for block in query_blocks(q, max(1, NUMBERS // max(size, 1)), "query"):
+        some = block.collect()  # at most some NUMBERS numbers
+        part = rows.mapInArrow(best.near([r["query"] for r in some], [(r["q_e"], r["q_n"], r["q_dir"]) for r in some], TOP_K[1] if own else top_k, stretch), T.StructType([T.StructField("query", T.LongType()), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())]))
         out = part if out is None else out.union(part)
-    score = F.least(F.lit(1.0), E.cosine(F.col("embedding"), F.col("q_e"), F.col("norm"), F.col("q_n")) * stretch)
-    hits = out.select("query_id", "doc_id", E.half_up(score, 6).alias("score"), *(["q_k"] if "top_k" in queries.columns else []))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TOP_K[1]).filter(F.col("rank") <= own).drop("q_k")
+    hits = out.join(few(q.select("query", "query_id", *(["q_k"] if own else []))), "query").drop("query")
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
+    ranked = hits.select("query_id", "doc_id", "score", *(["q_k"] if own else [])).withColumn("rank", F.row_number().over(first))
+    return ranked.filter(F.col("rank") <= (F.least(F.col("q_k"), F.lit(TOP_K[1])) if own else F.lit(top_k))).drop("q_k")
 
 
 def retrieve_l0(hits: DataFrame, documents: DataFrame, min_score: float = 0.0) -> DataFrame:
@@ -97,14 +108,14 @@ def smart_query(vectors: DataFrame | None, documents: DataFrame, contents: DataF
     hits: what a search gave (query_id, doc_id, score, rank), such as an index's, in place of vectors.
     """
     # a bounded number of queries has a bounded number of hits: then these go to the tables, not the tables to them
-    few = F.broadcast if queries.count() <= QUERY_BLOCK else (lambda df: df)
+    small = F.broadcast if queries.count() <= QUERY_BLOCK else (lambda df: df)
     hits = written(nearest(vectors, queries, top_k, directory, stretch) if hits is None else hits)  # the search is done once
-    rows = written(retrieve_l0(few(hits), documents))
-    known = contents.select("l2_file_path").join(few(rows.select("l2_file_path").distinct()), "l2_file_path", "left_semi").distinct().withColumn("l2_exists", F.lit(True))
-    rows = rows.join(few(known), "l2_file_path", "left").withColumn("l2_exists", F.coalesce("l2_exists", F.lit(False)))
+    rows = written(retrieve_l0(small(hits), documents))
+    known = contents.select("l2_file_path").join(small(rows.select("l2_file_path").distinct()), "l2_file_path", "left_semi").distinct().withColumn("l2_exists", F.lit(True))
+    rows = rows.join(small(known), "l2_file_path", "left").withColumn("l2_exists", F.coalesce("l2_exists", F.lit(False)))
     budgets = queries.select("query_id", F.greatest(F.lit(BUDGET[0]), F.least(F.lit(BUDGET[1]), F.col("token_budget"))).alias("token_budget"))
-    rows = escalate(rows.join(few(budgets), "query_id"), F.col("token_budget"))
-    loaded = contents.select("l2_file_path", F.col("content").alias("l2_content")).join(few(rows.filter("tier = 'l2'")), "l2_file_path")
+    rows = escalate(rows.join(small(budgets), "query_id"), F.col("token_budget"))
+    loaded = contents.select("l2_file_path", F.col("content").alias("l2_content")).join(small(rows.filter("tier = 'l2'")), "l2_file_path")
     out = rows.filter("tier <> 'l2'").withColumn("l2_content", F.lit(None).cast("string")).unionByName(loaded.select(*rows.columns, "l2_content"))
     return out.select("query_id", "rank", "doc_id", "title", "hierarchy_path", E.half_up(F.col("score")).alias("score"), "tier", "tokens_used", "l0_abstract", F.when(F.col("l1_loaded"), F.col("l1_overview")).alias("l1_overview"), "l2_content")
 

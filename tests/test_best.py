@@ -3,9 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from engramlake.operators import memory
+from engramlake.functions import expr as E
+from engramlake.operators import disclosure, memory
+from engramlake.operators.trigrams import TrigramIndex
 
 ENTRY = "tier string, file string, line_no long, raw string, raw_lc string, id string, ts string, weight double, e_tier string, e_type string"
 
@@ -42,3 +45,31 @@ def test_a_batch_makes_no_rows_of_pairs(spark, odd):
     plan = memory.search_batch(odd, spark.createDataFrame([(i, "user by") for i in range(3000)], "query_id int, query string"), now(), 5)
     assert "NestedLoopJoin" not in plan._jdf.queryExecution().toString()
     assert plan.count() == 15000 and plan.filter("rank = 1").select("entry", "score", "line_no").distinct().count() == 1
+
+def test_an_index_scans_for_common_words(spark, odd, tmp_path):
+    index = TrigramIndex(spark, f"file://{tmp_path}").build(odd)
+    queries = spark.createDataFrame(list(enumerate([*TEXTS, *["user user"] * 500, "abcdefgh12 none", "zzz"])), "query_id int, query string")
+    key = lambda r: (r.query_id, r.rank)
+    found = index.search_batch(queries, now(), 6)
+    assert sorted(found.collect(), key=key) == sorted(memory.search_batch(odd, queries, now(), 6).collect(), key=key)
+    # equal and common words don't make a row for each query and entry
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_nearest_gives_the_rows_of_the_plain_product(spark):
+    r, nan, inf = random.Random(5), float("nan"), float("inf")
+    vectors = [[r.gauss(0, 1) for _ in range(6)] for _ in range(500)] + [[0.1 * (i % 4)] * 6 for i in range(60)]
+    vectors += [None, [], [0.0] * 6, [1.0] * 5, [None, *[1.0] * 5], [nan] * 6, [inf, *[1.0] * 5], [1e200] * 6, [1e-200] * 6, [-1.0] * 6]
+    rows = [(f"d{i * 7 % 601}", v, ("/a", "/b", None)[i % 3]) for i, v in enumerate(vectors)]
+    v = disclosure.with_norms(spark.createDataFrame(rows, "doc_id string, embedding array<double>, hierarchy_path string")).cache()
+    asked = [(i, vectors[j], ("/a", None)[i % 2]) for i, j in enumerate([*range(0, 560, 40), *range(558, 570)])]
+    q = spark.createDataFrame(asked, "query_id long, embedding array<double>, directory string")
+    for directory, stretch in ((False, 1.0), (True, 2.0)):
+        on = (F.col("directory").isNull() | F.startswith("hierarchy_path", F.col("directory"))) if directory else F.lit(True)
+        pairs = v.join(q.select("query_id", F.col("embedding").alias("e"), "directory"), on)
+        score = E.half_up(F.least(F.lit(1.0), E.cosine(F.col("embedding"), F.col("e"), F.col("norm"), E.norm(F.col("e"))) * stretch), 6)
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
+        want = pairs.select("query_id", "doc_id", score.alias("score")).withColumn("rank", F.row_number().over(w)).filter("rank <= 7")
+        got = disclosure.nearest(v, q, 7, directory, stretch)
+        assert "NestedLoopJoin" not in got._jdf.queryExecution().toString()
+        assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
