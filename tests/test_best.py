@@ -2,12 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import expr as E
-from engramlake.operators import disclosure, memory
+from engramlake.operators import disclosure, memory, shelves, trigrams
 from engramlake.operators.trigrams import TrigramIndex
 
 ENTRY = "tier string, file string, line_no long, raw string, raw_lc string, id string, ts string, weight double, e_tier string, e_type string"
@@ -73,3 +74,29 @@ def test_nearest_gives_the_rows_of_the_plain_product(spark):
         got = disclosure.nearest(v, q, 7, directory, stretch)
         assert "NestedLoopJoin" not in got._jdf.queryExecution().toString()
         assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+
+
+def test_postings_of_groups_of_pages(monkeypatch):
+    r = random.Random(2)
+    lines = ["".join(r.choice("ab😀é") for _ in range(r.randrange(6))) for _ in range(900)]
+    page = [7 + i // 3 + (4000 if i > 400 else 0) for i in range(900)]
+    want: dict = {}
+    for x, p in zip(lines, page):
+        for i in range(len(x) - 2):
+            want.setdefault((x[i : i + 3], p >> trigrams.GROUP), set()).add(p % (1 << trigrams.GROUP))
+    monkeypatch.setattr(trigrams, "PAIRS", 500)
+    got: dict = {}
+    batches = [pa.RecordBatch.from_arrays([pa.array(lines[i : i + 100]), pa.array(page[i : i + 100], pa.int64())], ["raw_lc", "page"]) for i in range(0, 900, 100)]
+    for b in trigrams._postings(iter(batches)):
+        for x in b.to_pylist():
+            assert x["pages"] == sorted(set(x["pages"]))
+            got.setdefault((x["gram"], x["bucket"]), set()).update(x["pages"])
+    assert got == want
+
+
+def test_many_shelves_come_from_few_ranges(spark, odd, tmp_path):
+    rows = odd.filter("raw IS NOT NULL")
+    made = shelves.Shelves(spark, f"file://{tmp_path}").build(rows, shelf=2)
+    assert 300 < made.rows().select("shelf").distinct().count() and len(list((tmp_path / "rows").glob("*.parquet"))) <= shelves.RANGES
+    assert not list((tmp_path / "rows").glob("shelf=*"))
+    assert made.search("by user 7", now(), limit=9).collect() == memory.search(rows, "by user 7", now(), limit=9).collect()
