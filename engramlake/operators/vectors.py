@@ -18,10 +18,12 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as E
 from ..model import TOP_K, within
 from ..session import ship, written
+from .best import near
 from .disclosure import nearest, with_norms
 from .memory import query_blocks
 
@@ -143,13 +145,16 @@ class VectorIndex:
         """The best of the lists that each query reads: only these lists' partitions are scanned, and only their rows meet the queries."""
         cells = [r["cell"] for r in pairs.select("cell").distinct().collect()]  # at most CELLS + 1
         lists = self._lists().filter(F.col("cell").isin(cells))
-        q = block.select("query_id", F.col("embedding").alias("q_e"), E.norm(F.col("embedding")).alias("q_n"), *(["directory"] if directory else []))
-        rows = lists.join(F.broadcast(pairs.select("query_id", "cell")), "cell").join(F.broadcast(q), "query_id")  # numbers, and a block of queries
-        if directory:
-            rows = rows.filter(F.col("directory").isNull() | F.startswith("hierarchy_path", F.col("directory")))
-        score = F.least(F.lit(1.0), E.cosine(F.col("embedding"), F.col("q_e"), F.col("norm"), F.col("q_n")) * stretch)
+        reads = pairs.groupBy("query_id").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell") + 2)).alias("reads"))  # a bit for each list
+        q = block.select("query_id", F.col("embedding").cast("array<double>").alias("q_e"), E.norm(F.col("embedding")).alias("q_n"), (F.col("directory") if directory else F.lit(None).cast("string")).alias("q_dir"))
+        some = q.join(F.broadcast(reads), "query_id").collect()  # a block of queries
+        which = np.array([np.unpackbits(np.frombuffer(bytes(r["reads"]), np.uint8), bitorder="little") for r in some], bool).reshape(len(some), -1)
+        keys, rows = list(range(len(some))), lists.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), "norm", *(["hierarchy_path"] if directory else []), "cell")
+        ship(self.spark)
+        found = rows.mapInArrow(near(keys, [(r["q_e"], r["q_n"], r["q_dir"]) for r in some], top_k, stretch, {c: which[:, c + 1] for c in cells}), T.StructType([T.StructField("query", T.LongType()), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())]))
+        ids = self.spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(some)], T.StructType([T.StructField("query", T.LongType()), T.StructField("query_id", block.schema["query_id"].dataType)]))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-        return rows.select("query_id", "doc_id", E.half_up(score, 6).alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
+        return found.join(F.broadcast(ids), "query").select("query_id", "doc_id", "score").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
 
     def recall(self, queries: DataFrame, top_k: int = TOP_K[2], probes: int | None = None) -> float:
         """The share of ``nearest``'s results for these queries that a search finds; of ties any counts."""
