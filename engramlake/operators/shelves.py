@@ -9,6 +9,7 @@ shelves are read in falling order of the bound until the last result beats the n
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,27 @@ from . import memory
 
 #: Entries of a shelf, and the factor by which more shelves are read at each step.
 SHELF, GROWTH = 1_000_000, 2
+#: Ranges that shelves are cut from, at most.
+RANGES = 256
 #: Scores and bounds are computed in different orders.
 SLACK = 1e-9
 _DAY = 86400e6
 
 
+def _runs(known: list[int], chosen: list[int]) -> Column:
+    """These shelves of all known ones, as ranges of their numbers, by which the file format leaves out the others."""
+    at = {x: i for i, x in enumerate(known)}
+    runs: list[list[int]] = []
+    for x in sorted(chosen):
+        if runs and at[x] == at[runs[-1][1]] + 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    return reduce(lambda a, b: a | b, [F.col("shelf").between(*r) for r in runs], F.lit(False))
+
+
 class Shelves:
-    """Entries below a folder: ``rows`` (Parquet by shelf) and ``shelves`` (shelf, rows, heavy: the largest weight, dated: the largest logarithm of weight x DECAY ^ -days since 1970 of entries whose time counts, undated: the largest weight of the others).
+    """Entries below a folder: ``rows`` (Parquet in order of shelf) and ``shelves`` (shelf, rows, heavy: the largest weight, dated: the largest logarithm of weight x DECAY ^ -days since 1970 of entries whose time counts, undated: the largest weight of the others).
 
     ``read`` holds the shelves that the last search has read.
     """
@@ -40,8 +55,11 @@ class Shelves:
         rows = entries.withColumns({"_dated": F.log(heavy) - F.lit(math.log(DECAY)) * days, "_undated": F.when(days.isNull(), F.col("weight"))})
         n = max(1, -(-entries.count() // shelf))
         keys = [F.col("_dated").isNull(), F.col("_dated").desc(), F.col("_undated").desc(), F.xxhash64("id", "line_no")]
-        placed = rows.repartitionByRange(n, *keys).withColumn("shelf", F.spark_partition_id())
-        placed.write.partitionBy("shelf").parquet(f"{self.root}/rows")
+        # few ranges, cut into shelves as they lie: the sample that ranges come from doesn't grow with the shelves
+        placed = rows.repartitionByRange(min(n, RANGES), *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+        place = F.shiftleft(F.shiftright("_at", 33), 33) + F.floor(F.col("_at").bitwiseAND((1 << 33) - 1) / shelf)
+        placed = placed.withColumn("shelf", place.cast("long")).drop("_at")
+        placed.write.parquet(f"{self.root}/rows")
         written = self.spark.read.schema(placed.schema).parquet(f"{self.root}/rows")
         written.groupBy("shelf").agg(F.count("*").alias("rows"), F.max("weight").alias("heavy"), F.max("_dated").alias("dated"), F.max("_undated").alias("undated")).coalesce(1).write.parquet(f"{self.root}/shelves")
         return self
@@ -60,13 +78,13 @@ class Shelves:
         """``memory.search`` over the shelves that can hold a result."""
         options = {"tiers": tiers, "date_from": date_from, "date_to": date_to, "min_weight": min_weight}
         left = [(r["bound"], r["shelf"]) for r in self.bounds(now).orderBy(F.desc("bound"), "shelf").collect()]  # a row for each SHELF entries
-        best: list[float] = []
+        known, best = sorted(x for _, x in left), []
         self.read, step = [], 1
         while left and E.terms_of(query) and (len(best) < limit or left[0][0] >= best[-1]):
             now_read, left = [s for _, s in left[:step]], left[step:]
-            found = memory.scored(memory.filtered(self.rows().filter(F.col("shelf").isin(now_read)), **options), query, now)
+            found = memory.scored(memory.filtered(self.rows().filter(_runs(known, now_read)), **options), query, now)
             scores = [r[0] for r in found.select("unrounded").orderBy(F.desc("unrounded")).limit(limit).collect()]
             best = sorted([*best, *scores], reverse=True)[:limit]
             self.read, step = [*self.read, *now_read], step * GROWTH
-        return memory.search(self.rows().filter(F.col("shelf").isin(self.read)).drop("shelf"), query, now, limit=limit, **options)
+        return memory.search(self.rows().filter(_runs(known, self.read)).drop("shelf"), query, now, limit=limit, **options)
 
