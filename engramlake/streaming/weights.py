@@ -1,52 +1,24 @@
-"""Weights as the state of a stream: outcomes arrive as files, are ordered by seq for each entry id, and only what they touch is worked out.
+"""Weights by a stream: outcomes arrive as files, are ordered by seq for each entry id, and only what they touch is worked out.
 
-The state of a tier and id holds its outcomes by seq. Repeated ones change nothing, late ones take their
-place, and what comes out is the order of scores to fold into the weights of the entries with that id.
+The state holds which outcomes (tier, id, seq) have come. Repeated ones change nothing; new ones go to the log's table
+``outcomes``, from which late ones take their place, and the order of scores is folded into the weights of the entries with that id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import memory
-from ..session import few, ship
+from ..session import few, written
 
 OUTCOME = "tier string, id string, task_score double, seq long, at string"
-ORDERED = "tier string, id string, scores array<double>, at string"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class InOrder(StatefulProcessor):
-    """All outcomes of a tier and id so far, by seq; of one seq the first that came holds."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "seq long", "task_score double, at string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802 (the name that Spark calls)
-        new = False
-        for part in rows:
-            for seq, score, at in zip(part["seq"].tolist(), part["task_score"].tolist(), part["at"].tolist(), strict=True):
-                if not self.seen.containsKey((seq,)):
-                    self.seen.updateValue((seq,), (score, at))
-                    new = True
-        if new:
-            steps = sorted((k[0], v[0], v[1]) for k, v in self.seen.iterator())
-            yield pd.DataFrame({"tier": [key[0]], "id": [key[1]], "scores": [[s for _, s, _ in steps]], "at": [steps[-1][2]]})
-
-    def close(self) -> None:
-        pass
-
-
-def ordered_outcomes(events: DataFrame) -> DataFrame:
-    """tier, id, scores (all so far in order of seq) and at (the last one's time) for every id that a stream of outcomes touches."""
-    ship(events.sparkSession)
-    return events.groupBy("tier", "id").transformWithStateInPandas(InOrder(), outputStructType=ORDERED, outputMode="Update", timeMode="None")
+def new_outcomes(events: DataFrame) -> DataFrame:
+    """The outcomes of a stream that haven't come before; of one seq of an id the first that came holds."""
+    return events.dropDuplicates(["tier", "id", "seq"])
 
 
 def weights_stream(log: memory.MemoryLog, folder: str) -> StreamingQuery:
@@ -55,7 +27,12 @@ def weights_stream(log: memory.MemoryLog, folder: str) -> StreamingQuery:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
     def put(batch: DataFrame, number: int) -> None:
-        log.put_changed(few(batch))
+        new = written(batch)  # the batch is worked out once
+        if new.isEmpty():
+            return
+        log.tables.put(new, "outcomes", append=f"{number:017d}")
+        every = log.tables.read("outcomes", OUTCOME).join(few(new.select("tier", "id").distinct()), ["tier", "id"], "left_semi")
+        log.put_changed(memory.in_order(every))
 
     events = spark.readStream.schema(OUTCOME).parquet(folder)
-    return ordered_outcomes(events).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{log.root}/progress").trigger(availableNow=True).start()
+    return new_outcomes(events).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{log.root}/progress").trigger(availableNow=True).start()

@@ -260,3 +260,13 @@ def test_every_ancestor_has_its_interval_and_totals(spark, tmp_path):
         assert sorted(x.doc_id for x in tree.subtree(d).collect()) == [i for i, p in enumerate(flat) if inside(p, d)]
     assert [r.path for r in tree.children("/a").collect()] == ["/a/b"] and tree.subtree("/none").count() == 0
     assert "GreaterThanOrEqual(pre" in tree.subtree("/a")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_stream_keeps_each_outcome_once(spark, tmp_path):
+    log = MemoryLog(spark, f"file://{tmp_path}/log")
+    log.append(spark.createDataFrame([("semantic", "fact", json.dumps({"id": f"f{i}"}), None, None) for i in range(5)], PAYLOADS), now())
+    for n, score in enumerate((0.9, 0.1)):  # the same outcomes again, with other scores
+        spark.createDataFrame([("semantic", f"f{i}", score, 1, "2026-01-01") for i in range(4)], "tier string, id string, task_score double, seq long, at string").write.parquet(f"file://{tmp_path}/in/day={n}")
+        weights_stream(log, f"file://{tmp_path}/in/day=*").awaitTermination()
+    assert log.tables.read("outcomes", "tier string, id string, task_score double, seq long, at string").count() == 4
+    assert sorted(x.weight for x in log.entries().collect()) == [1.0, 1.1, 1.1, 1.1, 1.1]
